@@ -1,6 +1,514 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over whole tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import config, costs, paths, terms
+from ..operators import agentview, centrality, diff, edges, index, traversal
+from ..sources.files import scan_files
+from ..sources.profile import Profile
+from . import views as V
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name."""
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+    return register
+
+
+def _graph(spark, sf_dir, small=False):
+    nodes, all_edges = V.trade_nodes(spark, sf_dir, small), V.trade_edges(spark, sf_dir, small)
+    return nodes, all_edges, edges.adjacency(all_edges, nodes)
+
+
+SMALL, ALL = V.graph_ctes(True), V.graph_ctes(False)
+DEGREE_SQL = """ends as (select src as id, 1 as o, 0 as i from adj union all select dst, 0, 1 from adj union all select id, 0, 0 from nodes),
+deg as (select id, cast(sum(i) as bigint) as fan_in, cast(sum(o) as bigint) as fan_out from ends group by id),
+metrics as (select id, fan_in, fan_out, (fan_in + fan_out) / cast(greatest(1, 2 * ((select count(*) from nodes) - 1)) as double) as degree_centrality from deg)"""
+
+
+@query(f"with {ALL}, {DEGREE_SQL} select id, fan_in, fan_out, round(degree_centrality, 12) as degree_centrality from metrics")
+def degree_centrality(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir)
+    return edges.degrees(nodes, adj).withColumn("degree_centrality", F.round("degree_centrality", 12))
+
+
+@query(f"""with {ALL}, {DEGREE_SQL}, top as (select m.id, label, degree_centrality, ordinal from metrics m join nodes using (id) order by degree_centrality desc, ordinal limit 10)
+select cast(row_number() over (order by degree_centrality desc, ordinal) as int) as rank, id, label, round(degree_centrality, 12) as value from top""")
+def top_degree(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir)
+    metrics = edges.degrees(nodes, adj).join(nodes.select("id", "label", "ordinal"), "id")
+    return edges.top_ranked(metrics, "degree_centrality").withColumn("value", F.round("value", 12))
+
+
+@query(f"with {ALL} select src, dst from adj")
+def adjacency(spark, sf_dir):
+    return _graph(spark, sf_dir)[2]
+
+
+@query(f"with {ALL} select from_id, to_id, relation, ordinal from edges where from_id <> to_id and from_id in (select id from nodes where kind <> 'part') and to_id in (select id from nodes where kind <> 'part')")
+def valid_edges_without_parts(spark, sf_dir):
+    nodes, all_edges, _ = _graph(spark, sf_dir)
+    return edges.valid_edges(all_edges, nodes.filter("kind <> 'part'")).select("from_id", "to_id", "relation", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(f"with {ALL} select from_id, to_id, relation, cast(count(*) as double) as weight, cast(min(ordinal) as bigint) as ordinal from edges group by all")
+def edge_dedup_weight(spark, sf_dir):
+    return edges.merge_edges(V.trade_edges(spark, sf_dir))
+
+
+@query(f"""with {ALL} select 'relation' as dimension, relation as value, count(*) as n from edges group by relation union all
+select 'from_kind', substr(from_id, 1, 1), count(*) from edges group by 2""")
+def edge_breakdown(spark, sf_dir):
+    all_edges = V.trade_edges(spark, sf_dir).withColumn("from_kind", F.substring("from_id", 1, 1))
+    return edges.breakdown(all_edges, "relation", "from_kind")
+
+
+@query("select p_name as name, count(distinct p_brand) as scopes from part group by p_name having count(distinct p_brand) > 1")
+def name_collisions(spark, sf_dir):
+    return edges.name_collisions(V.table(spark, sf_dir, "part"), "p_name", "p_brand")
+
+
+@query("select event_type, count(*) as n from events group by event_type order by n desc, event_type limit 20")
+def top_values_events(spark, sf_dir):
+    return edges.top_values(V.table(spark, sf_dir, "events"), "event_type", 20)
+
+
+@query("select 'u' || user_id as from_id, 'e:' || event_type as to_id, 'EMITS' as relation, cast(count(*) as double) as weight, min(event_id) as ordinal from events group by all")
+def event_edges(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("from_id"), F.concat(F.lit("e:"), "event_type").alias("to_id"), F.lit("EMITS").alias("relation"), F.col("event_id").alias("ordinal"))
+    return edges.merge_edges(e)
+
+
+@query(f"with {ALL} select cast(sum(token_cost) as bigint) as total_token_cost, round(sum(effective_token_cost), 4) as total_effective_token_cost from nodes")
+def token_totals(spark, sf_dir):
+    return edges.token_totals(V.trade_nodes(spark, sf_dir)).withColumn("total_effective_token_cost", F.round("total_effective_token_cost", 4))
+
+
+@query(f"""with {ALL} select * from (select id from nodes where kind in ('customer', 'nation') and id not in (select src from adj where dst like 'r%'))""")
+def set_difference_nodes(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir)
+    return edges.only_in(nodes.filter("kind in ('customer', 'nation')"), adj.filter("dst like 'r%'").select(F.col("src").alias("id")))
+
+
+@query(f"with {ALL} select distinct src as id from adj where src in (select dst from adj)")
+def set_intersection_nodes(spark, sf_dir):
+    adj = _graph(spark, sf_dir)[2]
+    return edges.in_both(adj.select(F.col("src").alias("id")), adj.select(F.col("dst").alias("id")))
+
+
+@query(f"with {ALL} select src, dst from adj union select dst, src from adj")
+def undirected_adjacency(spark, sf_dir):
+    return edges.undirected(_graph(spark, sf_dir)[2])
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["r0 as materialized (select id, 1.0 / n as x from nodes, total)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""r{i} as materialized (select nodes.id, 0.15 / n + 0.85 * (select coalesce(sum(x), 0) from r{i - 1} where id not in (select src from adj)) / n + 0.85 * coalesce(g.s, 0) as x
+from nodes cross join total left join (select dst, sum(x / d) as s from r{i - 1} join od on r{i - 1}.id = od.src join adj on adj.src = od.src group by dst) g on g.dst = nodes.id)""")
+    return f"with {SMALL}, total as (select count(*) as n from nodes), od as (select src, count(*) as d from adj group by src), {', '.join(steps)} select id, round(x, 9) as pagerank from r{rounds}"
+
+
+@query(_pagerank_sql(20))
+def pagerank(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    return centrality.pagerank(nodes, adj, tolerance=None, iterations=20).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query(_pagerank_sql(3))
+def pagerank_distributed(spark, sf_dir):
+    """The partitioned plan, as it runs beyond the local bound."""
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    return centrality.pagerank(nodes, adj, tolerance=None, iterations=3, local_edges=0).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query(_pagerank_sql(20).replace("select id, round(x, 9) as pagerank from r20", """, top as (select r20.id, label, x, ordinal from r20 join nodes using (id) order by round(x, 9) desc, ordinal limit 10)
+select cast(row_number() over (order by round(x, 9) desc, ordinal) as int) as rank, id, label, round(x, 9) as value from top""").replace(")\n, top", "), top"))
+def top_pagerank(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    ranks = centrality.pagerank(nodes, adj, tolerance=None, iterations=20).withColumn("pagerank", F.round("pagerank", 9))
+    return edges.top_ranked(ranks.join(nodes.select("id", "label", "ordinal"), "id"), "pagerank")
+
+
+@query(_pagerank_sql(20).replace("select id, round(x, 9) as pagerank from r20", "select id, round(x * effective_token_cost, 7) as weighted_centrality_cost from r20 join nodes using (id)"))
+def weighted_centrality(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    ranks = centrality.pagerank(nodes, adj, tolerance=None, iterations=20)
+    return ranks.join(nodes, "id").select("id", F.round(F.col("pagerank") * F.col("effective_token_cost"), 7).alias("weighted_centrality_cost"))
+
+
+def _hits_sql(rounds: int) -> str:
+    steps = ["h0 as materialized (select id, 1.0 as x from nodes)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"b{i} as materialized (select nodes.id, coalesce(sum(h.x), 0) as x from nodes left join adj on dst = nodes.id left join h{i - 1} h on h.id = src group by nodes.id)")
+        steps.append(f"a{i} as materialized (select id, x / (select sqrt(sum(x * x)) from b{i}) as x from b{i})")
+        steps.append(f"c{i} as materialized (select nodes.id, coalesce(sum(a.x), 0) as x from nodes left join adj on src = nodes.id left join a{i} a on a.id = dst group by nodes.id)")
+        steps.append(f"h{i} as materialized (select id, x / (select sqrt(sum(x * x)) from c{i}) as x from c{i})")
+    return f"with {SMALL}, {', '.join(steps)} select h.id, round(h.x, 9) as hub_score, round(a.x, 9) as authority_score from h{rounds} h join a{rounds} a using (id)"
+
+
+@query(_hits_sql(6))
+def hits(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    out = centrality.hits(nodes, adj, tolerance=None, iterations=6)
+    return out.select("id", F.round("hub_score", 9).alias("hub_score"), F.round("authority_score", 9).alias("authority_score"))
+
+
+@query(f"""with {SMALL}, n as (select count(*) as n from nodes),
+src2 as (select id from (select id, row_number() over (order by id) - 1 as p from nodes) where p in (select j * n // 100 from n, range(0, 100) t(j))),
+two as (select s.id as s, a.dst as v, b.dst as w from src2 s join adj a on a.src = s.id join adj b on b.src = a.dst where b.dst <> s.id),
+paths as (select s, w, count(*) as k from two group by all),
+part as (select v as id, sum(1.0 / k) as x from two join paths using (s, w) group by v),
+ends as (select id, 0.0 as x from nodes)
+select nodes.id, round(coalesce(part.x, 0) / (100 * greatest(1, n - 2)), 9) as betweenness_centrality from nodes cross join n left join part using (id)""")
+def betweenness_sampled(spark, sf_dir):
+    """Depth is two in this graph (customer to nation to region), so the SQL counts two-step paths."""
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    sources, _, _ = centrality.sample_sources(nodes)
+    return centrality.betweenness(nodes, adj, sources).withColumn("betweenness_centrality", F.round("betweenness_centrality", 9))
+
+
+@query(f"""with {SMALL}, both_ways as (select src, dst from adj union select dst, src from adj), seeds as (select id from nodes where kind in ('region', 'nation', 'supplier')),
+d1 as (select distinct s.id as seed, dst as node from seeds s join both_ways on src = s.id where dst <> s.id),
+d2 as (select distinct seed, dst as node from d1 join both_ways on src = node where dst <> seed),
+d3 as (select distinct seed, dst as node from d2 join both_ways on src = node where dst <> seed),
+h2 as (select seed, node from d1 union select seed, node from d2), h3 as (select seed, node from h2 union select seed, node from d3),
+c2 as (select seed, count(*) as n, sum(effective_token_cost) as c from h2 join nodes on id = node group by seed), c3 as (select seed, count(*) as n, sum(effective_token_cost) as c from h3 join nodes on id = node group by seed)
+select s.id, coalesce(c2.n, 0) as hop_2_node_count, round(coalesce(c2.c, 0), 4) as hop_2_token_cost, coalesce(c3.n, 0) as hop_3_node_count, round(coalesce(c3.c, 0), 4) as hop_3_token_cost
+from seeds s left join c2 on c2.seed = s.id left join c3 on c3.seed = s.id""")
+def khop_cost(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    out = centrality.neighbourhood_cost(nodes.select("id", "effective_token_cost"), adj, nodes.filter("kind in ('region', 'nation', 'supplier')"))
+    return out.withColumn("hop_2_token_cost", F.round("hop_2_token_cost", 4)).withColumn("hop_3_token_cost", F.round("hop_3_token_cost", 4))
+
+
+@query(f"""with {SMALL}, seeds as (select id from nodes where id in ('r0', 'n3')), touching as (select distinct from_id, to_id, relation from edges where from_id in (select id from seeds) or to_id in (select id from seeds))
+select id, label from nodes where id in (select from_id from touching union select to_id from touching union select id from seeds)""")
+def subgraph_neighborhood(spark, sf_dir):
+    nodes, all_edges, _ = _graph(spark, sf_dir, True)
+    near, _ = traversal.neighbourhood(nodes, all_edges, nodes.filter("id in ('r0', 'n3')"))
+    return near.select("id", "label")
+
+
+@query(f"""with {SMALL}, hits as (select id from nodes where contains(lower(label), 'supplier#00')), touching as (select from_id, to_id from edges where from_id in (select id from hits) or to_id in (select id from hits))
+select id from nodes where id in (select from_id from touching union select to_id from touching union select id from hits)""")
+def search_subgraph(spark, sf_dir):
+    nodes, all_edges, _ = _graph(spark, sf_dir, True)
+    found, _ = traversal.search_subgraph(nodes.withColumn("metadata", F.lit(None).cast("string")), all_edges, "Supplier#00")
+    return found.select("id")
+
+
+@query(f"""with {ALL}, kept as (select id from nodes where kind in ('orders', 'customer', 'nation'))
+select from_id, to_id, relation from edges where relation <> 'IN_REGION' and from_id in (select id from kept) and to_id in (select id from kept)""")
+def facet_filter(spark, sf_dir):
+    nodes, all_edges, _ = _graph(spark, sf_dir)
+    _, e = traversal.facet_filter(nodes, all_edges, F.col("kind").isin("orders", "customer", "nation"), F.col("relation") != "IN_REGION")
+    return e.select("from_id", "to_id", "relation")
+
+
+@query(f"""with {SMALL} select id as seed, id as node, 0 as depth from nodes where kind = 'supplier' union all
+select src, dst, 1 from adj where src like 's%' union all select a.src, b.dst, 2 from adj a join adj b on a.dst = b.src where a.src like 's%'""")
+def transitive_closure(spark, sf_dir):
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    return traversal.closure(adj, nodes.filter("kind = 'supplier'"))
+
+
+@query("""select 'r' || r_regionkey as root, 'r' || r_regionkey as router, '/' || r_name as prefix, r_name as tags, 0 as depth from region union all
+select 'r' || r_regionkey, 'n' || n_nationkey, '/' || r_name || '/' || n_name, r_name || ',' || n_name, 1 from region join nation on n_regionkey = r_regionkey union all
+select 'r' || r_regionkey, 's' || s_suppkey, '/' || r_name || '/' || n_name || '/' || s_name, r_name || ',' || n_name || ',' || s_name, 2 from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey""")
+def router_prefix(spark, sf_dir):
+    t = lambda n: V.table(spark, sf_dir, n)
+    root = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
+    roots = t("region").select(root.alias("root"), root.alias("router"), F.concat(F.lit("/"), "r_name").alias("prefix"), F.array("r_name").alias("tags"))
+    inc = t("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.col("n_name").alias("prefix"), F.array("n_name").alias("tags"))
+    inc = inc.unionByName(t("supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("parent"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("child"), F.col("s_name").alias("prefix"), F.array("s_name").alias("tags")))
+    return traversal.path_prefixes(roots, inc).withColumn("tags", F.array_join("tags", ","))
+
+
+@query(f"""with {SMALL} select id, min(root) as component from (select n.id, r.id as root from nodes n join adj a on a.src = n.id join nodes r on r.id = a.dst where n.kind = 'nation'
+union all select c.src, b.dst from adj c join adj b on b.src = c.dst union all select id, id from nodes where kind = 'region') group by id""")
+def region_labels(spark, sf_dir):
+    """Components of the graph; the least id in each is a node of one region, compared as the region below it."""
+    nodes, _, adj = _graph(spark, sf_dir, True)
+    found = traversal.components(nodes, adj)
+    names = found.filter("id like 'r%'").select("component", F.col("id").alias("root"))
+    return found.join(F.broadcast(names), "component").select("id", F.col("root").alias("component"))
+
+
+@query("""with b as (select p_partkey, p_name, p_brand, p_size, p_retailprice from part where p_partkey % 7 <> 0), a as (select p_partkey, p_name, case when p_partkey % 5 = 0 then 'other' else p_brand end as p_brand, p_size, p_retailprice from part where p_partkey % 11 <> 0)
+select 'p' || coalesce(a.p_partkey, b.p_partkey) as id, case when b.p_partkey is null then 'added' when a.p_partkey is null then 'removed' else 'changed' end as status,
+case when a.p_partkey is null or b.p_partkey is null then 0 else 1 end as n_fields from a full outer join b on a.p_partkey = b.p_partkey
+where a.p_partkey is null or b.p_partkey is null or a.p_brand is distinct from b.p_brand""")
+def graph_diff(spark, sf_dir):
+    parts = V.table(spark, sf_dir, "part").withColumn("id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    after = parts.filter("p_partkey % 11 <> 0").withColumn("p_brand", F.when(F.col("p_partkey") % 5 == 0, "other").otherwise(F.col("p_brand")))
+    return diff.diff(parts.filter("p_partkey % 7 <> 0"), after, ("p_name", "p_brand", "p_size", "p_retailprice")).select("id", "status", F.size("fields").alias("n_fields"))
+
+
+# Scalars over texts and paths.
+TOKENS = "cast(greatest(1, ceil(length({0}) / 4.0)) as bigint)"
+
+
+@query(f"select path, {TOKENS.format('content')} as token_estimate, length(content) as char_count, case when content = '' then 0 else length(content) - length(replace(content, chr(10), '')) + 1 end as line_count from ({V.SQL_FILES})")
+def file_cost(spark, sf_dir):
+    return V.doc_files(spark, sf_dir).select("path", costs.cost_for_text(F.col("content")).alias("c")).select("path", "c.*")
+
+
+@query(f"select doc_id, {TOKENS.format('t')} as token_estimate, length(t) as char_count from (select doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) as t from documents)")
+def span_cost(spark, sf_dir):
+    """Lines two to four of every document."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", costs.cost_for_span(F.col("text"), F.lit(2), F.lit(4)).alias("c")).select("doc_id", "c.token_estimate", "c.char_count")
+
+
+_PATHS_SQL = f"select path from ({V.SQL_FILES}) union all select 'src/tests/' || p_name || '_test.py' from part union all select 'lib/vendor/' || p_name || '_pb2.py' from part union all select 'alembic/versions/' || p_partkey || '.py' from part union all select 'schemas/' || p_partkey || '.json' from part union all select 'api/versions/' || p_name || '.gradle.kts' from part"
+
+
+def _paths(spark, sf_dir):
+    part = V.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    made = [F.concat(F.lit("src/tests/"), "p_name", F.lit("_test.py")), F.concat(F.lit("lib/vendor/"), "p_name", F.lit("_pb2.py")), F.concat(F.lit("alembic/versions/"), key, F.lit(".py")),
+            F.concat(F.lit("schemas/"), key, F.lit(".json")), F.concat(F.lit("api/versions/"), "p_name", F.lit(".gradle.kts"))]
+    return V.doc_files(spark, sf_dir).select("path").unionByName(part.select(F.explode(F.array(*made)).alias("path")))
+
+
+@query(f"""with f as ({_PATHS_SQL}), g as (select path, list_filter(string_split(path, '/'), lambda x: x <> '') as p from f), h as (select path, p[len(p)] as name, list_transform(p[1:len(p) - 1], lambda x: lower(x)) as up, list_transform(p, lambda x: lower(x)) as low from g),
+k as (select *, regexp_matches(name, '(_pb2(_grpc)?\\.pyi?|\\.g\\.(dart|kt)|\\.freezed\\.dart|_generated\\.[a-z]+)$') or list_has_any(up, ['migrations', '__generated__', 'generated'])
+ or regexp_matches('/' || array_to_string(up, '/') || '/', '/(alembic|migrations)/versions/') or (list_contains(up, 'schemas') and regexp_matches(name, '^[0-9]+\\.json$')) as gen,
+ list_has_any(low, ['vendor', 'vendored', 'third_party', 'thirdparty', 'node_modules', 'site-packages']) as ven,
+ regexp_matches(name, '^(test_.*\\.py|.+_test\\.py|.+\\.(test|spec)\\.(ts|tsx|js|jsx|mjs|cjs)|.+Test\\.kt)$') or list_has_any(up, ['test', 'tests', '__tests__', 'spec']) as tes from h)
+select path, concat_ws(',', case when gen then 'generated' end, case when ven then 'vendored' end, case when tes then 'test' end) as flags from k""")
+def path_flags(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", F.array_join(paths.path_flags(F.col("path")), ",").alias("flags"))
+
+
+@query(f"""select path, case when regexp_matches(lower(path), '[^/]\\.(md|rst|txt)$') then 'doc' when regexp_matches(lower(path), '\\.gradle\\.kts$') or regexp_matches(lower(path), '[^/]\\.(json|yaml|yml|toml|properties|env|gradle)$') then 'config' else 'code' end as context from ({_PATHS_SQL})""")
+def context_kinds(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", paths.context_kind(F.col("path")).alias("context"))
+
+
+@query(f"""select path, case when content is null then 'unreadable' when octet_length(encode(content)) > 4000 then 'too_large' when contains(substr(content, 1, 8192), chr(0)) then 'binary' end as reason from ({V.SQL_FILES}) where octet_length(encode(content)) > 4000 or content is null""")
+def scan_classify(spark, sf_dir):
+    """Files over 4,000 bytes, as a scan with that limit leaves them out."""
+    return scan_files(V.doc_files(spark, sf_dir), 4000)[1]
+
+
+@query(f"with {ALL} select id, round(effective_token_cost, 4) as effective_token_cost, case when k then 0.1 else 1.0 end as multiplier from (select id, effective_token_cost, cast(substr(id, 2) as bigint) % 2 = 1 as k from nodes)")
+def effective_cost(spark, sf_dir):
+    nodes = V.trade_nodes(spark, sf_dir)
+    odd = F.substring("id", 2, 20).cast("long") % 2 == 1
+    flags = F.when(odd, F.array(F.lit("generated"))).otherwise(F.array().cast("array<string>"))
+    m = costs.cost_multiplier(flags, F.lit("src/a.py"))
+    return nodes.select("id", F.round(F.col("token_cost") * m, 4).alias("effective_token_cost"), m.alias("multiplier"))
+
+
+# Terms.
+_IDS_SQL = "select distinct c_mktsegment || replace(n_name, ' ', '') || 'Service' as id from customer join nation on c_nationkey = n_nationkey union select distinct 'get' || p_brand || 'Items' from part union select distinct lower(p_name) from part union select distinct r_name || 'HTTPServer2XMLies' from region"
+
+
+def _identifiers(spark, sf_dir):
+    t = lambda n: V.table(spark, sf_dir, n)
+    a = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat("c_mktsegment", F.replace("n_name", F.lit(" "), F.lit("")), F.lit("Service")).alias("id"))
+    b = t("part").select(F.concat(F.lit("get"), "p_brand", F.lit("Items")).alias("id"))
+    return a.unionByName(b).unionByName(t("part").select(F.lower("p_name").alias("id"))).unionByName(t("region").select(F.concat("r_name", F.lit("HTTPServer2XMLies")).alias("id"))).distinct()
+
+
+_TOKENS_SQL = r"regexp_extract_all(regexp_replace(id, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z][a-z]+|[A-Z]+|[a-z]+|[0-9]+')"
+
+
+@query(f"select id, array_to_string({_TOKENS_SQL}, '|') as tokens from ({_IDS_SQL})")
+def split_tokens(spark, sf_dir):
+    return _identifiers(spark, sf_dir).select("id", F.array_join(terms.split_tokens(F.col("id")), "|").alias("tokens"))
+
+
+_STRIP_SQL = "list_concat(" + "list_filter(list_transform(['get', 'set', 'is', 'has', 'on', 'handle', 'build', 'create'], lambda p: case when starts_with(id, p) and length(id) > length(p) then lower(substr(id, length(p) + 1, 1)) || substr(id, length(p) + 2) end), lambda x: x is not null), " + "list_filter(list_transform(['Impl', 'Service', 'Controller', 'Handler', 'Manager', 'Factory', 'ViewModel', 'Repository'], lambda s: case when ends_with(id, s) and length(id) > length(s) then substr(id, 1, length(id) - length(s)) end), lambda x: x is not null))"
+_DERIVED_SQL = f"""ids as ({_IDS_SQL}), tk as (select id, {_TOKENS_SQL} as t from ids),
+cand as (select id, 1 as s, unnest(t) as term, unnest(range(1, len(t) + 1)) as i from tk union all
+ select id, 2, unnest(list_transform(range(1, len(t)), lambda j: t[j] || t[j + 1])), unnest(range(1, len(t))) from tk where len(t) > 1 union all
+ select id, 3, lower(id), 1 from ids union all
+ select id, 4, case when id like '%ies' then substr(id, 1, length(id) - 3) || 'y' when id like '%s' and id not like '%ss' then substr(id, 1, length(id) - 1) when regexp_matches(id, '[^aeiouAEIOU]y$') then substr(id, 1, length(id) - 1) || 'ies' else id || 's' end, 1 from ids union all
+ select id, 5, unnest(x), unnest(range(1, len(x) + 1)) from (select id, {_STRIP_SQL} as x from ids)),
+own as (select id, term, min(s * 1000 + i) as place from cand where term <> id and length(term) >= 3 group by id, term)"""
+
+
+@query(f"with {_DERIVED_SQL} select id, term, case place // 1000 when 1 then 'split-case' when 2 then 'token-adjacent-pairs' when 3 then 'normalize-case' when 4 then 'plural-singular' else 'strip-affix' end as rule from own")
+def derive_terms(spark, sf_dir):
+    p = Profile()
+    return _identifiers(spark, sf_dir).select("id", F.explode(terms.derive_terms(F.col("id"), p.transforms, p.min_term_length)).alias("d")).select("id", "d.term", "d.rule")
+
+
+_LITERALS_SQL = f"""lits as (select path, line, text, substr(m, 2, length(m) - 2) as value from (select path, line, text, unnest(regexp_extract_all(text, '''[^''"\\r\\n]+''|"[^''"\\r\\n]+"')) as m
+ from (select path, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from ({V.SQL_PAGES}))))"""
+
+
+@query(f"with {_LITERALS_SQL} select path, line, value, starts_with(trim(value), '/') as is_route from lits")
+def string_literals_pages(spark, sf_dir):
+    rows = index.lines(V.page_files(spark, sf_dir)).select("path", F.col("line").cast("long").alias("line"), F.explode(terms.literals(F.col("text"))).alias("value"))
+    return rows.withColumn("is_route", F.trim("value").startswith("/"))
+
+
+@query("select event_id, unnest(json_keys(props)) as key from events")
+def config_keys_events(spark, sf_dir):
+    files = V.table(spark, sf_dir, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("content"))
+    return config.config_keys(files).select(F.regexp_replace("path", r"\.json$", "").cast("long").alias("event_id"), "key")
+
+
+# Index.
+_WORDS = "[A-Za-z0-9_]+"
+
+
+@query(f"select token, count(*) as n from (select unnest(regexp_extract_all(content, '{_WORDS}')) as token from ({V.SQL_FILES})) group by token")
+def token_frequencies(spark, sf_dir):
+    """Counts alone need no places: words straight from the text, then one shuffle of partial counts."""
+    words = V.doc_files(spark, sf_dir).select(F.explode(F.regexp_extract_all("content", F.lit(_WORDS), F.lit(0))).alias("token"))
+    return index.token_frequencies(words)
+
+
+_LINES_SQL = "select path, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from ({0})"
+
+
+@query(f"""with l as ({_LINES_SQL.format(V.SQL_BENCH)}), m as (select path, line, text, regexp_extract_all(text, '{_WORDS}') as w, regexp_split_to_array(text, '{_WORDS}') as g from l),
+e as (select path, line, unnest(w) as token, unnest(list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))) as col from m)
+select token, path, cast(line as int) as line, cast(col as int) as col from e""")
+def postings_benchmark(spark, sf_dir):
+    return index.postings(V.bench_files(spark, sf_dir))
+
+
+_TERMS_SQL = f"select distinct unnest(regexp_extract_all(content, '{_WORDS}')) as term from ({V.SQL_BENCH})"
+
+
+@query(f"""with t as ({_TERMS_SQL}), l as ({_LINES_SQL.format(V.SQL_FILES)}), w as (select path, line, unnest(regexp_extract_all(text, '{_WORDS}')) as term from l)
+select term, path, cast(line as int) as line, count(*) as n from w semi join t using (term) group by all""")
+def term_occurrences(spark, sf_dir):
+    """Places of every word of the benchmark in all files, by line."""
+    files = V.doc_files(spark, sf_dir)
+    words = V.bench_files(spark, sf_dir).select(F.explode(F.regexp_extract_all("content", F.lit(_WORDS), F.lit(0))).alias("term")).distinct()
+    return index.find(words, files).groupBy("term", "path", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with b as (select regexp_extract_all(content, '{_WORDS}') as w from ({V.SQL_BENCH})), p as (select distinct unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from b where len(w) > 1),
+l as ({_LINES_SQL.format(V.SQL_FILES)}), m as (select path, line, text, regexp_extract_all(text, '{_WORDS}') as w, regexp_split_to_array(text, '{_WORDS}') as g from l),
+two as (select path, line, unnest(list_filter(list_transform(range(1, len(w)), lambda i: case when g[i + 1] = ' ' then w[i] || ' ' || w[i + 1] end), lambda x: x is not null)) as term from m where len(w) > 1)
+select term, path, cast(line as int) as line from two semi join p using (term) group by all""")
+def phrase_occurrences(spark, sf_dir):
+    """Lines that hold one of the benchmark's word pairs, found by the rarer word."""
+    files = V.doc_files(spark, sf_dir)
+    words = F.regexp_extract_all("content", F.lit(_WORDS), F.lit(0))
+    pairs = V.bench_files(spark, sf_dir).select(words.alias("w")).filter(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))).alias("term"))
+    return index.find(pairs, files).select("term", "path", "line").distinct()
+
+
+def _symbols(spark, sf_dir):
+    """A symbol for every second and third line of a document: spans nest."""
+    docs = V.table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("docs/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    n = F.size(F.split("text", "\n"))
+    spans = F.array(F.struct(F.lit("a").alias("s"), F.lit(1).alias("f"), n.alias("t")), F.struct(F.lit("b").alias("s"), F.lit(2).alias("f"), F.least(F.lit(3), n).alias("t")), F.struct(F.lit("c").alias("s"), F.lit(3).alias("f"), F.least(F.lit(4), n).alias("t")))
+    rows = docs.select("doc_id", path.alias("file_path"), F.explode(F.filter(spans, lambda x: x["t"] >= x["f"])).alias("x"))
+    return rows.select(F.concat_ws("#", F.col("doc_id").cast("string"), "x.s").alias("id"), "file_path", F.col("x.f").alias("start_line"), F.col("x.t").alias("end_line"))
+
+
+_SYMBOLS_SQL = """syms as (select * from (select doc_id || '#' || s as id, 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as file_path, f as start_line, case s when 'a' then n when 'b' then least(3, n) else least(4, n) end as end_line
+ from (select doc_id, source, lang, len(string_split(text, chr(10))) as n from documents) d, (values ('a', 1), ('b', 2), ('c', 3)) v(s, f)) where end_line >= start_line)"""
+
+
+@query(f"""with {_SYMBOLS_SQL}, l as ({_LINES_SQL.format(V.SQL_FILES)}), best as (select path, line, arg_min(id, (end_line - start_line, id)) as id from l join syms on file_path = path and line between start_line and end_line group by path, line)
+select l.path, cast(l.line as int) as line, coalesce(best.id, 'file:' || l.path) as enclosing_node_id from l left join best on best.path = l.path and best.line = l.line""")
+def enclosing_node(spark, sf_dir):
+    """The narrowest symbol around every line of every file."""
+    return index.enclosing(index.lines(V.doc_files(spark, sf_dir)), _symbols(spark, sf_dir))
+
+
+@query(f"""with {_SYMBOLS_SQL}, f as ({V.SQL_FILES}), own as (select id, file_path, start_line, end_line from syms), rest as (select 'file:' || path as id, path as file_path, null as start_line, null as end_line from f where path not in (select file_path from own))
+select id, r.file_path, coalesce(start_line, 0) as start_line, coalesce(end_line, 0) as end_line, {TOKENS.format('content')} as token_estimate from (select * from own union all select * from rest) r join f on f.path = r.file_path""")
+def readable_nodes(spark, sf_dir):
+    nodes = _symbols(spark, sf_dir).select("id", F.col("id").alias("label"), F.lit("function").alias("kind"), F.struct("file_path", "start_line", "end_line").alias("span"))
+    out = agentview.readable_nodes(nodes, V.doc_files(spark, sf_dir))
+    return out.select("id", "file_path", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), "read_cost.token_estimate")
+
+
+_EXACT_SQL = f"""t as (select distinct term from ({_TERMS_SQL}) where length(term) >= 3), l as ({_LINES_SQL.format(V.SQL_FILES)}), w as (select path, line, unnest(regexp_extract_all(text, '{_WORDS}')) as term from l),
+o as (select term, path, line, count(*) as n from w semi join t using (term) group by all),
+q as (select term, count(distinct path) as arrivals, sum(n) as n, sum(n * length(path || ':' || line || ':' || term)) + sum(n) - 1 as chars from o group by term)"""
+
+
+def _exact(spark, sf_dir):
+    profile = Profile()
+    files = V.doc_files(spark, sf_dir)
+    words = V.bench_files(spark, sf_dir).select(F.explode(F.regexp_extract_all("content", F.lit(_WORDS), F.lit(0))).alias("term")).distinct()
+    words = words.select(terms.clue_term(F.col("term"), profile.min_term_length).alias("term")).filter("term is not null")
+    none = F.array().cast("array<string>")
+    clues = words.select("term", F.array(F.lit("identifier")).alias("clue_kinds"), none.alias("origin_node_ids"), F.lit(None).cast("string").alias("rule_id"), none.alias("source_terms"))
+    readable = agentview.readable_nodes(spark.createDataFrame([], "id string, label string, kind string, span struct<file_path:string,start_line:int,end_line:int>"), files)
+    found = index.occurrences(words, files, readable)
+    return agentview.query_nodes(found, clues, "exact", profile)
+
+
+@query(f"""with {_EXACT_SQL} select substr(sha256('exact|' || term || '|2'), 1, 16) as id, term, cast(n as bigint) as n_occurrences, cast(arrivals as bigint) as n_arrivals, cast(greatest(1, ceil(chars / 4.0)) as bigint) as output_tokens, arrivals > 50 as excluded from q""")
+def exact_queries(spark, sf_dir):
+    return _exact(spark, sf_dir).select("id", "term", F.size("occurrences").cast("long").alias("n_occurrences"), F.size("arrival_node_ids").cast("long").alias("n_arrivals"), "output_tokens", "excluded")
+
+
+@query(f"with {_EXACT_SQL} select excluded, count(*) as n from (select arrivals > 50 as excluded from q) group by excluded")
+def query_exclusion(spark, sf_dir):
+    return _exact(spark, sf_dir).groupBy("excluded").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_EXACT_SQL} select path from ({V.SQL_FILES}) where path not in (select path from o semi join (select term from q where arrivals <= 50) using (term))")
+def unreachable_files(spark, sf_dir):
+    arrivals = _exact(spark, sf_dir).filter("not excluded").select(F.explode("arrival_node_ids").alias("node_id"))
+    readable = V.doc_files(spark, sf_dir).select(F.concat(F.lit("file:"), "path").alias("id"), F.col("path").alias("file_path"))
+    return traversal.unreachable(readable, arrivals).select(F.col("file_path").alias("path"))
+
+
+_WORD_DERIVED_SQL = _DERIVED_SQL.replace(_IDS_SQL, f"select distinct unnest(regexp_extract_all(content, '{_WORDS}')) as id from ({V.SQL_BENCH})")
+
+
+@query(f"""with {_WORD_DERIVED_SQL}, w as (select distinct unnest(regexp_extract_all(content, '{_WORDS}')) as term from ({V.SQL_FILES}))
+select term as derived, count(distinct id) as n_sources from own semi join w using (term) group by term""")
+def derived_queries(spark, sf_dir):
+    """Derived terms of the benchmark's words that are a word of some file, with the number of their sources."""
+    p = Profile()
+    words = F.explode(F.regexp_extract_all("content", F.lit(_WORDS), F.lit(0)))
+    clues = V.bench_files(spark, sf_dir).select(words.alias("term")).distinct().select("term", F.array(F.lit("identifier")).alias("clue_kinds"), F.array().cast("array<string>").alias("origin_node_ids"))
+    found = V.doc_files(spark, sf_dir).select(words.alias("derived")).distinct()
+    return agentview.derived_terms(clues, p).join(found, "derived", "left_semi").groupBy("derived").agg(F.countDistinct("term").alias("n_sources"))
+
+
+def _framework(spark, sf_dir):
+    """Lines as framework edges: order to part narrows, order to supplier is unique, tax 0 has no rule."""
+    lines = V.table(spark, sf_dir, "lineitem")
+    rule = F.when(F.col("l_linenumber") % 2 == 0, F.lit('{"framework_rule":{"id":"trade.supplies","specificity":"unique"}}')).when(F.col("l_linenumber") % 3 == 0, F.lit("{}")).otherwise(F.lit('{"framework_rule":{"id":"trade.contains","specificity":"narrowing"}}'))
+    target = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    made = lines.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("from_id"), target.alias("to_id"), F.lit("framework_inferred").alias("confidence"), F.lit("unique_name").alias("resolution"),
+                        F.struct(F.lit("lineitem").alias("file_path"), F.col("l_linenumber").alias("start_line")).alias("evidence"), F.array().cast("array<string>").alias("candidates"), rule.alias("metadata"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    readable = V.trade_nodes(spark, sf_dir).select("id", F.concat(F.lit("t/"), "kind").alias("file_path"), F.lit(1).alias("start_line"))
+    return agentview.framework_links(made, readable, Profile())
+
+
+@query("""with e as (select 'o' || l_orderkey as f, case when l_linenumber % 2 = 0 then 's' || l_suppkey else 'p' || l_partkey end as t, case when l_linenumber % 2 = 0 then 'trade.supplies' else 'trade.contains' end as rule, l_linenumber % 2 = 0 as uniq, l_linenumber from lineitem where l_linenumber % 2 = 0 or l_linenumber % 3 <> 0)
+select f || '|' || rule || case when uniq then '|' || t else '' end as id, array_to_string(list_sort(list(distinct t)), ',') as targets, min(l_linenumber) as evidence_line, case when uniq then null else substr(sha256('framework|' || f || '|' || rule || '|2'), 1, 16) end as query_id
+from e group by f, rule, uniq, case when uniq then t end, 1, 4""")
+def framework_links(spark, sf_dir):
+    links, _, _ = _framework(spark, sf_dir)
+    return links.select("id", F.array_join("to_node_ids", ",").alias("targets"), "evidence_line", "query_id")
+
+
+@query("""with e as (select 'o' || l_orderkey as f, 'p' || l_partkey as t from lineitem where l_linenumber % 2 = 1 and l_linenumber % 3 <> 0)
+select substr(sha256('framework|' || f || '|trade.contains|2'), 1, 16) as id, count(distinct t) as n_arrivals from e group by f""")
+def framework_queries(spark, sf_dir):
+    _, queries, _ = _framework(spark, sf_dir)
+    return queries.select("id", F.size("arrival_node_ids").cast("long").alias("n_arrivals"))
+
+
+@query("select distinct 'o' || l_orderkey || '->' || 'p' || l_partkey as edge from lineitem where l_linenumber % 2 = 1 and l_linenumber % 3 = 0")
+def unknown_framework_edges(spark, sf_dir):
+    return _framework(spark, sf_dir)[2]
