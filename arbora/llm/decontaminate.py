@@ -61,9 +61,10 @@ def sketches(shingled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _doc_shingles(text: Column, widths: list[int]) -> Column:
-    """Distinct (width, hash) needs, as one array of structs per text."""
+    """Distinct (width, hash) of a text, as one array. Hashes are made distinct as longs, which is a hash set; as
+    structs it would compare all pairs."""
     def tagged(h, width):
-        return F.transform(shingles(h, width), lambda x: F.struct(F.lit(width).alias("width"), x.alias("hash")))
+        return F.transform(F.array_distinct(shingles(h, width)), lambda x: F.struct(F.lit(width).alias("width"), x.alias("hash")))
     return let(word_hashes(text), lambda h: F.flatten(F.array(*[tagged(h, w) for w in widths])))
 
 
@@ -92,7 +93,7 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshol
     rows = pairs.select("doc_hash", F.col("doc_id").alias("_id")).distinct()
     again = base.filter(test(F.col("doc_hash"))).join(rows, (base["doc_hash"] == rows["doc_hash"]) & base["doc_id"].eqNullSafe(rows["_id"]), "left_semi")
     again = again.dropDuplicates(["doc_id", "doc_hash"])
-    full = again.select("doc_id", "doc_hash", F.explode(F.array_distinct(_doc_shingles(F.col("text"), widths))).alias("x")).select("doc_id", "doc_hash", "x.width", "x.hash")
+    full = again.select("doc_id", "doc_hash", F.explode(_doc_shingles(F.col("text"), widths)).alias("x")).select("doc_id", "doc_hash", "x.width", "x.hash")
     shared = full.join(sized(shingled.withColumnRenamed("item_id", "cand_id")), ["width", "hash"])
     counted = shared.groupBy("doc_id", "doc_hash", F.col("cand_id").alias("item_id"), "width").agg(F.count(F.lit(1)).alias("n_common"))
     sizes = sketch.select(F.col("item_id").alias("_item"), F.col("width").alias("_width"), F.col("n").alias("n_item"))
