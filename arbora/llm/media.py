@@ -163,7 +163,11 @@ def with_payload(index: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """All columns of every row: place, header metadata, hashes and features."""
     folder = folder or scratch_path(docs.sparkSession, "tar")
-    return with_payload(with_metadata(write_shards(docs, folder)))
+    index = write_shards(docs, folder)
+    n = index.select("shard").distinct().count()
+    # A shard's rows are read by one task, in the shard's order.
+    placed = index.repartition(max(1, min(n, 10_000)), "shard").sortWithinPartitions("shard", "offset")
+    return with_payload(with_metadata(placed))
 
 
 def digest(media: DataFrame) -> DataFrame:
