@@ -76,6 +76,10 @@ LABELLED = """
 140 0.08 12 25 0.00 0.00 0 0 1
 45 0.00 80 5 0.00 1.00 0 0 1
 28 0.00 6 90 1.00 0.00 0 0 1
+60 0.00 0 0 0.00 0.00 0 0 1
+200 0.02 0 0 0.00 0.00 0 0 1
+35 0.00 0 30 0.00 0.00 0 0 1
+90 0.05 2 0 1.00 0.00 0 0 1
 """
 #: Elements that do not break a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
