@@ -24,7 +24,7 @@ def parts(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.coalesce(F.element_at(parts(path), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(parts(path), F.lit(-1)), F.lit(""))
 
 
 def folders(path: Column) -> Column:

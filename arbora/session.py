@@ -40,7 +40,17 @@ def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     del df
     if free:
         release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
