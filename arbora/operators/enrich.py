@@ -49,11 +49,11 @@ def mark_edges(edges: DataFrame, nodes: DataFrame, rules: dict[str, str] | None
     # A known start without a span doesn't pass the question on to the end.
     evidence = F.coalesce("evidence", F.when(F.col("_k"), F.col("_a")).otherwise(F.col("_b")), nothing)
     metadata = F.coalesce("metadata", F.lit("{}"))
-    for relation, specificity in (rules or {}).items():
-        rule = f'"framework_rule":{{"id":"{namespace}.{relation.lower()}","specificity":"{specificity}"}}'
-        declared = F.get_json_object(metadata, "$.framework_rule").isNotNull()
-        added = F.when(F.trim(metadata) == "{}", F.lit("{" + rule + "}")).otherwise(F.concat(F.regexp_replace(metadata, r"\}\s*$", ""), F.lit("," + rule + "}")))
-        metadata = F.when((F.col("relation") == relation) & ~declared, added).otherwise(metadata)
+    if rules:
+        known_rules = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+        rule = F.concat(F.lit(f'"framework_rule":{{"id":"{namespace}.'), F.lower("relation"), F.lit('","specificity":"'), F.get(F.array(known_rules[F.col("relation")]), 0), F.lit('"}'))
+        added = F.when(F.trim(metadata) == "{}", F.concat(F.lit("{"), rule, F.lit("}"))).otherwise(F.concat(F.regexp_replace(metadata, r"\}\s*$", ""), F.lit(","), rule, F.lit("}")))
+        metadata = F.when(F.col("relation").isin(*rules) & F.get_json_object(metadata, "$.framework_rule").isNull(), added).otherwise(metadata)
     return out.withColumns({"confidence": F.lit(confidence), "resolution": F.when(F.size(F.coalesce("candidates", F.array().cast(_NONE))) > 0, F.col("resolution")).otherwise(F.lit(resolution)),
                             "evidence": evidence, "metadata": metadata}).select(edges.columns)
 

@@ -24,7 +24,7 @@ TS_WORDS = frozenset("if for while switch catch return new typeof await function
 KT_WORDS = frozenset("if for while when catch return throw fun class object interface val var super this try finally else do is as in import package constructor init true false null".split())
 NAME = r"[A-Za-z_$][\w$]*"
 _TS_DECLARATION = re.compile(rf"(?P<mods>(?:\b(?:export|default|declare|abstract|async)\s+)*)\b(?:(?P<kind>class|interface|enum|function\*?|namespace)\s+(?P<name>{NAME})|type\s+(?P<alias>{NAME})\s*(?:<[^=]*>)?\s*=|(?:const|let|var)\s+(?P<var>{NAME}))")
-_TS_MEMBER = re.compile(rf"(?m)^[ \t]*(?P<mods>(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set|declare)\s+)*)(?P<name>#?{NAME})\s*(?P<then>[(<]|\??\s*[:=;])")
+_TS_MEMBER = re.compile(rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?P<mods>(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set|declare)\s+)*)(?P<name>#?{NAME})\s*(?P<then>[(<]|\??\s*[:=;])")
 _TS_IMPORT = re.compile(r"\bimport\s+(?P<what>[^'\"();]*?)\s*(?:\bfrom\s*)?(?P<q>['\"])(?P<from>[^'\"\n]+)(?P=q)|\bexport\s+(?P<re>\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*(?P<q2>['\"])(?P<refrom>[^'\"\n]+)(?P=q2)")
 _TS_DYNAMIC = re.compile(r"\b(?:import|require)\s*\(\s*['\"]([^'\"\n]+)['\"]\s*\)")
 _KT_DECLARATION = re.compile(r"(?P<mods>(?:\b(?:public|private|internal|protected|open|abstract|sealed|data|inner|enum|annotation|value|override|suspend|inline|operator|infix|tailrec|const|lateinit|companion|fun)\s+)*)\b(?:(?P<kind>class|interface|object)\s+(?P<name>[A-Za-z_]\w*)|fun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(?P<fun>[A-Za-z_]\w*)\s*(?=\()|(?:val|var)\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(?P<var>[A-Za-z_]\w*))")
