@@ -6,53 +6,20 @@ only where it is unset, as in local tests, a temporary folder is made.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import fold_runs, let  # noqa: F401
+from ..session import discard, release, scratch_path  # noqa: F401
+from ..session import staged as _staged
+
 #: White space of the word contracts: space and the control characters tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-_local_scratch: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _local_scratch:
-            _local_scratch.append("file://" + tempfile.mkdtemp(prefix="arbora-"))
-        root = _local_scratch[0]
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; the JVM deletes it when it ends."""
-    path = f"{scratch_root(spark)}/arbora-{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no
-    recomputation of earlier steps, and shuffle files of earlier steps can go."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that no live frame refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """``df`` written to the shared folder and read back; shuffle files of finished steps are released."""
+    return _staged(df, name, free=True)
 
 
 def row_hash(text: Column) -> Column:
@@ -60,29 +27,6 @@ def row_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def fold_runs(values: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an array of longs, in two levels so that appending costs n * block, not n * n."""
-    def scan(a: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("o"))
-        return F.aggregate(a, zero, lambda acc, x: F.struct(
-            (acc["s"] + x).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o")), lambda acc: acc["o"])
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
-
-    blocks = F.when(F.size(values) > 0, F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
-        lambda b: F.slice(values, b * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<bigint>>"))
-    inner = F.transform(blocks, scan)
-    outer = scan(F.transform(blocks, total))
-    return F.flatten(F.zip_with(inner, outer, lambda a, base: F.transform(a, lambda x: x + base)))
-
-
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it, also inside lambdas."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def byte_table(spark: SparkSession, table: bytes | bytearray) -> Column:
     """A literal array of tinyint in Spark's packed form; for tables of bounded size only."""
     jvm = spark.sparkContext._jvm
@@ -114,6 +58,22 @@ def bit_filter(keys: Column, of: DataFrame, bits: int = 1 << 20):
     return test
 
 
+def drop_rows(docs: DataFrame, doomed: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text hash are in ``doomed`` (stored; doc_id, doc_hash).
+
+    Only rows that the bit filter can't clear take part in the join; the others, with their texts, stay where
+    they are."""
+    maybe = bit_filter(F.col("doc_hash"), doomed, bits)
+    out = doomed.select(F.col("doc_id").alias("_gone_id"), F.col("doc_hash").alias("_gone_hash"))
+    keyed = docs.withColumn("_gone_row", row_hash(F.col("text"))).withColumn("_gone_maybe", maybe(F.col("_gone_row")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = F.col("_gone_row").eqNullSafe(F.col("_gone_hash")) & keyed["doc_id"].eqNullSafe(out["_gone_id"])
+    rest = keyed.filter("_gone_maybe").join(out, same, "left_anti").select(*columns)
+    return keyed.filter(~F.col("_gone_maybe")).select(*columns).unionByName(rest)
+
+
 def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z to a-z, for scans of ASCII words: other letters may be lowered too, but none becomes an ASCII letter
+    (two would, and texts with them take the slow way)."""
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
