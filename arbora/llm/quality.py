@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import row_hash, staged
+from .common import drop_rows, row_hash, staged
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the border are fitted on, at most; half each.
@@ -170,8 +170,5 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that the resampling keeps."""
-    bad = resample(docs, labels, **options).filter("not kept").select(F.col("doc_id").alias("_q_id"), F.col("doc_hash").alias("_q_hash")).distinct()
-    bad = staged(bad, "rejected")
-    keyed = docs.withColumn("_q_row", row_hash(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(bad["_q_id"]) & (keyed["_q_row"] == bad["_q_hash"])
-    return keyed.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = resample(docs, labels, **options).filter("not kept").select("doc_id", "doc_hash").distinct()
+    return drop_rows(docs, staged(bad, "rejected"))
