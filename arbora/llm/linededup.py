@@ -1,16 +1,16 @@
 """Line dedup: exact set-similarity self-join over the lines of all documents, later matches removed.
 
-A line is its set of lower-case words. Tokens are ordered by rarity; a line's prefix, its n - ceil(t * n) + 1
+A line is its set of words, between white space. Tokens are ordered by rarity; a line's prefix, its n - ceil(t * n) + 1
 rarest tokens, must share a token with every line of Jaccard similarity t or more. Pairs pass the length
 filter and the positional filter (how much can still overlap after the first shared position), then exact
 Jaccard over the whole sets. A line goes when any earlier line of the corpus matches it, in the order of
 (doc_id, text hash, line number); so of a group of equal lines the first stays.
 
-Rarity is exact counting over all lines into a table of bounded size: tokens are counted in 2^20 hash
-buckets and the order is (level of the bucket's count, hash). Any fixed order makes the join exact.
+Rarity is counted over all lines into a table of bounded size, at most 2^24 hash buckets, and the order is
+(level of the bucket's count, hash). Any fixed order makes the join exact.
 
-Equal sets collapse first, so copies cost one row each. Prefix tokens whose bucket is light have short
-posting lists and join directly. Heavy ones might be shared by a third of all lines: there every line first
+Equal sets collapse first, so copies cost one row each. Prefix tokens of few lines have short posting lists
+and join directly. Heavy ones, by count, might be shared by a third of all lines: there every line first
 meets only the earliest line of its (token, size band), which settles large groups of near copies in linear
 work; lines still unsettled then meet the whole posting list, so no match is lost.
 
@@ -23,21 +23,28 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, byte_table, let, row_hash, staged
+from .common import bit_filter, byte_table, discard, let, row_hash, staged
 
 THRESHOLD = 0.8
-#: Buckets of the token counts; the table has one byte a bucket.
-BUCKETS = 1 << 20
-#: A bucket over this level may hold a token of more than LIGHT lines.
-LIGHT = 128
+#: Buckets of the token counts, one byte each: about a bucket for WORDS words, between these bounds.
+WORDS, LEAST_BUCKETS, MOST_BUCKETS = 32, 1 << 18, 1 << 24
+#: A token in the prefixes of more lines is heavy.
+LIGHT = 512
+#: Shares in which tokens meet, one after the other.
+PASSES = 2
+#: Heavy tokens (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
+BROADCAST_TOKENS = 200_000
 WHITE = "\t\x0b\x0c\r"
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.lower(F.translate(line, WHITE, " " * len(WHITE))), " ")
+def _spaced(text: Column) -> Column:
+    """White space as spaces. Most texts have no other, which is cheap to see."""
+    odd = F.contains(text, F.lit(WHITE[0])) | F.contains(text, F.lit(WHITE[1])) | F.contains(text, F.lit(WHITE[2])) | F.contains(text, F.lit(WHITE[3]))
+    return F.when(odd, F.translate(text, WHITE, " " * len(WHITE))).otherwise(text)
 
 
 def _level(count: Column) -> Column:
@@ -45,27 +52,38 @@ def _level(count: Column) -> Column:
     return F.least(F.lit(127), F.floor(4 * F.log2(count + 1)).cast("int"))
 
 
-def rarity_table(docs: DataFrame, buckets: int = BUCKETS) -> Column:
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two that follows the corpus, so that rare tokens are told apart alike at every size up to the
+    bound."""
+    words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1, words / WORDS)))))
+
+
+def rarity_table(docs: DataFrame, buckets: int) -> Column:
     """A literal array: for each hash bucket the level of its token count over all lines."""
     spark = docs.sparkSession
-    flat = F.translate(F.coalesce(F.col("text"), F.lit("")), WHITE + "\n", " " * (len(WHITE) + 1))
-    words = docs.select(F.explode(F.split(F.lower(flat), " ")).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(F.split(_spaced(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))), " ")).alias("w")).filter("w <> ''")
     # One map task a core: what a task sends is bounded by the table, however long its input.
     few = words.coalesce(max(1, spark.sparkContext.defaultParallelism))
     counts = few.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    packed = counts.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.collect_list(F.shiftleft("b", 7).bitwiseOR(_level(F.col("n")))).alias("x"))
-    table = bytearray(buckets)
-    for row in packed.collect():  # at most buckets / 1024 rows of 1024 numbers
-        for x in row["x"]:
-            table[x >> 7] = x & 127
-    return byte_table(spark, table)
+    # At most a number for each bucket reaches the driver.
+    packed = counts.select(F.shiftleft(F.col("b"), 7).bitwiseOR(_level(F.col("n"))).alias("x")).toArrow()["x"].to_numpy()
+    table = np.zeros(buckets, np.uint8)
+    table[packed >> 7] = packed & 127
+    return byte_table(spark, table.tobytes())
 
 
 def _codes(line: Column, levels: Column, buckets: int) -> Column:
-    """Distinct tokens as sorted longs: level of rarity in the upper bits, hash in the others."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-        F.get(levels, h.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    """Distinct words as sorted longs: level of rarity in the upper bits, hash in the others."""
+    def code(w):
+        level = F.get(levels, F.xxhash64(w).bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+
+    def coded(text):
+        every = F.split(text, " ")
+        words = F.when(F.contains(text, F.lit("  ")) | text.startswith(" ") | text.endswith(" ") | (text == ""), F.filter(every, lambda w: w != "")).otherwise(every)
+        return F.sort_array(F.array_distinct(F.transform(words, code)))
+    return let(_spaced(line), coded)
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -77,72 +95,85 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_hash(F.col("text")).alias("rk"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
 
 
-def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, light: int = LIGHT) -> DataFrame:
+def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, light: int = LIGHT) -> DataFrame:
     """(doc_id, rk, pos) of the lines that stay, without blank lines."""
     t = threshold
+    buckets = buckets or bucket_count(docs)
     levels = rarity_table(docs, buckets)
-    coded = _lines(docs).withColumn("codes", _codes(F.col("line"), levels, buckets)).filter(F.size("codes") > 0)
+    coded = _lines(docs).select("doc_id", "rk", "pos", _codes(F.col("line"), levels, buckets).alias("codes")).filter(F.size("codes") > 0)
     n = F.size("codes")
     keep = n - F.ceil(n * t - 1e-9).cast("int") + 1
-    near = F.floor(n / t + 1e-9).cast("int") > n  # else only an equal set can match
-    rows = coded.select(
-        F.xxhash64("codes").alias("sid"), F.struct("doc_id", "rk", "pos").alias("ord"), F.struct(
-            n.alias("n"), F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63).cast("bigint")).cast("int")))).alias("bits"),
-            F.when(near | (n >= 4), F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>")).alias("prefix")).alias("set"))
-    firsts = staged(rows.groupBy("sid").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("sid", "ord", "set.*"), "lines")
-
-    posting = firsts.select("sid", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    bound = int(min(127, math.floor(4 * math.log2(light + 1))))
-    heavy = F.shiftright("token", 56) > bound
-    cold, hot = posting.filter(~heavy), posting.filter(heavy)
-
-    def sides(df, tag):
-        return df.select("token", *[F.col(c).alias(f"{c}_{tag}") for c in ("sid", "n", "i", "bits")])
-
-    def passes():
-        small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        need = _least_overlap(F.col("n_a"), F.col("n_b"), t)
-        return (small >= large * t - 1e-9) & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need) & (
-            F.col("n_a") + F.col("n_b") - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) >= 2 * need)
-
-    direct = sides(cold, "a").join(sides(cold, "b"), "token").filter((F.col("sid_a") < F.col("sid_b")) & passes()).select("sid_a", "sid_b")
-    when = firsts.select("sid", "ord")
-    hot = staged(hot.join(when, "sid"), "hot")
-    band = F.floor(F.log("n") / -math.log(t)).cast("int")
-    hot_b = hot.withColumn("band", band)
-    lead = hot_b.groupBy("token", "band").agg(F.min(F.struct("ord", "sid", "n", "i", "bits")).alias("lead"))
-    star = hot_b.join(lead, ["token", "band"]).select(
-        "token", F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"), F.col("bits").alias("bits_a"),
-        F.col("lead.sid").alias("sid_b"), F.col("lead.n").alias("n_b"), F.col("lead.i").alias("i_b"), F.col("lead.bits").alias("bits_b"))
-    star = star.filter((F.col("sid_a") != F.col("sid_b")) & passes()).select(F.least("sid_a", "sid_b").alias("sid_a"), F.greatest("sid_a", "sid_b").alias("sid_b"))
+    partners = F.ceil((n + 1) * t - 1e-9) <= n  # else only an equal set can match
+    one = F.lit(1).cast("bigint")
+    bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    prefix = F.when(partners, F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>"))
+    rows = coded.select(F.xxhash64("codes").alias("sid"), F.struct("doc_id", "rk", "pos").alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
+    firsts = rows.groupBy("sid").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.doc_id", "ord.rk", "ord.pos", "set.*")
+    # Ids that rise with the order of lines: range partitions, sorted, then numbered within.
+    firsts = staged(firsts.repartitionByRange("doc_id", "rk", "pos").sortWithinPartitions("doc_id", "rk", "pos").withColumn("id", F.monotonically_increasing_id()), "lines")
+
+    posting = firsts.select("id", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    def side(df, tag):
+        return df.select("token", *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "n", "i", "bits")])
+
+    def passes(a, b):
+        """Length, positional and parity-bit filter of a pair."""
+        small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+        need = _least_overlap(a["n"], b["n"], t)
+        return (small >= large * t - 1e-9) & (F.least(a["n"] - a["i"], b["n"] - b["i"]) >= need) & (
+            a["n"] + b["n"] - F.bit_count(a["bits"].bitwiseXOR(b["bits"])) >= 2 * need)
+
+    def fields(tag):
+        return {c: F.col(f"{c}_{tag}") for c in ("n", "i", "bits")}
+    hot = direct = None
+    for turn in range(PASSES):  # a share of the tokens at a time, so that a share of the shuffle files is there
+        share = posting.filter(F.pmod("token", F.lit(PASSES)) == turn)
+        heavy = staged(share.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > light).select("token"), "heavy")
+        few = heavy.count() <= BROADCAST_TOKENS
+        flag = heavy.withColumn("heavy", F.lit(True))
+        marked = share.join(F.broadcast(flag) if few else flag, "token", "left")
+        cold = marked.filter("heavy is null")
+        pairs = side(cold, "a").join(side(cold, "b"), "token").filter((F.col("id_b") < F.col("id_a")) & passes(fields("a"), fields("b"))).select("id_a", "id_b")
+        pairs = staged(pairs, "pairs")
+        rest = staged(marked.filter("heavy").drop("heavy").withColumn("band", F.floor(F.log("n") / -math.log(t)).cast("int")), "hot")
+        direct, hot = (pairs, rest) if direct is None else (direct.unionByName(pairs), hot.unionByName(rest))
+    lead = hot.groupBy("token", "band").agg(F.min(F.struct("id", "n", "i", "bits")).alias("lead"))
+    star = hot.join(lead, ["token", "band"]).filter((F.col("id") > F.col("lead.id")) & passes(
+        {c: F.col(c) for c in ("n", "i", "bits")}, {c: F.col(f"lead.{c}") for c in ("n", "i", "bits")})).select(F.col("id").alias("id_a"), F.col("lead.id").alias("id_b"))
     first_pairs = staged(direct.unionByName(star).distinct(), "pairs")
-    settled = _later(docs, first_pairs, firsts, levels, t, buckets)
+    settled = _matched(docs, first_pairs, firsts, levels, t, buckets)
 
     # Heavy tokens again, whole: every unsettled line against all earlier ones.
-    mine = hot.join(settled, "sid", "left_anti")
-    ahead = sides(mine, "a").join(mine.select(F.col("sid").alias("sid_a"), F.col("token").alias("_t"), F.col("ord").alias("ord_a")), ["sid_a"]).filter("token = _t").drop("_t")
-    whole = ahead.join(hot.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "i", "bits", "ord")]), "token").filter(
-        (F.col("ord_b") < F.col("ord_a")) & passes()).select(F.least("sid_a", "sid_b").alias("sid_a"), F.greatest("sid_a", "sid_b").alias("sid_b"))
-    second_pairs = staged(whole.distinct().join(first_pairs, ["sid_a", "sid_b"], "left_anti"), "pairs")
-    more = _later(docs, second_pairs, firsts, levels, t, buckets)
-    gone = settled.unionByName(more).distinct()
-    return firsts.join(gone, "sid", "left_anti").select("ord.doc_id", "ord.rk", "ord.pos")
-
-
-def _later(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, levels: Column, t: float, buckets: int) -> DataFrame:
-    """sid of the later line of each pair whose exact Jaccard similarity reaches t."""
-    ids = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).distinct()
-    need = staged(firsts.select("sid", "ord").join(ids, "sid"), "needed")
-    place = F.xxhash64("doc_id", "rk", "pos")
-    test = bit_filter(F.xxhash64("ord.doc_id", "ord.rk", "ord.pos"), need, 1 << 22)
-    some = _lines(docs).filter(test(place)).select(_codes(F.col("line"), levels, buckets).alias("codes"), F.struct("doc_id", "rk", "pos").alias("ord"))
-    some = some.select(F.xxhash64("codes").alias("sid"), "codes", "ord")
-    sets = staged(some.join(need.select("sid", F.col("ord").alias("first")), "sid").filter(F.col("ord") == F.col("first")).dropDuplicates(["sid"]).select("sid", "codes", "ord"), "sets")
-    both = pairs.join(sets.select(F.col("sid").alias("sid_a"), F.col("codes").alias("codes_a"), F.col("ord").alias("ord_a")), "sid_a").join(
-        sets.select(F.col("sid").alias("sid_b"), F.col("codes").alias("codes_b"), F.col("ord").alias("ord_b")), "sid_b")
-    common = F.size(F.array_intersect("codes_a", "codes_b"))
-    union = F.size("codes_a") + F.size("codes_b") - common
-    return staged(both.filter(common >= union * t - 1e-9).select(F.when(F.col("ord_a") > F.col("ord_b"), F.col("sid_a")).otherwise(F.col("sid_b")).alias("sid")).distinct(), "settled")
+    mine = hot.join(settled.withColumnRenamed("id_a", "id"), "id", "left_anti")
+    whole = side(mine, "a").join(side(hot, "b"), "token").filter((F.col("id_b") < F.col("id_a")) & passes(fields("a"), fields("b"))).select("id_a", "id_b")
+    second_pairs = staged(whole.distinct().join(first_pairs, ["id_a", "id_b"], "left_anti"), "pairs")
+    gone = settled.unionByName(_matched(docs, second_pairs, firsts, levels, t, buckets)).withColumnRenamed("id_a", "id")
+    return firsts.select("id", "doc_id", "rk", "pos").join(gone, "id", "left_anti").drop("id")
+
+
+def _matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, levels: Column, t: float, buckets: int) -> DataFrame:
+    """id_a of those pairs (later id_a, earlier id_b) whose exact Jaccard similarity reaches t.
+
+    Each later line first meets its earliest candidate; only lines that this leaves open meet the others."""
+    if pairs.isEmpty():
+        return pairs.select("id_a")
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    need = staged(firsts.select("id", F.col("doc_id").alias("_doc"), F.col("rk").alias("_rk"), F.col("pos").alias("_pos")).join(ids, "id"), "needed")
+    test = bit_filter(F.xxhash64("_doc", "_rk", "_pos"), need, 1 << 22)
+    some = _lines(docs).filter(test(F.xxhash64("doc_id", "rk", "pos")))
+    some = some.join(need, (F.col("rk") == F.col("_rk")) & (F.col("pos") == F.col("_pos")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["id"])
+    sets = staged(some.select("id", _codes(F.col("line"), levels, buckets).alias("codes")), "sets")
+
+    def verified(some_pairs):
+        both = some_pairs.join(sets.select(F.col("id").alias("id_a"), F.col("codes").alias("codes_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("codes").alias("codes_b")), "id_b")
+        common = F.size(F.array_intersect("codes_a", "codes_b"))
+        return both.filter(common >= (F.size("codes_a") + F.size("codes_b") - common) * t - 1e-9).select("id_a")
+    earliest = pairs.groupBy("id_a").agg(F.min("id_b").alias("id_b"), F.count(F.lit(1)).alias("c"))
+    first = staged(verified(earliest.select("id_a", "id_b")), "settled")
+    rest = pairs.join(earliest, ["id_a", "id_b"], "left_anti").join(first, "id_a", "left_anti")
+    out = staged(first.unionByName(verified(rest).distinct()), "settled")
+    discard(sets, need, first)
+    return out
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -151,8 +182,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, **options) -> Dat
     keyed = docs.withColumn("_ld_row", row_hash(F.col("text")))
     joined = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_ld_id"]) & (keyed["_ld_row"] == keep["_ld_rk"]), "left")
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_sort(F.coalesce("_ld_keep", F.array().cast("array<int>")))
-    picked = F.filter(lines, lambda line, i: (F.trim(F.translate(line, WHITE, " " * len(WHITE))) == "") | F.array_contains(kept, i))
+    flags = F.coalesce("_ld_keep", F.array().cast("array<int>"))
+    blank = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(_spaced(line)) == "", i)), lambda i: i.isNotNull())
+    picked = let(lines, lambda every: F.transform(F.sort_array(F.concat(flags, blank)), lambda i: F.get(every, i)))
     out = joined.withColumn("_ld_lines", picked)
     return out.select(*[F.col(f"`{c}`") if c != "text" else F.array_join("_ld_lines", "\n").alias("text") for c in docs.columns],
                       F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_ld_lines"), F.lit(0)).alias("n_kept")).alias("line_dedup"))
