@@ -173,7 +173,7 @@ select nodes.id, round(coalesce(part.x, 0) / (100 * greatest(1, n - 2)), 9) as b
 def betweenness_sampled(spark, sf_dir):
     """Depth is two in this graph (customer to nation to region), so the SQL counts two-step paths."""
     nodes, _, adj = _graph(spark, sf_dir, True)
-    sources, _, _ = centrality.sample_sources(nodes)
+    sources, _, _ = centrality.sample_sources(nodes, exact_limit=100)
     return centrality.betweenness(nodes, adj, sources).withColumn("betweenness_centrality", F.round("betweenness_centrality", 9))
 
 
