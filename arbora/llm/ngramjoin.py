@@ -7,7 +7,12 @@ pairs that survive are verified by intersecting their sorted arrays. Links then
 
 Light tiles emit their pairs directly. A heavy tile, which may hold a third of all documents, first links
 every member to the first of its size band; only members that are still in different components meet again,
-so groups of near copies cost linear work and no link between components is lost.
+so groups of near copies cost linear work there and no link between components is lost. These links span the
+components but are not all links within them.
+
+Degrees count all links. A component whose known links join all its nodes is counted as it stands; the nodes of
+any other meet within it, block by block, where a matrix product gives the overlaps of all pairs and only counts
+leave the task. No table holds the pairs.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer words than n are
 one n-gram; rows that repeat an id are nodes by their text, and a component's id is the least id of its rows;
@@ -40,6 +45,10 @@ LEADERS = 4
 FEW = 64
 #: Tokens of open tiles (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
 BROADCAST_TOKENS = 200_000
+#: A component is dealt into blocks of so many nodes while they are few, then at most so many, and n-grams at most.
+BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_GRAMS = 64, 16, 4096, 1 << 21
+#: n-grams of two blocks that are multiplied at a time: cells of a slice.
+SLICE_CELLS = 1 << 22
 
 
 def _sets(batch, k):
@@ -187,7 +196,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
 
 
 def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, light: int = LIGHT):
-    """(signed rows, verified links between nodes as sid_a, sid_b)."""
+    """(signed rows, verified links between nodes as sid_a, sid_b). The links span every component; within a
+    component pairs that only heavy tiles hold may be missing, see ``degrees``."""
     t = threshold
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(_rarity(docs, k)))
     wide = staged(signatures(docs, k, t, ranks), "signed")
@@ -234,25 +244,106 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, light: int = LIGHT
     return signed, staged(links.unionByName(more), "links")
 
 
-def join_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, **options) -> DataFrame:
-    """Every row's doc_id, doc_hash, n_shingles, component_id and n_links (links of its set to others)."""
-    signed, links = link(docs, k, threshold, **options)
-    parts = components(links, "sid_a", "sid_b")
-    degree = links.select(F.explode(F.array("sid_a", "sid_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+def _counts(left: list, right: list | None, t: float):
+    """How many sets of the other list (without ``right``: how many others of the same) each set reaches t with."""
+    sets = left + (right or [])
+    n, n_left = np.array([len(x) for x in sets]), len(left)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = times[at] > 1  # an n-gram of one set is in no overlap
+    at, owner = (np.cumsum(times > 1) - 1)[at[shared]], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner, total = at[order], owner[order], int((times > 1).sum())
+    n_a, n_b = n[:n_left], n[:n_left] if right is None else n[n_left:]
+    common = np.zeros((len(n_a), len(n_b)))
+    step = max(1, SLICE_CELLS // len(sets))
+    for lo in range(0, total, step):
+        i, j = np.searchsorted(at, (lo, lo + step))
+        x = np.zeros((len(sets), min(step, total - lo)), np.float32)
+        x[owner[i:j], at[i:j] - lo] = 1
+        common += x[:n_left] @ (x[:n_left] if right is None else x[n_left:]).T
+    linked = common >= t * (n_a[:, None] + n_b[None, :] - common) - 1e-9
+    if right is None:
+        np.fill_diagonal(linked, False)
+        return linked.sum(1)
+    return np.concatenate((linked.sum(1), linked.sum(0)))
+
+
+def degrees(docs: DataFrame, signed: DataFrame, links: DataFrame, parts: DataFrame, k: int, t: float) -> DataFrame:
+    """sid and n_links: how many other nodes each node of ``parts`` is linked with, all pairs of it counted."""
+    nodes = parts.withColumnRenamed("node", "sid")
+    known = links.join(nodes.withColumnRenamed("sid", "sid_a"), "sid_a").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
+    sizes = nodes.join(signed.filter("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_hash").alias("doc_hash")), "sid")
+    sizes = staged(sizes, "sizes")
+    whole = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams")).join(known, "component")
+    few = F.least(F.ceil(F.col("m") / BLOCK), F.lit(MOST_BLOCKS))
+    blocks = F.greatest(few, F.ceil(F.col("m") / LARGE_BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    unsure = staged(whole.filter("known < m * (m - 1) / 2").select("component", blocks.alias("blocks")), "unsure")
+    sure = nodes.join(unsure, "component", "left_anti").select("sid")
+    plain = links.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links")).join(sure, "sid", "left_semi")
+    place = staged(sizes.join(unsure, "component").select("sid", "component", "doc_hash", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("part")), "place")
+    discard(sizes)
+    if place.isEmpty():
+        return plain
+
+    def grams(batches):
+        for batch in batches:
+            sets = [s.view(np.int64) for _, s in _sets(batch, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_hash")), pa.array(sets, pa.list_(pa.int64()))], names=["doc_hash", "grams"])
+    test = bit_filter(F.col("doc_hash"), place, 1 << 22)
+    texts = docs.select("text", row_hash(F.col("text")).alias("doc_hash")).filter(test(F.col("doc_hash"))).join(place.select("doc_hash"), "doc_hash", "left_semi")
+    made = texts.dropDuplicates(["doc_hash"]).select("doc_hash", "text").mapInArrow(grams, "doc_hash long, grams array<long>")
+    packed = made.join(place, "doc_hash").groupBy("component", "part", "blocks").agg(F.collect_list(F.struct("sid", "grams")).alias("members"))
+    other = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = other.groupBy("component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).agg(F.collect_list("members").alias("sides")).select(
+        (F.col("lo") == F.col("hi")).alias("one"), "sides")
+
+    def count(batches):
+        for batch in batches:
+            one, sides = batch.column(0).to_pylist(), batch.column(1)
+            sid, n = [], []
+            for i, alone in enumerate(one):
+                found = [side.values for side in sides[i].values]
+                if not alone and len(found) < 2:
+                    continue  # no node fell into the other block
+                sets = []
+                for side in found:
+                    flat, at = side.field("grams").flatten().to_numpy(zero_copy_only=False), side.field("grams").offsets.to_numpy()
+                    sets.append([flat[x - at[0]:y - at[0]] for x, y in zip(at[:-1], at[1:])])
+                sid.append(np.concatenate([side.field("sid").to_numpy(zero_copy_only=False) for side in found]))
+                n.append(_counts(sets[0], None if alone else sets[1], t))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sid) if sid else [], pa.int64()), pa.array(np.concatenate(n) if n else [], pa.int64())], names=["sid", "n"])
+    counted = met.mapInArrow(count, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n_links"))
+    return staged(plain.unionByName(counted), "degrees")
+
+
+def _named(signed: DataFrame, parts: DataFrame) -> DataFrame:
+    """sid and component_id of every node."""
     ids = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    known = ids.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    known = staged(known.join(degree.withColumnRenamed("node", "sid"), "sid", "left"), "members")
+    known = staged(ids.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "members")
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = known.join(names, "component").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return known.join(names, "component").select("sid", "component_id")
+
+
+def _components(signed: DataFrame, final: DataFrame, *more) -> DataFrame:
     out = signed.select("doc_id", "doc_hash", F.col("n").cast("long").alias("n_shingles"), "sid").join(final, "sid", "left")
-    return out.select("doc_id", "doc_hash", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "doc_hash", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
+
+
+def join_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, **options) -> DataFrame:
+    """Every row's doc_id, doc_hash, n_shingles, component_id and n_links: to how many other sets its set is
+    linked, all of them counted."""
+    signed, links = link(docs, k, threshold, **options)
+    parts = staged(components(links, "sid_a", "sid_b"), "parts")
+    final = _named(signed, parts).join(degrees(docs, signed, links, parts, k, threshold), "sid", "left")
+    return _components(signed, final, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, **options) -> DataFrame:
     """Rows of ``docs`` without near copies: of each component the row of the least id stays; of rows that
     share that id, those of the least text hash; rows equal in id and text all stay."""
-    found = staged(join_components(docs, k, threshold, **options), "components")
+    signed, links = link(docs, k, threshold, **options)
+    found = staged(_components(signed, _named(signed, components(links, "sid_a", "sid_b"))), "components")
     first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "doc_hash")).alias("stay"))
     doomed = found.filter("n_shingles > 0").join(first, found["component_id"].eqNullSafe(first["component_id"])).filter(
         ~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("doc_hash") == F.col("stay.doc_hash")))).select(
