@@ -39,10 +39,12 @@ NAMES = [
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?(?:version |v)?2 1"),
     ("agpl-3", "affero", r"gnu affero general public license (?:version |v)?3(?: 0)?"),
     ("agpl-3", "agpl", r"(?:gnu )?agpl ?(?:version |v)?3(?: 0)?"),
-    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2", "freebsd", r"freebsd"),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("bsd-0", "bsd", r"(?:zero clause bsd|0bsd|bsd 0 clause)"),
+    ("bsd-0", "bsd", r"(?:zero clause bsd|bsd 0 clause)"),
+    ("bsd-0", "0bsd", r"0bsd"),
     ("mpl-2", "mozilla", r"mozilla public license (?:version |v)?2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v)?1 1"),
     ("mpl-2", "mpl", r"mpl ?(?:version |v)?2(?: 0)?"),
@@ -94,7 +96,7 @@ FORMS = [
 SENTENCES = [
     ("mit", "free of charge", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
     ("mit", "deal in", r"to deal in the software without restriction", 0.9),
-    ("isc", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose", 0.95),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 0.95),
     ("bsd-3", "endorse", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse", 0.95),
     ("bsd-2", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 0.8),
     ("bsd-4", "advertising", r"all advertising materials mentioning features or use of this software", 0.95),
@@ -109,7 +111,6 @@ SENTENCES = [
     ("bsl-1.0", "boost", r"boost software license", 0.9),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 0.8),
 ]
-GATE = r" (?:licen[cs]e[ds]?|licensing|spdx|cc0?|gpl|lgpl|agpl|mpl|bsd|0bsd|wtfpl|unlicense|mit|isc|apache|copyright|reserved|confidential|proprietary|public|redistribution|permission|hereby|unencumbered|endorse|advertising|warranty|creative|deal) "
 
 
 @lru_cache(1)
@@ -154,9 +155,13 @@ def _scan(words: Column) -> Column:
     none = F.array().cast("array<struct<at:bigint,n:bigint>>")
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(F.contains(words, F.lit(f" {phrase} ")), _places(words, F.lit(f" {phrase}(?= )"))).otherwise(none).alias("places"))
                      for phrase, label in PHRASES.items()])
-    table = F.from_json(F.lit(json.dumps([dict(rank=i, label=label, keyword=keyword, expr=expr, priority=priority, weight=weight) for i, (label, keyword, expr, priority, weight) in enumerate(rules())])),
-                        "array<struct<rank:int,label:string,keyword:string,expr:string,priority:int,weight:double>>")
-    live = F.filter(table, lambda r: F.contains(words, F.concat(F.lit(" "), r["keyword"])))
+    # Every expression holds its keyword behind a space, so rules of keywords that do not occur match nothing.
+    groups = {}
+    for i, (label, keyword, expr, priority, weight) in enumerate(rules()):
+        groups.setdefault(keyword, []).append(dict(rank=i, label=label, expr=expr, priority=priority, weight=weight))
+    table = F.from_json(F.lit(json.dumps([dict(keyword=f" {keyword}", rules=found) for keyword, found in groups.items()])),
+                        "array<struct<keyword:string,rules:array<struct<rank:int,label:string,expr:string,priority:int,weight:double>>>>")
+    live = F.flatten(F.transform(F.filter(table, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
     hits = F.flatten(F.transform(live, lambda r: F.transform(_places(words, r["expr"]), lambda p: F.struct(
         p["at"].alias("start"), (-p["at"] - p["n"]).alias("back"), r["priority"].alias("priority"), r["rank"].alias("rank"), r["label"].alias("label"), r["weight"].alias("weight")))))
 
@@ -171,9 +176,8 @@ def _scan(words: Column) -> Column:
         one = F.struct(x["start"].alias("start"), end.alias("end"), x["priority"].alias("priority"), x["label"].alias("label"), x["weight"].alias("weight"))
         return F.struct(ends.alias("ends"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(one))).alias("kept"))
     kept = F.aggregate(F.array_sort(hits), zero, sweep, lambda acc: acc["kept"])
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint,priority:int,label:string,weight:double>>")
     return F.struct(F.struct(F.greatest(F.lit(0), _blanks(words) - 1).cast("long").alias("n_words"), base.alias("base")).alias("license_words"),
-                    F.when(words.rlike(GATE), kept).otherwise(nothing).alias("licenses"))
+                    kept.alias("licenses"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -192,16 +196,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def brute_force(text: str | None) -> dict:
-    """Plain model of the scan for tests: labels and detections of one text."""
+    """Plain model of the scan for tests, every rule on the whole text: labels and detections of one text."""
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     line = " " + "".join(w + " " for w in words)
     found = []
-    for rank, (label, keyword, expr, priority, weight) in enumerate(rules()):
-        if f" {keyword}" in line:
-            for m in re.finditer(expr, line):
-                at = line[:m.start()].count(" ")
-                found.append((at, at + m[0].count(" "), priority, rank, label, weight))
+    for rank, (label, _, expr, priority, weight) in enumerate(rules()):
+        for m in re.finditer(expr, line):
+            at = line[:m.start()].count(" ")
+            found.append((at, at + m[0].count(" "), priority, rank, label, weight))
     kept = [x for x in found if not any(y is not x and y[2] <= x[2] and y[0] <= x[0] and y[1] >= x[1] and
                                         ((y[0], y[1]) != (x[0], x[1]) or (y[2], y[3]) < (x[2], x[3])) for y in found)]
     return {"n_words": len(words), "labels": sorted({x[4] for x in kept}), "n": len(kept)}

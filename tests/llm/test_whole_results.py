@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from arbora.llm import ngramjoin
+from arbora.llm import licenses, ngramjoin
 
 SCHEMA = "doc_id long, text string"
 
@@ -37,3 +37,16 @@ def test_degrees_count_all_links(spark, monkeypatch, block):
     got = {r["doc_id"]: r["n_links"] for r in ngramjoin.join_components(spark.createDataFrame(rows, SCHEMA), 4, 0.85).collect()}
     want = plain_degrees(rows, 4, 0.85)
     assert got == want and max(want.values()) > 64
+
+
+FUSED = ["This program is distributed under the GPLv3", "Released under the LGPLv3.", "Code published under the AGPLv3 or later", "Made available under GPLv2", "Licensed under the MPLv2", "released under the OpenSSL",
+         "Distributed under the PostgreSQL", "available under zlib", "provided under the FreeBSD terms", "Governed by 0BSD", "subject to the terms of FreeBSD",
+         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", "mitigate the gplx and the bsds"]
+
+
+def test_licenses_need_no_other_words(spark):
+    got = {r["doc_id"]: r for r in licenses.digest(licenses.scan_licenses(spark.createDataFrame(list(enumerate(FUSED)), SCHEMA))).collect()}
+    for i, text in enumerate(FUSED):
+        model = licenses.brute_force(text)
+        assert got[i]["labels"] == ",".join(model["labels"]) and got[i]["n_detections"] == model["n"], text
+        assert bool(got[i]["labels"]) == (i < len(FUSED) - 1), text
