@@ -86,6 +86,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 HIDDEN = frozenset("script style noscript template svg math iframe object embed audio video canvas select option button textarea title head datalist map".split())
+#: Elements that may stand in a head; any other, and text, closes it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BAD_TAGS = frozenset("nav footer aside form header menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
@@ -127,8 +129,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             out.append((text, len(text.split()), min(linked, len(text.split())), heading, stack[-1][1] if stack else 0))
         parts, linked = [], 0
 
+    def leave_head():
+        if stack and stack[-1][0] == "head":
+            stack.pop()
+
     def say(raw):
         nonlocal linked
+        if raw.strip():
+            leave_head()
         if raw and not (stack and stack[-1][2]):
             text = html.unescape(raw)
             parts.append(text)
@@ -158,6 +166,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         at = m.end()
         closing, tag, attributes = m[1], m[2].lower(), m[3]
+        if tag in ("body", "html", "br") if closing else tag not in IN_HEAD:
+            leave_head()
         if tag == "a":
             links = 0 if closing else 1
         if tag == "br":

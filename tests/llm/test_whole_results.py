@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from arbora.llm import licenses, ngramjoin
+from arbora.llm import htmltext, licenses, ngramjoin
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,3 +50,12 @@ def test_licenses_need_no_other_words(spark):
         model = licenses.brute_force(text)
         assert got[i]["labels"] == ",".join(model["labels"]) and got[i]["n_detections"] == model["n"], text
         assert bool(got[i]["labels"]) == (i < len(FUSED) - 1), text
+
+
+def test_head_without_end_tag():
+    body = "<article><p>" + "word " * 40 + "</p></article>"
+    want = " ".join(["word"] * 40)
+    for head in ("<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=utf-8><script>x</script><link rel=x><body class=a>", "<head><title>T</title></head><body>", "<title>T</title><body>"):
+        assert htmltext.main_text("<html>" + head + body) == want, head
+    assert htmltext.main_text("<head><title>T</title>" + "word " * 40) == want
+    assert htmltext.main_text("<head><template><p>" + "word " * 40 + "</template></head>") == ""
