@@ -10,7 +10,8 @@ Words are runs of letters and digits, in lower case; shingles are of five words,
 is one shingle of all of them, looked for as that run of words in a document.
 
 Defined cases: null or empty texts, on either side, match nothing; rows that repeat an id are told apart by
-their text and reported once per id and item; repeated items with one id and text count once; empty tables
+their text and reported once per id and item; repeated items with one id and the same words count once, items
+that share an id (or have none) but not their words are items of their own, reported by that id; empty tables
 give an empty result; extra columns are ignored; a long text is one row's array of hashes, never a group.
 """
 
@@ -43,21 +44,21 @@ def shingles(hashes: Column, k: int) -> Column:
 
 
 def item_shingles(items: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """item_id, width (words of a shingle), n and hash, one row a distinct shingle."""
+    """item (key of id and words), item_id, width (words of a shingle) and hash, one row a distinct shingle."""
     words = items.select("item_id", word_hashes(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    words = words.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "w"))
     width = F.least(F.lit(k), F.size("w"))
     short = F.array(*[F.struct(F.lit(j).alias("width"), F.array_distinct(shingles(F.col("w"), j)).alias("s")) for j in range(1, k + 1)])
-    chosen = words.select("item_id", F.get(short, width - 1).alias("x")).select("item_id", "x.width", F.col("x.s").alias("s"))
-    # Items that share an id but not a text are one item of all their shingles of the widest width.
-    return chosen.select("item_id", "width", F.explode("s").alias("hash")).distinct()
+    chosen = words.select("item", "item_id", F.get(short, width - 1).alias("x")).select("item", "item_id", "x.width", F.col("x.s").alias("s"))
+    return chosen.select("item", "item_id", "width", F.explode("s").alias("hash")).distinct()
 
 
 def sketches(shingled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, width, n, band and the bottom-r sketch hashes of each item."""
-    sized = shingled.groupBy("item_id", "width").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("hash")).alias("hashes"))
+    """item, item_id, width, n, band and the bottom-r sketch hashes of each item."""
+    sized = shingled.groupBy("item", "item_id", "width").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("hash")).alias("hashes"))
     band = F.ceil(F.log2("n")).cast("int")
     r = F.floor(F.lit(round(1 - threshold, 9)) * F.pow(F.lit(2.0), band) + 1e-9).cast("int") + 1
-    return sized.select("item_id", "width", "n", band.alias("band"), F.slice("hashes", F.lit(1), F.least(r, F.size("hashes"))).alias("sketch"))
+    return sized.select("item", "item_id", "width", "n", band.alias("band"), F.slice("hashes", F.lit(1), F.least(r, F.size("hashes"))).alias("sketch"))
 
 
 def _doc_shingles(text: Column, widths: list[int]) -> Column:
@@ -80,13 +81,13 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshol
 
     def sized(df):
         return F.broadcast(df) if small else df
-    probe = sketch.select("item_id", "width", "n", F.explode("sketch").alias("hash"))
+    probe = sketch.select("item", "width", "n", F.explode("sketch").alias("hash"))
     base = docs.select("doc_id", row_hash(F.col("text")).alias("doc_hash"), "text")
     hashes = base.select("doc_id", "doc_hash", word_hashes(F.col("text")).alias("w"))
     hits = None
     for w in widths:
         runs = hashes.select("doc_id", "doc_hash", F.explode(shingles(F.col("w"), w)).alias("hash"))
-        one = runs.join(sized(probe.filter(F.col("width") == w).select("item_id", "hash").withColumnRenamed("item_id", "cand_id")), "hash").select("doc_id", "doc_hash", F.col("cand_id").alias("item_id"), F.lit(w).alias("width"))
+        one = runs.join(sized(probe.filter(F.col("width") == w).select("item", "hash")), "hash").select("doc_id", "doc_hash", "item", F.lit(w).alias("width"))
         hits = one if hits is None else hits.unionByName(one)
     pairs = staged(hits.distinct(), "candidates")
     test = bit_filter(F.col("doc_hash"), pairs)
@@ -94,10 +95,9 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshol
     again = base.filter(test(F.col("doc_hash"))).join(rows, (base["doc_hash"] == rows["doc_hash"]) & base["doc_id"].eqNullSafe(rows["_id"]), "left_semi")
     again = again.dropDuplicates(["doc_id", "doc_hash"])
     full = again.select("doc_id", "doc_hash", F.explode(_doc_shingles(F.col("text"), widths)).alias("x")).select("doc_id", "doc_hash", "x.width", "x.hash")
-    shared = full.join(sized(shingled.withColumnRenamed("item_id", "cand_id")), ["width", "hash"])
-    counted = shared.groupBy("doc_id", "doc_hash", F.col("cand_id").alias("item_id"), "width").agg(F.count(F.lit(1)).alias("n_common"))
-    sizes = sketch.select(F.col("item_id").alias("_item"), F.col("width").alias("_width"), F.col("n").alias("n_item"))
-    out = counted.join(sized(sizes), counted["item_id"].eqNullSafe(F.col("_item")) & (counted["width"] == F.col("_width")))
+    shared = full.join(sized(shingled.select("item", "width", "hash")), ["width", "hash"])
+    counted = shared.groupBy("doc_id", "doc_hash", "item").agg(F.count(F.lit(1)).alias("n_common"))
+    out = counted.join(sized(sketch.select("item", "item_id", F.col("n").alias("n_item"))), "item")
     ratio = F.col("n_common") / F.col("n_item")
     return out.filter(ratio >= threshold - 1e-9).select("doc_id", "doc_hash", "item_id", "n_item", "n_common", F.round(ratio, 6).alias("containment"))
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from arbora.llm import htmltext, licenses, ngramjoin
+from arbora.llm import decontaminate, htmltext, licenses, ngramjoin
 
 SCHEMA = "doc_id long, text string"
 
@@ -59,3 +59,12 @@ def test_head_without_end_tag():
         assert htmltext.main_text("<html>" + head + body) == want, head
     assert htmltext.main_text("<head><title>T</title>" + "word " * 40) == want
     assert htmltext.main_text("<head><template><p>" + "word " * 40 + "</template></head>") == ""
+
+
+def test_items_of_one_id_stay_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    items = spark.createDataFrame([(1, a), (1, b), (1, a), (None, c), (None, d)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "x " + a + " y"), (11, b), (12, c), (13, "z z z z z z")], SCHEMA)
+    found = decontaminate.find_contained(docs, items)
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["n_item"], r["n_common"]) for r in found.collect()) == [(10, 1, 16, 16), (11, 1, 16, 16), (12, 0, 16, 16)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [13]
