@@ -341,11 +341,21 @@ def join_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, **optio
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, **options) -> DataFrame:
     """Rows of ``docs`` without near copies: of each component the row of the least id stays; of rows that
-    share that id, those of the least text hash; rows equal in id and text all stay."""
+    share that id, that of the least text hash. Of rows equal in id and text one stays, the least by a hash of its columns."""
     signed, links = link(docs, k, threshold, **options)
     found = staged(_components(signed, _named(signed, components(links, "sid_a", "sid_b"))), "components")
     first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "doc_hash")).alias("stay"))
     doomed = found.filter("n_shingles > 0").join(first, found["component_id"].eqNullSafe(first["component_id"])).filter(
         ~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("doc_hash") == F.col("stay.doc_hash")))).select(
         "doc_id", "doc_hash").distinct()
-    return drop_rows(docs, staged(doomed, "copies"))
+    kept = drop_rows(docs, staged(doomed, "copies"))
+    repeated = staged(found.groupBy("doc_id", "doc_hash").count().filter("count > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    # Rows that the bit filter can't clear are grouped; those among them that are not repeated are groups of one.
+    test = bit_filter(F.col("doc_hash"), repeated, 1 << 22)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = kept.withColumn("_same_row", row_hash(F.col("text"))).withColumn("_same_maybe", test(F.col("_same_row")))
+    whole = F.struct(*columns)
+    one = keyed.filter("_same_maybe").groupBy(F.col("doc_id").alias("_same_id"), "_same_row").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_same"))
+    return keyed.filter(~F.col("_same_maybe")).select(*columns).unionByName(one.select(*[F.col(f"_same.`{c}`") for c in docs.columns]))

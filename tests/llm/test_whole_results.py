@@ -68,3 +68,9 @@ def test_items_of_one_id_stay_apart(spark):
     found = decontaminate.find_contained(docs, items)
     assert sorted((r["doc_id"], r["item_id"] or 0, r["n_item"], r["n_common"]) for r in found.collect()) == [(10, 1, 16, 16), (11, 1, 16, 16), (12, 0, 16, 16)]
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [13]
+
+
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, "a b c d e f g")] * 3 + [(2, "a b c d e f g"), (3, "other words of its own"), (None, "no id here at all"), (None, "no id here at all"), (4, None), (5, None)]
+    kept = ngramjoin.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, rows[5][1]), (1, rows[0][1]), (3, rows[4][1]), (4, ""), (5, "")]
