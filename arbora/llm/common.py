@@ -22,6 +22,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return _staged(df, name, free=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as it takes that no column of ``df`` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_hash(text: Column) -> Column:
     """Tells rows of one id apart by their text (null: as empty)."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -63,13 +71,14 @@ def drop_rows(docs: DataFrame, doomed: DataFrame, bits: int = 1 << 22) -> DataFr
 
     Only rows that the bit filter can't clear take part in the join; the others, with their texts, stay where
     they are."""
-    maybe = bit_filter(F.col("doc_hash"), doomed, bits)
-    out = doomed.select(F.col("doc_id").alias("_gone_id"), F.col("doc_hash").alias("_gone_hash"))
-    keyed = docs.withColumn("_gone_row", row_hash(F.col("text"))).withColumn("_gone_maybe", maybe(F.col("_gone_row")))
+    row, maybe, gone_id, gone_row = (fresh(docs, c) for c in ("row", "maybe", "gone_id", "gone_row"))
+    test = bit_filter(F.col("doc_hash"), doomed, bits)
+    out = doomed.select(F.col("doc_id").alias(gone_id), F.col("doc_hash").alias(gone_row))
+    keyed = docs.withColumn(row, row_hash(F.col("text"))).withColumn(maybe, test(F.col(row)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col("_gone_row").eqNullSafe(F.col("_gone_hash")) & keyed["doc_id"].eqNullSafe(out["_gone_id"])
-    rest = keyed.filter("_gone_maybe").join(out, same, "left_anti").select(*columns)
-    return keyed.filter(~F.col("_gone_maybe")).select(*columns).unionByName(rest)
+    same = F.col(row).eqNullSafe(F.col(gone_row)) & F.col("doc_id").eqNullSafe(F.col(gone_id))
+    rest = keyed.filter(F.col(maybe)).join(out, same, "left_anti").select(*columns)
+    return keyed.filter(~F.col(maybe)).select(*columns).unionByName(rest)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, let, row_hash, staged
+from .common import bit_filter, drop_rows, let, row_hash, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -104,13 +104,5 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshol
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that contain no item."""
-    found = find_contained(docs, items, **options).select(F.col("doc_id").alias("_leak_id"), F.col("doc_hash").alias("_leak_hash")).distinct()
-    found = staged(found, "leaks")
-    keyed = docs.withColumn("_leak_row", row_hash(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(found["_leak_id"]) & (keyed["_leak_row"] == found["_leak_hash"])
-    maybe = bit_filter(F.col("_leak_hash"), found)
-    # Only rows that the bit filter can't clear take part in the join; the others stay where they are.
-    suspect = keyed.withColumn("_leak_maybe", maybe(F.col("_leak_row")))
-    clear = suspect.filter(~F.col("_leak_maybe")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    rest = suspect.filter("_leak_maybe").join(found, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return clear.unionByName(rest)
+    found = find_contained(docs, items, **options).select("doc_id", "doc_hash").distinct()
+    return drop_rows(docs, staged(found, "leaks"), 1 << 20)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import bit_filter, discard, drop_rows, row_hash, staged
+from .common import bit_filter, discard, drop_rows, fresh, row_hash, staged
 from .components import components
 
 #: Bits of a node's bitmap, and of its fold, which tiles carry.
@@ -355,7 +355,8 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, **options) ->
     # Rows that the bit filter can't clear are grouped; those among them that are not repeated are groups of one.
     test = bit_filter(F.col("doc_hash"), repeated, 1 << 22)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = kept.withColumn("_same_row", row_hash(F.col("text"))).withColumn("_same_maybe", test(F.col("_same_row")))
+    row, maybe, same_id, same = (fresh(docs, c) for c in ("row", "maybe", "same_id", "same"))
+    keyed = kept.withColumn(row, row_hash(F.col("text"))).withColumn(maybe, test(F.col(row)))
     whole = F.struct(*columns)
-    one = keyed.filter("_same_maybe").groupBy(F.col("doc_id").alias("_same_id"), "_same_row").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_same"))
-    return keyed.filter(~F.col("_same_maybe")).select(*columns).unionByName(one.select(*[F.col(f"_same.`{c}`") for c in docs.columns]))
+    one = keyed.filter(F.col(maybe)).groupBy(F.col("doc_id").alias(same_id), row).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(same))
+    return keyed.filter(~F.col(maybe)).select(*columns).unionByName(one.select(*[F.col(f"{same}.`{c}`") for c in docs.columns]))
