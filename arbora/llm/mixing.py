@@ -6,7 +6,7 @@ source; no task holds a whole source. A source's target may need several epochs:
 its rows, the last one takes rows in key order up to the exact word budget, cutting the row at the border.
 
 Defined cases: null text has size 0 and null source is a source of its own that sorts last; rows that repeat
-an id share a key and are ordered by size; an empty table gives an empty mix; sources without words get
+an id share a key and are ordered by size and text; an empty table gives an empty mix; sources without words get
 target 0; extra columns are ignored by :func:`mix_sizes` and kept by :func:`mix`.
 """
 
@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, staged
+from .common import SPACES, fresh, row_hash, staged
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is repeated at most so many times.
 MAX_EPOCHS = 3
 BUCKETS = 1024
+#: Borders, a row a source, are broadcast up to so many; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -61,35 +63,85 @@ def targets(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return t.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
-def mix_sizes(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted)."""
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("key")), "sizes")
-    part = F.pmod(F.conv(F.substring("key", 1, 6), 16, 10).cast("long"), F.lit(buckets)) if buckets & (buckets - 1) else (
-        F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), 24 - (buckets.bit_length() - 1)))
-    sized = sized.withColumn("source0", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).withColumn("part", part.cast("int"))
+def _source_key(source: Column) -> Column:
+    """A source as a string that joins: null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
+def _ordered(docs: DataFrame, buckets: int, seed: str) -> DataFrame:
+    """The narrow columns of every row, stored: source, size, and its place (part, key, id, size, text hash) in the mix."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("key"), row_hash(F.col("text")).alias("rk"))
+    part = F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * buckets / float(1 << 28)).cast("int")
+    return staged(sized.withColumn("source0", _source_key(F.col("source"))).withColumn("part", part), "sizes")
+
+
+def _taken(sized: DataFrame, weights, max_epochs: int) -> DataFrame:
+    """``sized`` with source_size, target, epochs (whole ones), left (words of the last epoch) and before (words of
+    the source ahead of the row)."""
     sums = sized.groupBy("source0", "part").agg(F.first("source").alias("source"), F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source0").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sums.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     totals = sums.groupBy("source0").agg(F.first("source").alias("source"), F.sum("part_size").alias("source_size"))
-    goal = targets(totals.select("source", "source_size"), weights, max_epochs).withColumn("source0", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    goal = targets(totals.select("source", "source_size"), weights, max_epochs).withColumn("source0", _source_key(F.col("source")))
     borders = parts.select("source0", "part", "ahead").join(goal.select("source0", "source_size", "target"), "source0")
-    inside = Window.partitionBy("source0", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    run = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = run.join(borders, ["source0", "part"])
+    inside = Window.partitionBy("source0", "part").orderBy("key", "doc_id", "size", "rk").rowsBetween(Window.unboundedPreceding, -1)
+    run = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(borders, ["source0", "part"])
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = budget - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("ahead") - F.col("inside")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).alias("taken"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that the mix takes, with ``mix_taken`` words each; the row at a budget's border is
-    taken in part, its first words. Rows of equal id, source and size share one decision."""
-    taken = mix_sizes(docs, **options).filter("taken > 0").groupBy(
-        F.col("doc_id").alias("_mix_id"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_mix_source"), F.col("size").alias("_mix_size")
-    ).agg(F.max("taken").alias("mix_taken"))
-    keyed = docs.withColumn("_mix_size0", word_count(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(taken["_mix_id"]) & (keyed["_mix_size0"] == taken["_mix_size"]) & (
-        F.coalesce(F.concat(F.lit("s"), keyed["source"]), F.lit("")) == taken["_mix_source"])
-    return keyed.join(taken, same).select(*[keyed[f"`{c}`"] for c in docs.columns], "mix_taken")
+    return run.withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size")).withColumn("before", F.col("ahead") + F.col("inside"))
+
+
+def _last(size: Column, left: Column, before: Column) -> Column:
+    """Words that the last, partial epoch takes of a row."""
+    return F.greatest(F.lit(0).cast("long"), F.least(size, left - before))
+
+
+def mix_sizes(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted)."""
+    out = _taken(_ordered(docs, buckets, seed), weights, max_epochs)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _last(F.col("size"), F.col("left"), F.col("before"))).alias("taken"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+    """Rows of ``docs`` that the mix takes, with ``mix_taken`` words each (a column of that name is replaced); the row
+    at a budget's border is taken in part, its first words.
+
+    A row's share follows from its place beside its source's border, so texts stay where they are; only rows equal in
+    id and text that stand at a border themselves are numbered, over their partitions, and share it out.
+    """
+    run = _taken(_ordered(docs, buckets, seed), weights, max_epochs)
+    place = ("key", "doc_id", "size", "rk")
+    reached = F.when(F.col("before") < F.col("left"), F.struct(*place))
+    cut = run.groupBy("source0").agg(F.max("epochs").alias("epochs"), F.max("left").alias("left"), F.max(reached).alias("cut"))
+    same = run.join(cut.select("source0", "cut"), "source0").filter(F.struct(*place) == F.col("cut"))
+    tied = same.groupBy("source0").agg(F.min("before").alias("before"), F.count(F.lit(1)).alias("ties"))
+    cut = staged(cut.join(tied, "source0", "left"), "cuts")
+    side = cut.select(F.col("source0").alias("of"), F.struct("epochs", "left", "cut", "before", "ties").alias("at"))
+    side = F.broadcast(side) if cut.count() <= BROADCAST_SOURCES else side
+
+    names = {c: fresh(docs, c) for c in ("size", "key", "rk", "of", "at", "here", "task", "n", "first", "of2", "task2")}
+    size, of, at, here, task, n, first = (names[c] for c in ("size", "of", "at", "here", "task", "n", "first"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix_taken"]
+    keyed = docs.withColumns({size: word_count(F.col("text")), names["key"]: mix_key(F.col("doc_id"), seed), names["rk"]: row_hash(F.col("text"))})
+    side = side.select(F.col("of").alias(of), F.col("at").alias(at))
+    keyed = keyed.join(side, _source_key(F.col("source")) == F.col(of))
+    own = F.struct(F.col(names["key"]).alias("key"), F.col("doc_id").alias("doc_id"), F.col(size).alias("size"), F.col(names["rk"]).alias("rk"))
+    cut_at = F.col(f"{at}.cut")
+    keyed = keyed.withColumn(here, F.when(cut_at.isNull() | (own > cut_at), 1).when(own < cut_at, -1).otherwise(0))
+    whole = F.col(f"{at}.epochs") * F.col(size)
+
+    def result(rows, last):
+        return rows.withColumn(n, whole + last).filter(F.col(n) > 0).select(*columns, F.col(n).alias("mix_taken"))
+    alone = F.col(f"{at}.ties") <= 1
+    plain = keyed.filter((F.col(here) != 0) | alone)
+    out = result(plain, F.when(F.col(here) < 0, F.col(size)).when(F.col(here) > 0, 0).otherwise(_last(F.col(size), F.col(f"{at}.left"), F.col(f"{at}.before"))))
+    if not cut.filter("ties > 1").limit(1).count():
+        return out
+    equal = staged(keyed.filter((F.col(here) == 0) & ~alone).withColumn(task, F.spark_partition_id()), "ties")
+    tasks = equal.groupBy(of, task).agg(F.count(F.lit(1)).alias(n))
+    ahead = Window.partitionBy(of).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(F.col(of).alias(names["of2"]), F.col(task).alias(names["task2"]), F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(first))
+    numbered = equal.withColumn(n, F.row_number().over(Window.partitionBy(of, task).orderBy(F.xxhash64(at))) - 1)
+    numbered = numbered.join(tasks, (F.col(of) == F.col(names["of2"])) & (F.col(task) == F.col(names["task2"])))
+    before = F.col(f"{at}.before") + (F.col(first) + F.col(n)) * F.col(size)
+    return out.unionByName(result(numbered, _last(F.col(size), F.col(f"{at}.left"), before)))
