@@ -165,8 +165,8 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or scratch_path(docs.sparkSession, "tar")
     index = write_shards(docs, folder)
     n = index.select("shard").distinct().count()
-    # A shard's rows are read by one task, in the shard's order.
-    placed = index.repartition(max(1, min(n, 10_000)), "shard").sortWithinPartitions("shard", "offset")
+    # A shard's rows are read by one task, in the shard's order; ranges deal shards out evenly.
+    placed = index.repartitionByRange(max(1, n), "shard").sortWithinPartitions("shard", "offset")
     return with_payload(with_metadata(placed))
 
 
