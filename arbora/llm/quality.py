@@ -1,18 +1,18 @@
 """Quality classifier by importance resampling.
 
-Two hashed n-gram models are fitted: the raw model on every document, the target model on good documents of
+Two hashed n-gram models are fitted: the raw model on every document, the target model on the good documents of
 a labelled sample (bounded by ``sample``). A document's log importance weight is the sum, over its n-grams,
-of log p_target - log p_raw less a border per n-gram that the other half of the sample fixes. Gumbel noise
-from a hash of the row turns weights into keys, and the k largest keys are the sample: k is the number of
-documents whose weight is positive. N-grams are words, word pairs and one to three word shapes (case,
-digits, punctuation, length, repetition), so the models see layout and repetition in any language.
+of log p_target - log p_raw. Gumbel noise from a hash of the row turns weights into keys, and the k largest keys
+are the sample. k is a share of the documents with words: that of good ones among the labelled, unless the caller
+names another. N-grams are words, word pairs and one to three word shapes (case, digits, punctuation, length,
+repetition), so the models see layout and repetition in any language.
 
 The k-th key is found by counting keys in 4096 bins, again within a bin, until few rows are left: no global
 sort, nothing unbounded on the driver.
 
 Defined cases: null and empty texts have no n-grams, weight 0, and are rejected; rows equal in id and text
-share a key and their fate; without usable labels every document with words is kept; extra columns are kept
-by :func:`keep_good`.
+share a key and their fate, as do rows of equal keys (all that tie with the k-th key are kept); without a good
+label every document with words is kept; extra columns are kept by :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from . import bytescan
 from .common import drop_rows, row_hash, staged
 
 BUCKETS = 1 << 14
-#: Labelled rows that the target model and the border are fitted on, at most; half each.
+#: Labelled rows that the target model and the share of good ones are taken from, at most.
 SAMPLE = 8000
-TEMPERATURE = 0.25
+#: Weights are divided by this before the noise is added.
+TEMPERATURE = 1.0
 _UPPER = np.zeros(256, np.int32)
 _UPPER[65:91] = 1
 _LOW = np.zeros(256, np.int32)
@@ -101,36 +102,24 @@ def _scored(rows: DataFrame, ratio, buckets: int, schema: str) -> DataFrame:
     return rows.mapInArrow(score, schema + ", total double, n_grams long")
 
 
-def _border(good: np.ndarray, bad: np.ndarray) -> float:
-    """Mean log ratio that parts good from bad with fewest errors; of several the middle."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    values = np.sort(np.concatenate([good, bad]))
-    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
-    errors = np.searchsorted(np.sort(good), cuts) + len(bad) - np.searchsorted(np.sort(bad), cuts)
-    best = np.flatnonzero(errors == errors.min())
-    return float(cuts[best[len(best) // 2]])
-
-
-def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, doc_hash, n_grams and log_weight of every row."""
+def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[DataFrame, float]:
+    """doc_id, doc_hash, n_grams and log_weight of every row; and the share of good ones among the labelled rows
+    with words, 1 without any."""
     spark = docs.sparkSession
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn(
-        "_order", F.xxhash64("doc_id", F.lit(7))).orderBy("_order", "doc_id").limit(sample)
-    known = staged(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "quality", (F.pmod("_order", F.lit(2)) == 0).alias("fit"))), "doc_id").select(
-        "quality", "fit", "text"), "labelled")
+        "at", F.xxhash64("doc_id", F.lit(7))).orderBy("at", "doc_id").limit(sample)
+    known = staged(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").select("quality", "text"), "labelled")
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    n, good = known.filter(worded).agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0))).first()
     raw = _counts(docs, buckets)
-    target = _counts(known.filter("quality = 1 and fit"), buckets)
+    target = _counts(known.filter("quality = 1"), buckets)
     if not target.sum():
         target = raw
     log = np.log((target + 0.5) / (target.sum() + 0.5 * buckets)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * buckets))
     ratio = spark.sparkContext.broadcast(log)
-    held = _scored(known.filter("not fit").select("quality", "text"), ratio, buckets, "quality int").filter("n_grams > 0").select("quality", (F.col("total") / F.col("n_grams")).alias("m")).collect()  # at most ``sample`` rows
-    border = _border(np.array([r["m"] for r in held if r["quality"] == 1]), np.array([r["m"] for r in held if r["quality"] != 1]))
-    border = border if np.isfinite(border) else float(log.min()) - 1
     kind = dict(docs.dtypes)["doc_id"]
     scored = _scored(docs.select("doc_id", row_hash(F.col("text")).alias("doc_hash"), "text"), ratio, buckets, f"doc_id {kind}, doc_hash long")
-    return scored.select("doc_id", "doc_hash", "n_grams", (F.col("total") - F.col("n_grams") * border).alias("log_weight"))
+    return scored.select("doc_id", "doc_hash", "n_grams", F.col("total").alias("log_weight")), good / n if good else 1.0
 
 
 def _kth(keys: DataFrame, k: int, few: int = 4096) -> float:
@@ -158,12 +147,14 @@ def _kth(keys: DataFrame, k: int, few: int = 4096) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, **options) -> DataFrame:
-    """doc_id, doc_hash, n_grams, log_weight, gumbel_key and kept of every row."""
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE, **options) -> DataFrame:
+    """doc_id, doc_hash, n_grams, log_weight, gumbel_key and kept of every row. ``share``: the size of the sample, as a
+    part of the rows with words; by default the share of good rows among the labelled ones."""
     u = (F.pmod(F.xxhash64("doc_hash", "doc_id", F.lit(11)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keys = staged(weigh(docs, labels, **options).withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(u))), "keys")
+    weighed, good = weigh(docs, labels, **options)
+    keys = staged(weighed.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(u))), "keys")
     words = keys.filter("n_grams > 0")
-    k = words.filter("log_weight > 0").count()
+    k = round(words.count() * (good if share is None else share))
     cut = _kth(words.select("key"), k) if k else float("inf")
     return keys.select("doc_id", "doc_hash", "n_grams", "log_weight", F.col("key").alias("gumbel_key"), ((F.col("n_grams") > 0) & (F.col("key") >= cut)).alias("kept"))
 
