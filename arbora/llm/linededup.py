@@ -1,22 +1,24 @@
 """Line dedup: exact set-similarity self-join over the lines of all documents, later matches removed.
 
 A line is its set of words, between white space. Tokens are ordered by rarity; a line's prefix, its n - ceil(t * n) + 1
-rarest tokens, must share a token with every line of Jaccard similarity t or more. Pairs pass the length
-filter and the positional filter (how much can still overlap after the first shared position), then exact
-Jaccard over the whole sets. A line goes when any earlier line of the corpus matches it, in the order of
-(doc_id, text hash, line number); so of a group of equal lines the first stays.
+rarest tokens, must share a token with every line of Jaccard similarity t or more. Lines meet by (token, size band),
+a line in its own band and the next, which holds all sizes that the length filter lets through. Pairs pass the length
+filter, the positional filter (how much can still overlap after the first shared position) and a bound from parity
+bits, then exact Jaccard over the whole sets. A line goes when any earlier line of the corpus matches it, in the order
+of (doc_id, text hash, line number); so of a group of equal lines the first stays.
 
-Rarity is counted over all lines into a table of bounded size, at most 2^24 hash buckets, and the order is
-(level of the bucket's count, hash). Any fixed order makes the join exact.
+Rarity is counted over all lines into a table of BUCKETS hash buckets, and the order is (level of the bucket's count,
+hash). Any fixed order makes the join exact.
 
-Equal sets collapse first, so copies cost one row each. Prefix tokens of few lines have short posting lists
-and join directly. Heavy ones, by count, might be shared by a third of all lines: there every line first
-meets only the earliest line of its (token, size band), which settles large groups of near copies in linear
-work; lines still unsettled then meet the whole posting list, so no match is lost.
+Equal sets, told by two 64-bit hashes, collapse first, so copies cost one row each. Prefix tokens of few lines have
+short posting lists and join directly. Heavy ones, by count, might be shared by a third of all lines: there every line
+first meets only the earliest line of its (token, band), which settles large groups of near copies in linear work;
+lines still unsettled then meet the whole posting list, so no match is lost.
 
 Defined cases: null text gives a null text back; an empty text is one empty line, and blank lines are kept,
 never matched; rows that repeat id and text count as one document and get the same result; a document whose
-lines all go has an empty text; extra columns are kept by :func:`dedup_lines`.
+lines all go has an empty text; extra columns are kept by :func:`dedup_lines`, whatever their names, but for one
+named ``line_dedup``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -27,22 +29,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, byte_table, discard, let, row_hash, staged
+from .common import bit_filter, byte_table, discard, fresh, let, row_hash, staged
 
 THRESHOLD = 0.8
-#: Buckets of the token counts, one byte each: about a bucket for WORDS words, between these bounds.
-WORDS, LEAST_BUCKETS, MOST_BUCKETS = 32, 1 << 18, 1 << 24
+#: Buckets of the token counts, one byte each.
+BUCKETS = 1 << 20
 #: A token in the prefixes of more lines is heavy.
 LIGHT = 512
 #: Shares in which tokens meet, one after the other.
 PASSES = 2
 #: Heavy tokens (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
 BROADCAST_TOKENS = 200_000
+#: Parts that a heavy token's lines of one band are dealt into when they meet their earliest line.
+SALTS = 16
 WHITE = "\t\x0b\x0c\r"
 
 
 def _spaced(text: Column) -> Column:
-    """White space as spaces. Most texts have no other, which is cheap to see."""
+    """White space but line feeds as spaces. Most texts have no other, which is cheap to see."""
     odd = F.contains(text, F.lit(WHITE[0])) | F.contains(text, F.lit(WHITE[1])) | F.contains(text, F.lit(WHITE[2])) | F.contains(text, F.lit(WHITE[3]))
     return F.when(odd, F.translate(text, WHITE, " " * len(WHITE))).otherwise(text)
 
@@ -52,38 +56,32 @@ def _level(count: Column) -> Column:
     return F.least(F.lit(127), F.floor(4 * F.log2(count + 1)).cast("int"))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """A power of two that follows the corpus, so that rare tokens are told apart alike at every size up to the
-    bound."""
-    words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1, words / WORDS)))))
+def _words(docs: DataFrame) -> DataFrame:
+    """A stored table of the lines with words: uid, doc_id, rk, pos and the 64-bit hashes of the line's distinct words.
 
+    Texts are cut into words once; the counts, the sets and the checks all read this."""
+    lines = docs.select("doc_id", row_hash(F.col("text")).alias("rk"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return staged(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "rk", "pos", hashes.alias("words")), "words")
 
-def rarity_table(docs: DataFrame, buckets: int) -> Column:
-    """A literal array: for each hash bucket the level of its token count over all lines."""
-    spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(_spaced(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))), " ")).alias("w")).filter("w <> ''")
-    # One map task a core: what a task sends is bounded by the table, however long its input.
-    few = words.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    counts = few.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+def rarity_table(words: DataFrame, buckets: int) -> Column:
+    """A literal array: for each hash bucket the level of the number of lines that its words are in."""
+    every = words.select(F.explode("words").alias("w"))
+    counts = every.groupBy(F.col("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     # At most a number for each bucket reaches the driver.
     packed = counts.select(F.shiftleft(F.col("b"), 7).bitwiseOR(_level(F.col("n"))).alias("x")).toArrow()["x"].to_numpy()
     table = np.zeros(buckets, np.uint8)
     table[packed >> 7] = packed & 127
-    return byte_table(spark, table.tobytes())
-
+    return byte_table(words.sparkSession, table.tobytes())
 
-def _codes(line: Column, levels: Column, buckets: int) -> Column:
-    """Distinct words as sorted longs: level of rarity in the upper bits, hash in the others."""
-    def code(w):
-        level = F.get(levels, F.xxhash64(w).bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-    def coded(text):
-        every = F.split(text, " ")
-        words = F.when(F.contains(text, F.lit("  ")) | text.startswith(" ") | text.endswith(" ") | (text == ""), F.filter(every, lambda w: w != "")).otherwise(every)
-        return F.sort_array(F.array_distinct(F.transform(words, code)))
-    return let(_spaced(line), coded)
+def _codes(words: Column, levels: Column, buckets: int) -> Column:
+    """The set as sorted longs: level of rarity in the upper bits, hash in the others."""
+    def code(h):
+        level = F.coalesce(F.get(levels, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(words, code))
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -91,30 +89,33 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * (t / (1 + t)) - 1e-9)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", row_hash(F.col("text")).alias("rk"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-
-
-def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, light: int = LIGHT) -> DataFrame:
-    """(doc_id, rk, pos) of the lines that stay, without blank lines."""
+def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rk, pos) of all lines with words, and of those that stay."""
     t = threshold
-    buckets = buckets or bucket_count(docs)
-    levels = rarity_table(docs, buckets)
-    coded = _lines(docs).select("doc_id", "rk", "pos", _codes(F.col("line"), levels, buckets).alias("codes")).filter(F.size("codes") > 0)
+    words = _words(docs)
+    levels = rarity_table(words, buckets)
+    coded = words.select("uid", "doc_id", "rk", "pos", _codes(F.col("words"), levels, buckets).alias("codes"))
     n = F.size("codes")
     keep = n - F.ceil(n * t - 1e-9).cast("int") + 1
     partners = F.ceil((n + 1) * t - 1e-9) <= n  # else only an equal set can match
     one = F.lit(1).cast("bigint")
-    bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.when(partners, F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>"))
-    rows = coded.select(F.xxhash64("codes").alias("sid"), F.struct("doc_id", "rk", "pos").alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
-    firsts = rows.groupBy("sid").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.doc_id", "ord.rk", "ord.pos", "set.*")
-    # Ids that rise with the order of lines: range partitions, sorted, then numbered within.
-    firsts = staged(firsts.repartitionByRange("doc_id", "rk", "pos").sortWithinPartitions("doc_id", "rk", "pos").withColumn("id", F.monotonically_increasing_id()), "lines")
+    rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos", F.col("uid").alias("id")).alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
+    firsts = staged(rows.groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
 
-    posting = firsts.select("id", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    def side(df, tag):
-        return df.select("token", *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "n", "i", "bits")])
+    def band(size):
+        return F.floor(F.log(size) / -math.log(t)).cast("int")
+    posting = firsts.select("id", "doc_id", "rk", "pos", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    top = band(F.floor(F.col("n") / t + 1e-9))
+
+    def side(df, key, tag):
+        """Rows of a (token, band) key, which may collide as all pairs are checked; size and place share a long."""
+        return df.select(F.xxhash64("token", key).alias("key"), F.col("id").alias(f"id_{tag}"), F.col("bits").alias(f"bits_{tag}"), F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint")).alias(f"at_{tag}"))
+
+    def fields(tag):
+        at = F.col(f"at_{tag}")
+        return {"n": F.shiftright(at, 32), "i": at.bitwiseAND(F.lit((1 << 32) - 1)), "bits": F.col(f"bits_{tag}")}
 
     def passes(a, b):
         """Length, positional and parity-bit filter of a pair."""
@@ -123,68 +124,108 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int | Non
         return (small >= large * t - 1e-9) & (F.least(a["n"] - a["i"], b["n"] - b["i"]) >= need) & (
             a["n"] + b["n"] - F.bit_count(a["bits"].bitwiseXOR(b["bits"])) >= 2 * need)
 
-    def fields(tag):
-        return {c: F.col(f"{c}_{tag}") for c in ("n", "i", "bits")}
+    def meet(some, every, least):
+        """Pairs of lines of ``some`` (a) with lines of ``every`` (b) in the bands from ``least`` to the last that can match."""
+        low = some.withColumn("to", F.explode(F.sequence(least, top)))
+        return side(low, F.col("to"), "a").join(side(every, band(F.col("n")), "b"), "key").filter((F.col("id_a") != F.col("id_b")) & passes(fields("a"), fields("b")))
+
+    def unordered(pairs):
+        return pairs.select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"))
+
     hot = direct = None
     for turn in range(PASSES):  # a share of the tokens at a time, so that a share of the shuffle files is there
         share = posting.filter(F.pmod("token", F.lit(PASSES)) == turn)
-        heavy = staged(share.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > light).select("token"), "heavy")
+        # A token is in no more lines than its bucket counts, so only tokens of full buckets need counting.
+        full = share.filter(F.shiftright("token", 56) >= math.floor(4 * math.log2(light + 2)))
+        heavy = staged(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > light).select("token"), "heavy")
         few = heavy.count() <= BROADCAST_TOKENS
         flag = heavy.withColumn("heavy", F.lit(True))
         marked = share.join(F.broadcast(flag) if few else flag, "token", "left")
         cold = marked.filter("heavy is null")
-        pairs = side(cold, "a").join(side(cold, "b"), "token").filter((F.col("id_b") < F.col("id_a")) & passes(fields("a"), fields("b"))).select("id_a", "id_b")
-        pairs = staged(pairs, "pairs")
-        rest = staged(marked.filter("heavy").drop("heavy").withColumn("band", F.floor(F.log("n") / -math.log(t)).cast("int")), "hot")
+        # The smaller line of a pair, or either of equal ones, has a shared token among its n - ceil(2t / (1 + t) * n) + 1 first.
+        small = cold.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9))
+        a, b = F.shiftright("at_a", 32), F.shiftright("at_b", 32)
+        pairs = staged(unordered(meet(small, cold, band(F.col("n"))).filter((a < b) | ((a == b) & (F.col("id_a") < F.col("id_b"))))), "pairs")
+        rest = staged(marked.filter("heavy").drop("heavy"), "hot")
         direct, hot = (pairs, rest) if direct is None else (direct.unionByName(pairs), hot.unionByName(rest))
-    lead = hot.groupBy("token", "band").agg(F.min(F.struct("id", "n", "i", "bits")).alias("lead"))
-    star = hot.join(lead, ["token", "band"]).filter((F.col("id") > F.col("lead.id")) & passes(
-        {c: F.col(c) for c in ("n", "i", "bits")}, {c: F.col(f"lead.{c}") for c in ("n", "i", "bits")})).select(F.col("id").alias("id_a"), F.col("lead.id").alias("id_b"))
-    first_pairs = staged(direct.unionByName(star).distinct(), "pairs")
-    settled = _matched(docs, first_pairs, firsts, levels, t, buckets)
+    banded = hot.withColumn("band", band(F.col("n"))).withColumn("salt", F.pmod("id", F.lit(SALTS)))
+    lead = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "rk", "pos", "id", "n", "i", "bits")).alias("lead")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    star = banded.join(lead, ["token", "band", "salt"]).filter((F.col("id") != F.col("lead.id")) & passes({c: F.col(c) for c in ("n", "i", "bits")}, {c: F.col(f"lead.{c}") for c in ("n", "i", "bits")}))
+    first_pairs = staged(direct.unionByName(unordered(star.select(F.col("id").alias("id_a"), F.col("lead.id").alias("id_b")))).distinct(), "pairs")
+    settled = _later(words, first_pairs, firsts, t)
 
-    # Heavy tokens again, whole: every unsettled line against all earlier ones.
-    mine = hot.join(settled.withColumnRenamed("id_a", "id"), "id", "left_anti")
-    whole = side(mine, "a").join(side(hot, "b"), "token").filter((F.col("id_b") < F.col("id_a")) & passes(fields("a"), fields("b"))).select("id_a", "id_b")
-    second_pairs = staged(whole.distinct().join(first_pairs, ["id_a", "id_b"], "left_anti"), "pairs")
-    gone = settled.unionByName(_matched(docs, second_pairs, firsts, levels, t, buckets)).withColumnRenamed("id_a", "id")
-    return firsts.select("id", "doc_id", "rk", "pos").join(gone, "id", "left_anti").drop("id")
+    # Heavy tokens again, whole: every unsettled line against all others.
+    mine = hot.join(settled, "id", "left_anti")
+    whole = unordered(meet(mine, hot, band(F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9)))))
+    gone = settled.unionByName(_later(words, staged(whole.distinct().join(first_pairs, ["x", "y"], "left_anti"), "pairs"), firsts, t))
+    return words.select("doc_id", "rk", "pos"), firsts.select("id", "doc_id", "rk", "pos").join(gone, "id", "left_anti").drop("id")
 
 
-def _matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, levels: Column, t: float, buckets: int) -> DataFrame:
-    """id_a of those pairs (later id_a, earlier id_b) whose exact Jaccard similarity reaches t.
+def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
+    """id of the later line of each pair (x, y) whose exact Jaccard similarity reaches t.
 
-    Each later line first meets its earliest candidate; only lines that this leaves open meet the others."""
+    Parity bits of four words bound the overlap from above; then each later line meets its earliest candidate, and only
+    lines that this leaves open meet the others."""
     if pairs.isEmpty():
-        return pairs.select("id_a")
-    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    need = staged(firsts.select("id", F.col("doc_id").alias("_doc"), F.col("rk").alias("_rk"), F.col("pos").alias("_pos")).join(ids, "id"), "needed")
-    test = bit_filter(F.xxhash64("_doc", "_rk", "_pos"), need, 1 << 22)
-    some = _lines(docs).filter(test(F.xxhash64("doc_id", "rk", "pos")))
-    some = some.join(need, (F.col("rk") == F.col("_rk")) & (F.col("pos") == F.col("_pos")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["id"])
-    sets = staged(some.select("id", _codes(F.col("line"), levels, buckets).alias("codes")), "sets")
+        return pairs.select(F.col("x").alias("id"))
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    need = firsts.select("id", "doc_id", "rk", "pos").join(ids, "id").repartitionByRange("doc_id", "rk", "pos").sortWithinPartitions("doc_id", "rk", "pos")
+    need = staged(need.select("id", F.monotonically_increasing_id().alias("rank")), "needed")
+    test = bit_filter(F.col("id"), need, 1 << 22)
+    one = F.lit(1).cast("bigint")
+
+    def parity(j):
+        own = F.filter("words", lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == j)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+    some = words.select(F.col("uid").alias("id"), "words").filter(test(F.col("id"))).join(need, "id")
+    sets = staged(some.select("id", "rank", "words", F.size("words").alias("n"), *[parity(j).alias(f"m{j}") for j in range(4)]), "sets")
+    maps = ["rank", "n", "m0", "m1", "m2", "m3"]
+    both = pairs
+    for side, key in (("a", "x"), ("b", "y")):
+        both = both.join(sets.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in maps]), key)
+    differ = sum((F.bit_count(F.col(f"m{j}_a").bitwiseXOR(F.col(f"m{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))))
+    both = both.filter(F.col("n_a") + F.col("n_b") - differ >= 2 * _least_overlap(F.col("n_a"), F.col("n_b"), t))
+    ordered = staged(both.select(F.greatest("rank_a", "rank_b").alias("late"), F.least("rank_a", "rank_b").alias("early")), "bounded")
 
     def verified(some_pairs):
-        both = some_pairs.join(sets.select(F.col("id").alias("id_a"), F.col("codes").alias("codes_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("codes").alias("codes_b")), "id_b")
-        common = F.size(F.array_intersect("codes_a", "codes_b"))
-        return both.filter(common >= (F.size("codes_a") + F.size("codes_b") - common) * t - 1e-9).select("id_a")
-    earliest = pairs.groupBy("id_a").agg(F.min("id_b").alias("id_b"), F.count(F.lit(1)).alias("c"))
-    first = staged(verified(earliest.select("id_a", "id_b")), "settled")
-    rest = pairs.join(earliest, ["id_a", "id_b"], "left_anti").join(first, "id_a", "left_anti")
-    out = staged(first.unionByName(verified(rest).distinct()), "settled")
-    discard(sets, need, first)
+        met = some_pairs.join(sets.select(F.col("rank").alias("early"), F.col("words").alias("words_b")), "early").join(sets.select(F.col("rank").alias("late"), F.col("words").alias("words_a")), "late")
+        common = F.size(F.array_intersect("words_a", "words_b"))
+        return met.filter(common >= (F.size("words_a") + F.size("words_b") - common) * t - 1e-9).select("late")
+    earliest = ordered.groupBy("late").agg(F.min("early").alias("early"), F.count(F.lit(1)).alias("c"))
+    first = staged(verified(earliest.select("late", "early")), "settled")
+    rest = ordered.join(earliest.filter("c > 1").select("late", F.col("early").alias("least")), "late").filter("early <> least").join(first, "late", "left_anti").select("late", "early")
+    found = first.unionByName(verified(rest)).distinct()
+    out = staged(found.join(need, found["late"] == need["rank"]).select("id"), "settled")
+    discard(sets, need, first, ordered)
     return out
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` with the lines that stay in ``text``, and struct ``line_dedup`` (n_lines, n_kept)."""
-    keep = kept_lines(docs, threshold, **options).groupBy(F.col("doc_id").alias("_ld_id"), F.col("rk").alias("_ld_rk")).agg(F.collect_list("pos").alias("_ld_keep"))
-    keyed = docs.withColumn("_ld_row", row_hash(F.col("text")))
-    joined = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_ld_id"]) & (keyed["_ld_row"] == keep["_ld_rk"]), "left")
+    """``docs`` with the lines that stay in ``text``, and struct ``line_dedup`` (n_lines, n_kept).
+
+    Documents that keep all their lines, told by counts, stay where they are; only the others are joined."""
+    every, stay = kept_lines(docs, threshold, **options)
+    both = every.withColumn("stays", F.lit(False)).unionByName(stay.withColumn("stays", F.lit(True)))
+    by_doc = both.groupBy(F.col("doc_id").alias("of_id"), F.col("rk").alias("of_rk")).agg(
+        F.size(F.collect_set(F.when(~F.col("stays"), F.col("pos")))).alias("n"), F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("keep"))
+    less = staged(by_doc.filter(F.col("n") > F.size("keep")).drop("n"), "less")
+
     lines = F.split(F.col("text"), "\n")
-    flags = F.coalesce("_ld_keep", F.array().cast("array<int>"))
+    row, joins = fresh(docs, "row"), fresh(docs, "joins")
+    others = [c for c in docs.columns if c.lower() != "line_dedup"]
+    columns = [F.col(f"`{c}`") for c in others]
+    keyed = docs.select(*columns, row_hash(F.col("text")).alias(row))
+    keyed = keyed.withColumn(joins, bit_filter(F.col("of_rk"), less, 1 << 22)(F.col(row)) & F.col("text").isNotNull())
+    n_lines = F.coalesce(F.size(lines), F.lit(0))
+    same = keyed.filter(~F.col(joins)).select(*columns, F.struct(n_lines.alias("n_lines"), n_lines.alias("n_kept")).alias("line_dedup"))
+
+    of_id, of_rk, kept, picked = (fresh(docs, c) for c in ("of_id", "of_rk", "kept", "picked"))
+    side = less.select(F.col("of_id").alias(of_id), F.col("of_rk").alias(of_rk), F.col("keep").alias(kept))
+    some = keyed.filter(F.col(joins))
+    joined = some.join(side, some["doc_id"].eqNullSafe(side[of_id]) & (some[row] == side[of_rk]), "left")
     blank = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(_spaced(line)) == "", i)), lambda i: i.isNotNull())
-    picked = let(lines, lambda every: F.transform(F.sort_array(F.concat(flags, blank)), lambda i: F.get(every, i)))
-    out = joined.withColumn("_ld_lines", picked)
-    return out.select(*[F.col(f"`{c}`") if c != "text" else F.array_join("_ld_lines", "\n").alias("text") for c in docs.columns],
-                      F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_ld_lines"), F.lit(0)).alias("n_kept")).alias("line_dedup"))
+    chosen = let(lines, lambda every: F.transform(F.sort_array(F.concat(F.col(kept), blank)), lambda i: F.get(every, i)))
+    out = joined.withColumn(picked, F.when(F.col(kept).isNull(), lines).otherwise(chosen))
+    changed = out.select(*[F.col(f"`{c}`") if c != "text" else F.array_join(picked, "\n").alias("text") for c in others],
+                         F.struct(n_lines.alias("n_lines"), F.size(picked).alias("n_kept")).alias("line_dedup"))
+    return same.unionByName(changed)
