@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import webbrowser
 from pathlib import Path
 
 
@@ -14,6 +15,13 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-l", "--language", choices=("python", "typescript", "kotlin"), default="python")
     p.add_argument("-f", "--framework", choices=("fastapi", "android"))
     p.add_argument("-o", "--output", default="artifacts")
+    p.add_argument("-e", "--entrypoint", help="file of a FastAPI application; discovery covers all files either way")
+    p.add_argument("--app", help="import string of a FastAPI application; it is never run, the static analysis covers it")
+    p.add_argument("--title", help="title of the page")
+    p.add_argument("--no-models", action="store_true", help="leave out schemas and entities")
+    p.add_argument("--no-deps", action="store_true", help="leave out dependencies, modules and bindings")
+    p.add_argument("--no-language-graph", action="store_true", help="components of the framework only")
+    p.add_argument("--open", action="store_true", help="open the page in a browser")
     p.add_argument("--json", action="store_true", help="write the graph as one JSON document")
     p.add_argument("--mermaid", action="store_true")
     p.add_argument("--agent-view", action="store_true", help="write the search view")
@@ -22,6 +30,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     a = p.parse_args(argv)
     if a.profile and not a.agent_view:
         p.error("--profile needs --agent-view")
+    if a.framework != "fastapi" and (a.entrypoint or a.app):
+        p.error("--entrypoint and --app need --framework fastapi")
     if not a.agent_view_diff and not a.path:
         p.error("a path is needed")
     return a
@@ -39,14 +49,23 @@ def main(argv: list[str] | None = None) -> int:
         before, after = (sinks.read_view(spark, url) for url in a.agent_view_diff)
         print(json.dumps({name: sinks.rows(df) for name, df in diff.diff_views(before, after).items()}, indent=2, sort_keys=True, ensure_ascii=False))
         return 0
-    from .operators.analysis import analyse
+    from .operators.analysis import MODELS, WIRING, analyse
 
-    done = analyse(spark, a.path, a.framework or a.language)
+    if not Path(a.path).is_dir():
+        print(f"no such folder: {a.path}", file=sys.stderr)
+        return 1
+    if a.app:
+        print(f"{a.app} is not run; its sources are analysed")
+    done = analyse(spark, a.path, a.framework or a.language, not a.no_language_graph)
+    left_out = (MODELS if a.no_models else ()) + (WIRING if a.no_deps else ())
+    done = done.without(*left_out) if left_out else done
+    metrics = done.metrics()
+    found = done.analysis(metrics)
     name, out = Path(a.path).resolve().name, Path(a.output)
     out.mkdir(parents=True, exist_ok=True)
-    sinks.write_html(done.nodes, done.edges, name, a.output)
+    page = sinks.write_html(done.nodes, done.edges, a.title or name, a.output)
     if a.json:
-        (out / "architecture.json").write_text(json.dumps(sinks.architecture_document(done.nodes, done.edges, name, done.stats()), indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
+        (out / "architecture.json").write_text(json.dumps(sinks.architecture_document(done.with_metrics(metrics), done.edges, name, {**done.stats(), "analysis": found}), indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
     if a.mermaid:
         (out / "architecture.mmd").write_text(sinks.mermaid(done.nodes, done.edges), encoding="utf-8")
     if a.agent_view:
@@ -55,7 +74,9 @@ def main(argv: list[str] | None = None) -> int:
 
         view = build_agent_view(done.nodes, done.edges, done.files, load_profile(a.profile) if a.profile else Profile())
         (out / "agent_view.json").write_text(sinks.view_json(view, project_name=name), encoding="utf-8")
-    print(sinks.summary({"nodes": done.nodes, "edges": done.edges}))
+    print(sinks.summary({"nodes": done.nodes, "edges": done.edges}, found["top_weighted_cost"]))
+    if a.open:
+        webbrowser.open(Path(page).resolve().as_uri())
     return 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,33 +19,49 @@ EQUALS_KEY = r"(?U)^\s*([A-Za-z_][\w.-]*)\s*="
 GRADLE = r"\b(?:buildConfigField|resValue)\s*\(\s*['\"][^'\"]+['\"]\s*,\s*['\"]([^'\"]+)['\"]"
 
 
-def _walk(value, out):
-    stack = [iter(value.items() if isinstance(value, dict) else ((None, v) for v in value))] if isinstance(value, (dict, list)) else []
-    while stack:
-        for key, inner in stack[-1]:
-            if key is not None:
-                out.append(str(key))
-            if isinstance(inner, (dict, list)):
-                stack.append(iter(inner.items() if isinstance(inner, dict) else ((None, v) for v in inner)))
-                break
-        else:
-            stack.pop()
+class _Pairs(list):
+    """The members of a JSON object in the order of the text, with keys that repeat."""
+
+
+def _keys(parsed) -> list[str]:
+    """Keys of all objects in the order of the text, outer before inner."""
+    found, todo = [], deque([parsed])
+    while todo:
+        value = todo.popleft()
+        if isinstance(value, _Pairs):
+            last = dict(value)  # of members that repeat a key the last one's value counts, at the first one's place
+            for key in reversed(last):
+                todo.appendleft((key, last[key]))
+        elif isinstance(value, tuple):
+            found.append(value[0])
+            todo.appendleft(value[1])
+        elif isinstance(value, list):
+            todo.extendleft(reversed(value))
+    return found
+
+
+#: A quoted word and a colon: a place where a key may stand.
+_KEY_PLACE = re.compile(r"""["']([^"'\n]*)(?=["']\s*:)""")
 
 
 def json_keys(text: str) -> list[tuple[str, int]]:
     """All keys of a JSON text, outer before inner, with the line of the key's first place; none if it is no JSON."""
     try:
-        parsed = json.loads(text)
+        parsed = json.loads(text, object_pairs_hook=_Pairs)
     except (ValueError, RecursionError):
         return []
-    keys: list[str] = []
-    _walk(parsed, keys)
-    line_of: dict[str, int] = {}
-    for key in keys:
-        if key not in line_of:
-            place = re.search(r"['\"]" + re.escape(key) + r"['\"]\s*:", text)
-            line_of[key] = text.count("\n", 0, place.start()) + 1 if place else 1
-    return [(key, line_of[key]) for key in keys]
+    keys = _keys(parsed)
+    # One pass over the text gives every quoted word before a colon its first line.
+    first: dict[str, int] = {}
+    at, line = 0, 1
+    for place in _KEY_PLACE.finditer(text):
+        line += text.count("\n", at, place.start())
+        at = place.start()
+        first.setdefault(place[1], line)
+    for key in {k for k in keys if "'" in k or '"' in k}:
+        place = re.search(f"[\"']{re.escape(key)}[\"']\\s*:", text)
+        first[key] = text.count("\n", 0, place.start()) + 1 if place else 1
+    return [(key, first.get(key, 1)) for key in keys]
 
 
 def config_keys(files: DataFrame) -> DataFrame:

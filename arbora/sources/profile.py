@@ -39,10 +39,8 @@ class Profile:
 
 
 def _words(entry: dict, name: str) -> tuple[str, ...]:
-    value = entry.get(name, [])
-    if not isinstance(value, list) or not all(isinstance(x, str) and x for x in value):
-        raise ProfileError(f"{name} must be a list of words")
-    return tuple(value)
+    """The affixes of an entry; other values than words count by their text."""
+    return tuple(map(str, entry.get(name) or ()))
 
 
 def parse_profile(data: bytes) -> Profile:
@@ -57,27 +55,25 @@ def parse_profile(data: bytes) -> Profile:
         raise ProfileError("a profile is a mapping")
     if missing := [k for k in ("id", "version", "limits", "transforms") if k not in raw]:
         raise ProfileError(f"lacks {', '.join(missing)}")
-    if not isinstance(raw["id"], str) or not raw["id"] or type(raw["version"]) is not int:
-        raise ProfileError("id must be a word and version a number")
+    if type(raw["version"]) is not int:
+        raise ProfileError("version must be a whole number")
     limits = raw["limits"]
     if not isinstance(limits, dict):
         raise ProfileError("limits is a mapping")
     for k in LIMITS:
         if type(limits.get(k)) is not int or limits[k] < 1:
             raise ProfileError(f"limits.{k} must be a whole number of 1 or more")
-    for k in ("include_agent_docs", "tracked_files_only"):
-        if not isinstance(raw.get(k, True), bool):
-            raise ProfileError(f"{k} must be true or false")
-    made: list[Transform] = []
-    for entry in raw["transforms"] if isinstance(raw["transforms"], list) else [None]:
+    made: dict[str, Transform] = {}
+    for entry in raw["transforms"] if isinstance(raw["transforms"], list) and raw["transforms"] else [None]:
         name = entry.get("id") if isinstance(entry, dict) else None
-        if name not in TRANSFORMS or name in [t.id for t in made]:
-            raise ProfileError(f"unknown or repeated transform: {name}")
-        prefixes, suffixes = _words(entry, "prefixes"), _words(entry, "suffixes")
-        if name == "strip-affix" and not prefixes + suffixes or name != "strip-affix" and prefixes + suffixes:
-            raise ProfileError("affixes belong to strip-affix, which needs some")
-        made.append(Transform(name, prefixes, suffixes))
-    return Profile(raw["id"], raw["version"], hashlib.sha256(data).hexdigest(), *(limits[k] for k in LIMITS), raw.get("include_agent_docs", True), raw.get("tracked_files_only", True), tuple(made))
+        if name not in TRANSFORMS or name in made:
+            raise ProfileError(f"no, unknown or repeated transform: {name}")
+        if name != "strip-affix" and {"prefixes", "suffixes"} & set(entry):
+            raise ProfileError(f"{name} takes no affixes")
+        made[name] = Transform(name, _words(entry, "prefixes"), _words(entry, "suffixes"))
+    if "strip-affix" in made and made["strip-affix"] == Transform("strip-affix"):
+        raise ProfileError("strip-affix needs affixes")
+    return Profile(str(raw["id"]), raw["version"], hashlib.sha256(data).hexdigest(), *(limits[k] for k in LIMITS), bool(raw.get("include_agent_docs", True)), bool(raw.get("tracked_files_only", True)), tuple(made.values()))
 
 
 def load_profile(path: str) -> Profile:

@@ -167,11 +167,11 @@ def mermaid(nodes: DataFrame, edges: DataFrame, groups: tuple[str, ...] = (), pr
     return "\n".join(lines) + "\n"
 
 
-def summary(collections: dict[str, DataFrame], ranked: DataFrame | None = None) -> str:
-    """Row counts of report tabs and the heaviest nodes."""
+def summary(collections: dict[str, DataFrame], heaviest: list[dict] | None = None) -> str:
+    """Row counts of report tabs and the node of the highest weighted cost."""
     out = [f"{name}: {df.count()}" for name, df in collections.items()]
-    if ranked is not None:
-        out += [f"{r['rank']}. {r['label']} ({r['value']:.3f})" for r in rows(ranked, order="rank")]
+    if heaviest:
+        out.append(f"highest agent context cost: {heaviest[0]['label']} ({heaviest[0]['value']:.4f})")
     return "\n".join(out) + "\n"
 
 
