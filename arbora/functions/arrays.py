@@ -11,8 +11,9 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def fold_runs(values: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an array of longs, in two levels so that appending costs n * block, not n * n."""
+def fold_runs(values: Column, block: int = 16, outer: int = 128) -> Column:
+    """Exclusive running sums of an array of longs. Appending to an array copies it, so sums run within blocks, then
+    over the totals of blocks, and of blocks of these."""
     def scan(a: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("o"))
         return F.aggregate(a, zero, lambda acc, x: F.struct(
@@ -21,12 +22,11 @@ def fold_runs(values: Column, block: int = 256) -> Column:
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    blocks = F.when(F.size(values) > 0, F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
-        lambda b: F.slice(values, b * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<bigint>>"))
-    inner = F.transform(blocks, scan)
-    outer = scan(F.transform(blocks, total))
-    return F.flatten(F.zip_with(inner, outer, lambda a, base: F.transform(a, lambda x: x + base)))
+    def in_blocks(a: Column, size: int, over) -> Column:
+        cut = F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda b: F.slice(a, b * size + 1, F.lit(size)))).otherwise(
+            F.array().cast("array<array<bigint>>"))
+        return let(cut, lambda blocks: F.flatten(F.zip_with(F.transform(blocks, scan), over(F.transform(blocks, total)), lambda sums, base: F.transform(sums, lambda x: x + base))))
+    return let(values, lambda a: F.when(F.size(a) <= block, scan(a)).otherwise(in_blocks(a, block, lambda t: in_blocks(t, outer, scan))))
 
 
 def located(text: Column, pattern: str) -> Column:

@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
 
-Items are partitioned by their number of distinct shingles into bands of powers of two. Within a band an item
-keeps its ``r`` smallest shingle hashes (a bottom-r MinHash sketch). An item that a document contains to the
-threshold t misses at most (1 - t) * n of its n shingles, so with r = floor((1 - t) * band limit) + 1 at least
-one sketch hash is in the document: the search loses nothing, whatever the document's length. Candidates are
-then verified by counting all distinct shingles that item and document share.
+Items are partitioned by their number of distinct shingles into bands of powers of two. A band's items keep their
+``r`` smallest shingle hashes (a bottom-r MinHash sketch), r = 2 * floor((1 - t) * band limit) + 1. A document that
+contains an item to the threshold t lacks at most m = floor((1 - t) * n) of its n shingles, so it has r - m of the
+sketch at least: the search loses nothing, whatever the document's length, and a document with fewer is no candidate.
+Shingles of documents pass a bit filter of all sketch hashes before they are joined. Candidates are then verified by
+counting all distinct shingles that item and document share.
 
 Words are runs of letters and digits, in lower case; shingles are of five words, and an item with fewer words
 is one shingle of all of them, looked for as that run of words in a document.
@@ -54,11 +55,11 @@ def item_shingles(items: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def sketches(shingled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item, item_id, width, n, band and the bottom-r sketch hashes of each item."""
+    """item, item_id, width, n, band, the band's bottom-r sketch hashes of each item and how many a match needs."""
     sized = shingled.groupBy("item", "item_id", "width").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("hash")).alias("hashes"))
-    band = F.ceil(F.log2("n")).cast("int")
-    r = F.floor(F.lit(round(1 - threshold, 9)) * F.pow(F.lit(2.0), band) + 1e-9).cast("int") + 1
-    return sized.select("item", "item_id", "width", "n", band.alias("band"), F.slice("hashes", F.lit(1), F.least(r, F.size("hashes"))).alias("sketch"))
+    band, lacks = F.ceil(F.log2("n")).cast("int"), F.lit(round(1 - threshold, 9))
+    r = F.least(2 * F.floor(lacks * F.pow(F.lit(2.0), band) + 1e-9).cast("int") + 1, F.size("hashes"))
+    return sized.select("item", "item_id", "width", "n", band.alias("band"), F.slice("hashes", F.lit(1), r).alias("sketch"), (r - F.floor(lacks * F.col("n") + 1e-9)).cast("long").alias("needs"))
 
 
 def _doc_shingles(text: Column, widths: list[int]) -> Column:
@@ -81,15 +82,17 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshol
 
     def sized(df):
         return F.broadcast(df) if small else df
-    probe = sketch.select("item", "width", "n", F.explode("sketch").alias("hash"))
+    probe = sketch.select("item", "width", F.explode("sketch").alias("hash"))
+    known = bit_filter(F.col("hash"), probe, 1 << 22)
     base = docs.select("doc_id", row_hash(F.col("text")).alias("doc_hash"), "text")
     hashes = base.select("doc_id", "doc_hash", word_hashes(F.col("text")).alias("w"))
     hits = None
     for w in widths:
-        runs = hashes.select("doc_id", "doc_hash", F.explode(shingles(F.col("w"), w)).alias("hash"))
-        one = runs.join(sized(probe.filter(F.col("width") == w).select("item", "hash")), "hash").select("doc_id", "doc_hash", "item", F.lit(w).alias("width"))
+        runs = hashes.select("doc_id", "doc_hash", F.explode(shingles(F.col("w"), w)).alias("hash")).filter(known(F.col("hash")))
+        one = runs.join(sized(probe.filter(F.col("width") == w).select("item", "hash")), "hash").select("doc_id", "doc_hash", "item", "hash")
         hits = one if hits is None else hits.unionByName(one)
-    pairs = staged(hits.distinct(), "candidates")
+    found = hits.distinct().groupBy("doc_id", "doc_hash", "item").agg(F.count(F.lit(1)).alias("hits")).join(sized(sketch.select("item", "needs")), "item")
+    pairs = staged(found.filter("hits >= needs").select("doc_id", "doc_hash", "item"), "candidates")
     test = bit_filter(F.col("doc_hash"), pairs)
     rows = pairs.select("doc_hash", F.col("doc_id").alias("_id")).distinct()
     again = base.filter(test(F.col("doc_hash"))).join(rows, (base["doc_hash"] == rows["doc_hash"]) & base["doc_id"].eqNullSafe(rows["_id"]), "left_semi")

@@ -102,7 +102,8 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.when(partners, F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>"))
     rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos", F.col("uid").alias("id")).alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
-    firsts = staged(rows.groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
+    # Dealt by set before the grouping, which then sorts once.
+    firsts = staged(rows.repartition("sid", "sid2").groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
 
     def band(size):
         return F.floor(F.log(size) / -math.log(t)).cast("int")
@@ -132,22 +133,19 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     def unordered(pairs):
         return pairs.select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"))
 
-    hot = direct = None
+    # A token is in no more lines than its bucket counts, so only tokens of full buckets need counting.
+    full = posting.filter(F.shiftright("token", 56) >= math.floor(4 * math.log2(light + 2)))
+    heavy = staged(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > light).select("token"), "heavy")
+    some = F.broadcast(heavy) if heavy.count() <= BROADCAST_TOKENS else heavy
+    hot = staged(full.join(some, "token", "left_semi"), "hot")
+    direct = None
     for turn in range(PASSES):  # a share of the tokens at a time, so that a share of the shuffle files is there
-        share = posting.filter(F.pmod("token", F.lit(PASSES)) == turn)
-        # A token is in no more lines than its bucket counts, so only tokens of full buckets need counting.
-        full = share.filter(F.shiftright("token", 56) >= math.floor(4 * math.log2(light + 2)))
-        heavy = staged(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > light).select("token"), "heavy")
-        few = heavy.count() <= BROADCAST_TOKENS
-        flag = heavy.withColumn("heavy", F.lit(True))
-        marked = share.join(F.broadcast(flag) if few else flag, "token", "left")
-        cold = marked.filter("heavy is null")
+        cold = posting.filter(F.pmod("token", F.lit(PASSES)) == turn).join(some, "token", "left_anti")
         # The smaller line of a pair, or either of equal ones, has a shared token among its n - ceil(2t / (1 + t) * n) + 1 first.
         small = cold.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9))
         a, b = F.shiftright("at_a", 32), F.shiftright("at_b", 32)
         pairs = staged(unordered(meet(small, cold, band(F.col("n"))).filter((a < b) | ((a == b) & (F.col("id_a") < F.col("id_b"))))), "pairs")
-        rest = staged(marked.filter("heavy").drop("heavy"), "hot")
-        direct, hot = (pairs, rest) if direct is None else (direct.unionByName(pairs), hot.unionByName(rest))
+        direct = pairs if direct is None else direct.unionByName(pairs)
     banded = hot.withColumn("band", band(F.col("n"))).withColumn("salt", F.pmod("id", F.lit(SALTS)))
     lead = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "rk", "pos", "id", "n", "i", "bits")).alias("lead")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     star = banded.join(lead, ["token", "band", "salt"]).filter((F.col("id") != F.col("lead.id")) & passes({c: F.col(c) for c in ("n", "i", "bits")}, {c: F.col(f"lead.{c}") for c in ("n", "i", "bits")}))
@@ -164,7 +162,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
 def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
     """id of the later line of each pair (x, y) whose exact Jaccard similarity reaches t.
 
-    Parity bits of four words bound the overlap from above; then each later line meets its earliest candidate, and only
+    Parity bits of two longs bound the overlap from above; then each later line meets its earliest candidate, and only
     lines that this leaves open meet the others."""
     if pairs.isEmpty():
         return pairs.select(F.col("x").alias("id"))
@@ -175,15 +173,15 @@ def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> D
     one = F.lit(1).cast("bigint")
 
     def parity(j):
-        own = F.filter("words", lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == j)
+        own = F.filter("words", lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)) == j)
         return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
     some = words.select(F.col("uid").alias("id"), "words").filter(test(F.col("id"))).join(need, "id")
-    sets = staged(some.select("id", "rank", "words", F.size("words").alias("n"), *[parity(j).alias(f"m{j}") for j in range(4)]), "sets")
-    maps = ["rank", "n", "m0", "m1", "m2", "m3"]
+    sets = staged(some.select("id", "rank", "words", F.size("words").alias("n"), *[parity(j).alias(f"m{j}") for j in range(2)]), "sets")
+    maps = ["rank", "n", "m0", "m1"]
     both = pairs
     for side, key in (("a", "x"), ("b", "y")):
         both = both.join(sets.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in maps]), key)
-    differ = sum((F.bit_count(F.col(f"m{j}_a").bitwiseXOR(F.col(f"m{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))))
+    differ = F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))) + F.bit_count(F.col("m1_a").bitwiseXOR(F.col("m1_b")))
     both = both.filter(F.col("n_a") + F.col("n_b") - differ >= 2 * _least_overlap(F.col("n_a"), F.col("n_b"), t))
     ordered = staged(both.select(F.greatest("rank_a", "rank_b").alias("late"), F.least("rank_a", "rank_b").alias("early")), "bounded")
 
@@ -222,7 +220,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, **options) -> Dat
     of_id, of_rk, kept, picked = (fresh(docs, c) for c in ("of_id", "of_rk", "kept", "picked"))
     side = less.select(F.col("of_id").alias(of_id), F.col("of_rk").alias(of_rk), F.col("keep").alias(kept))
     some = keyed.filter(F.col(joins))
-    joined = some.join(side, some["doc_id"].eqNullSafe(side[of_id]) & (some[row] == side[of_rk]), "left")
+    # Positions of a part's documents are hashed; their texts need no sort.
+    joined = some.join(side.hint("shuffle_hash"), some["doc_id"].eqNullSafe(side[of_id]) & (some[row] == side[of_rk]), "left")
     blank = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(_spaced(line)) == "", i)), lambda i: i.isNotNull())
     chosen = let(lines, lambda every: F.transform(F.sort_array(F.concat(F.col(kept), blank)), lambda i: F.get(every, i)))
     out = joined.withColumn(picked, F.when(F.col(kept).isNull(), lines).otherwise(chosen))

@@ -38,15 +38,15 @@ BITMAP, FOLD = 1024, 256
 RARITY_BUCKETS = 1 << 16
 LIGHT = 8
 #: Shares in which tokens meet, one after the other.
-PASSES = 2
+PASSES = 4
 #: A member of heavy tiles meets up to so many different leaders.
 LEADERS = 4
 #: Sets of fewer n-grams meet leaders in all their tiles.
 FEW = 64
 #: Tokens of open tiles (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
 BROADCAST_TOKENS = 200_000
-#: A component is dealt into blocks of so many nodes while they are few, then at most so many, and n-grams at most.
-BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_GRAMS = 64, 16, 4096, 1 << 21
+#: A component is dealt into blocks of so many nodes and n-grams at most; each block is sent to all others.
+BLOCK, BLOCK_GRAMS = 4096, 1 << 21
 #: n-grams of two blocks that are multiplied at a time: cells of a slice.
 SLICE_CELLS = 1 << 22
 
@@ -276,8 +276,7 @@ def degrees(docs: DataFrame, signed: DataFrame, links: DataFrame, parts: DataFra
     sizes = nodes.join(signed.filter("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_hash").alias("doc_hash")), "sid")
     sizes = staged(sizes, "sizes")
     whole = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams")).join(known, "component")
-    few = F.least(F.ceil(F.col("m") / BLOCK), F.lit(MOST_BLOCKS))
-    blocks = F.greatest(few, F.ceil(F.col("m") / LARGE_BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     unsure = staged(whole.filter("known < m * (m - 1) / 2").select("component", blocks.alias("blocks")), "unsure")
     sure = nodes.join(unsure, "component", "left_anti").select("sid")
     plain = links.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links")).join(sure, "sid", "left_semi")

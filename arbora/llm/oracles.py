@@ -19,15 +19,15 @@ select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least
 """
 
 OP1 = r"""
-with item_words as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
-item_sh as (select distinct item_id, least(5, len(w)) as width, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' '))) as s from item_words where len(w) > 0),
-sizes as (select item_id, width, count(*) as n_item from item_sh group by all),
+with item_words as (select row_number() over () as item, * from (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark)),
+item_sh as (select distinct item, item_id, least(5, len(w)) as width, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' '))) as s from item_words where len(w) > 0),
+sizes as (select item, item_id, width, count(*) as n_item from item_sh group by all),
 widths as (select distinct width from item_sh),
 doc_words as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
 doc_sh as (select distinct r, doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(list_slice(w, i, i + width - 1), ' '))) as s from doc_words, widths where len(w) >= width),
-shared as (select r, doc_id, item_id, width, count(*) as n_common from doc_sh join item_sh using (width, s) group by all)
+shared as (select r, doc_id, item, width, count(*) as n_common from doc_sh join item_sh using (width, s) group by all)
 select distinct doc_id, item_id, cast(n_item as bigint) as n_item, cast(n_common as bigint) as n_common, round(cast(n_common as double) / n_item, 6) as containment
-from shared join sizes using (item_id, width) where cast(n_common as double) / n_item >= 0.8 - 1e-9
+from shared join sizes using (item, width) where cast(n_common as double) / n_item >= 0.8 - 1e-9
 """
 
 ORACLES = {"op1_decontaminate": OP1, "op5_mixing": OP5}

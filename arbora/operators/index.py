@@ -16,6 +16,10 @@ from ..functions.regions import line_regions
 from ..functions.terms import WORD
 
 
+#: Lines of a block in which lines and spans meet.
+BLOCK = 64
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text of each line of ``files`` (path, content)."""
     return files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("line0", "text")).select("path", (F.col("line0") + 1).alias("line"), "text")
@@ -40,8 +44,9 @@ def find(terms: DataFrame, files: DataFrame, posted: DataFrame | None = None) ->
 
     phrases = terms.filter(~F.col("term").rlike(f"^{WORD}$") & F.col("term").rlike("[A-Za-z0-9_]"))
     anchors = phrases.select("term", F.explode(located(F.col("term"), WORD)).alias("m")).select("term", F.col("m.value").alias("token"), F.col("m.start").alias("lead"))
-    # A token that no file has ends its phrase here; ties go to the first token.
-    rare = anchors.join(token_frequencies(posted), "token", "left").groupBy("term").agg(F.min_by(F.struct("token", "lead"), F.struct(F.coalesce("n", F.lit(0)), "lead")).alias("a"))
+    # Only the phrases' own tokens are counted. One that no file has ends its phrase here; ties go to the first token.
+    counted = token_frequencies(posted.join(anchors.select("token").distinct(), "token", "left_semi"))
+    rare = anchors.join(counted, "token", "left").groupBy("term").agg(F.min_by(F.struct("token", "lead"), F.struct(F.coalesce("n", F.lit(0)), "lead")).alias("a"))
     hits = rare.select("term", "a.token", "a.lead").join(posted, "token").select("term", "path", "line", (F.col("col") - F.col("lead")).alias("col")).filter("col >= 0")
     checked = hits.join(lines(files), ["path", "line"]).filter(
         (F.substring("text", F.col("col") + 1, F.length("term")) == F.col("term"))
@@ -84,8 +89,11 @@ def enclosing(places: DataFrame, readable: DataFrame) -> DataFrame:
     """path, line, enclosing_node_id of each distinct place: the narrowest span, then the least id; without a
     span the file's own node, else the file's least node, else an id made of the path."""
     at = places.select("path", "line").distinct()
-    spans = readable.filter("start_line is not null and end_line is not null").select(F.col("file_path").alias("path"), "id", "start_line", "end_line")
-    inside = at.join(spans, "path").filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("path", "line").agg(
+    spans = readable.filter("start_line is not null and end_line >= start_line").select(F.col("file_path").alias("path"), "id", "start_line", "end_line")
+    # A span stands in every block of lines that it touches, so a line meets the spans of its block, not of its file.
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    spans = spans.withColumn("block", F.explode(F.sequence(block(F.col("start_line")), block(F.col("end_line")))))
+    inside = at.withColumn("block", block(F.col("line"))).join(spans, ["path", "block"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("path", "line").agg(
         F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "id")).alias("best"))
     files = readable.groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("least"), F.max(F.when(F.col("id") == F.concat(F.lit("file:"), F.col("file_path")), F.col("id"))).alias("own"))
     return at.join(inside, ["path", "line"], "left").join(files, "path", "left").select(

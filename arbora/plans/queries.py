@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import config, costs, paths, terms
 from ..operators import agentview, centrality, diff, edges, index, traversal
+from ..operators.resolve import PythonGraph
 from ..sources.files import scan_files
+from ..sources.languages.braces import BraceGraph
 from ..sources.profile import Profile
 from . import views as V
 
@@ -110,38 +112,53 @@ def undirected_adjacency(spark, sf_dir):
     return edges.undirected(_graph(spark, sf_dir)[2])
 
 
-def _pagerank_sql(rounds: int) -> str:
+def _pagerank_ctes(rounds: int, graph: str = ALL) -> str:
     steps = ["r0 as materialized (select id, 1.0 / n as x from nodes, total)"]
     for i in range(1, rounds + 1):
         steps.append(f"""r{i} as materialized (select nodes.id, 0.15 / n + 0.85 * (select coalesce(sum(x), 0) from r{i - 1} where id not in (select src from adj)) / n + 0.85 * coalesce(g.s, 0) as x
 from nodes cross join total left join (select dst, sum(x / d) as s from r{i - 1} join od on r{i - 1}.id = od.src join adj on adj.src = od.src group by dst) g on g.dst = nodes.id)""")
-    return f"with {SMALL}, total as (select count(*) as n from nodes), od as (select src, count(*) as d from adj group by src), {', '.join(steps)} select id, round(x, 9) as pagerank from r{rounds}"
+    return f"with {graph}, total as (select count(*) as n from nodes), od as (select src, count(*) as d from adj group by src), {', '.join(steps)}"
 
 
-@query(_pagerank_sql(20))
+@query(f"{_pagerank_ctes(20)} select id, round(x, 9) as pagerank from r20")
 def pagerank(spark, sf_dir):
-    nodes, _, adj = _graph(spark, sf_dir, True)
+    nodes, _, adj = _graph(spark, sf_dir)
     return centrality.pagerank(nodes, adj, tolerance=None, iterations=20).withColumn("pagerank", F.round("pagerank", 9))
 
 
-@query(_pagerank_sql(3))
+def _stopped(rounds: int, tolerance: float) -> str:
+    """The scores of the first round whose summed change is not above the tolerance."""
+    change = ", ".join(f"d{i} as (select sum(abs(r{i}.x - p.x)) as d from r{i} join r{i - 1} p using (id))" for i in range(1, rounds + 1))
+    stop = " union all ".join(f"select {i} as i, d from d{i}" for i in range(1, rounds + 1))
+    every = " union all ".join(f"select {i} as i, id, x from r{i}" for i in range(1, rounds + 1))
+    return f"{_pagerank_ctes(rounds)}, {change}, stop as (select coalesce(min(case when d <= {tolerance} then i end), {rounds}) as i from ({stop})) select id, round(x, 9) as pagerank from ({every}) join stop using (i)"
+
+
+@query(_stopped(12, 0.01))
+def pagerank_stop_rule(spark, sf_dir):
+    """Ends by the tolerance, long before the last of its rounds."""
+    nodes, _, adj = _graph(spark, sf_dir)
+    return centrality.pagerank(nodes, adj, tolerance=0.01, iterations=12).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query(f"{_pagerank_ctes(3)} select id, round(x, 9) as pagerank from r3")
 def pagerank_distributed(spark, sf_dir):
     """The partitioned plan, as it runs beyond the local bound."""
-    nodes, _, adj = _graph(spark, sf_dir, True)
+    nodes, _, adj = _graph(spark, sf_dir)
     return centrality.pagerank(nodes, adj, tolerance=None, iterations=3, local_edges=0).withColumn("pagerank", F.round("pagerank", 9))
 
 
-@query(_pagerank_sql(20).replace("select id, round(x, 9) as pagerank from r20", """, top as (select r20.id, label, x, ordinal from r20 join nodes using (id) order by round(x, 9) desc, ordinal limit 10)
-select cast(row_number() over (order by round(x, 9) desc, ordinal) as int) as rank, id, label, round(x, 9) as value from top""").replace(")\n, top", "), top"))
+@query(f"""{_pagerank_ctes(20)}, top as (select r20.id, label, x, ordinal from r20 join nodes using (id) order by round(x, 9) desc, ordinal limit 10)
+select cast(row_number() over (order by round(x, 9) desc, ordinal) as int) as rank, id, label, round(x, 9) as value from top""")
 def top_pagerank(spark, sf_dir):
-    nodes, _, adj = _graph(spark, sf_dir, True)
+    nodes, _, adj = _graph(spark, sf_dir)
     ranks = centrality.pagerank(nodes, adj, tolerance=None, iterations=20).withColumn("pagerank", F.round("pagerank", 9))
     return edges.top_ranked(ranks.join(nodes.select("id", "label", "ordinal"), "id"), "pagerank")
 
 
-@query(_pagerank_sql(20).replace("select id, round(x, 9) as pagerank from r20", "select id, round(x * effective_token_cost, 7) as weighted_centrality_cost from r20 join nodes using (id)"))
+@query(f"{_pagerank_ctes(20)} select id, round(x * effective_token_cost, 7) as weighted_centrality_cost from r20 join nodes using (id)")
 def weighted_centrality(spark, sf_dir):
-    nodes, _, adj = _graph(spark, sf_dir, True)
+    nodes, _, adj = _graph(spark, sf_dir)
     ranks = centrality.pagerank(nodes, adj, tolerance=None, iterations=20)
     return ranks.join(nodes, "id").select("id", F.round(F.col("pagerank") * F.col("effective_token_cost"), 7).alias("weighted_centrality_cost"))
 
@@ -153,56 +170,87 @@ def _hits_sql(rounds: int) -> str:
         steps.append(f"a{i} as materialized (select id, x / (select sqrt(sum(x * x)) from b{i}) as x from b{i})")
         steps.append(f"c{i} as materialized (select nodes.id, coalesce(sum(a.x), 0) as x from nodes left join adj on src = nodes.id left join a{i} a on a.id = dst group by nodes.id)")
         steps.append(f"h{i} as materialized (select id, x / (select sqrt(sum(x * x)) from c{i}) as x from c{i})")
-    return f"with {SMALL}, {', '.join(steps)} select h.id, round(h.x, 9) as hub_score, round(a.x, 9) as authority_score from h{rounds} h join a{rounds} a using (id)"
+    return f"with {ALL}, {', '.join(steps)} select h.id, round(h.x, 9) as hub_score, round(a.x, 9) as authority_score from h{rounds} h join a{rounds} a using (id)"
 
 
 @query(_hits_sql(6))
 def hits(spark, sf_dir):
-    nodes, _, adj = _graph(spark, sf_dir, True)
+    nodes, _, adj = _graph(spark, sf_dir)
     out = centrality.hits(nodes, adj, tolerance=None, iterations=6)
     return out.select("id", F.round("hub_score", 9).alias("hub_score"), F.round("authority_score", 9).alias("authority_score"))
 
 
-@query(f"""with {SMALL}, n as (select count(*) as n from nodes),
+def _betweenness_sql(depth: int) -> str:
+    """Shortest paths level by level from the sampled sources, then their shares from the last level back."""
+    steps = ["l0 as materialized (select id as s, id as v, 1.0 as k from src2)"]
+    for i in range(1, depth + 1):
+        known = " union all ".join(f"select s, v from l{j}" for j in range(i))
+        steps.append(f"l{i} as materialized (select s, dst as v, sum(k) as k from l{i - 1} join adj on src = v where (s, dst) not in (select (s, v) from ({known})) group by s, dst)")
+    steps.append(f"d{depth} as (select s, v, k, 0.0 as d from l{depth})")
+    for i in range(depth - 1, 0, -1):
+        steps.append(f"d{i} as materialized (select a.s, a.v, a.k, coalesce(sum(a.k / b.k * (1 + b.d)), 0) as d from l{i} a left join (select src, w.* from d{i + 1} w join adj on dst = w.v) b on b.s = a.s and b.src = a.v group by a.s, a.v, a.k)")
+    every = " union all ".join(f"select v as id, d from d{i}" for i in range(1, depth + 1))
+    return f"""with {ALL}, n as (select count(*) as n from nodes),
 src2 as (select id from (select id, row_number() over (order by id) - 1 as p from nodes) where p in (select j * n // 100 from n, range(0, 100) t(j))),
-two as (select s.id as s, a.dst as v, b.dst as w from src2 s join adj a on a.src = s.id join adj b on b.src = a.dst where b.dst <> s.id),
-paths as (select s, w, count(*) as k from two group by all),
-part as (select v as id, sum(1.0 / k) as x from two join paths using (s, w) group by v),
-ends as (select id, 0.0 as x from nodes)
-select nodes.id, round(coalesce(part.x, 0) / (100 * greatest(1, n - 2)), 9) as betweenness_centrality from nodes cross join n left join part using (id)""")
+{", ".join(steps)}, part as (select id, sum(d) as x from ({every}) group by id)
+select nodes.id, round(coalesce(part.x, 0) / (100 * greatest(1, n - 2)), 12) as betweenness_centrality from nodes cross join n left join part using (id)"""
+
+
+@query(_betweenness_sql(5))
 def betweenness_sampled(spark, sf_dir):
-    """Depth is two in this graph (customer to nation to region), so the SQL counts two-step paths."""
-    nodes, _, adj = _graph(spark, sf_dir, True)
-    sources, _, _ = centrality.sample_sources(nodes, exact_limit=100)
-    return centrality.betweenness(nodes, adj, sources).withColumn("betweenness_centrality", F.round("betweenness_centrality", 9))
+    """From a hundred sources, as the graph has over 500 nodes. The longest path is of four steps."""
+    nodes, _, adj = _graph(spark, sf_dir)
+    sources, _, _ = centrality.sample_sources(nodes)
+    return centrality.betweenness(nodes, adj, sources).withColumn("betweenness_centrality", F.round("betweenness_centrality", 12))
 
 
-@query(f"""with {SMALL}, both_ways as (select src, dst from adj union select dst, src from adj), seeds as (select id from nodes where kind in ('region', 'nation', 'supplier')),
+KHOP = """both_ways as (select src, dst from adj union select dst, src from adj), seeds as (select id from nodes where {where}),
 d1 as (select distinct s.id as seed, dst as node from seeds s join both_ways on src = s.id where dst <> s.id),
 d2 as (select distinct seed, dst as node from d1 join both_ways on src = node where dst <> seed),
 d3 as (select distinct seed, dst as node from d2 join both_ways on src = node where dst <> seed),
 h2 as (select seed, node from d1 union select seed, node from d2), h3 as (select seed, node from h2 union select seed, node from d3),
-c2 as (select seed, count(*) as n, sum(effective_token_cost) as c from h2 join nodes on id = node group by seed), c3 as (select seed, count(*) as n, sum(effective_token_cost) as c from h3 join nodes on id = node group by seed)
-select s.id, coalesce(c2.n, 0) as hop_2_node_count, round(coalesce(c2.c, 0), 4) as hop_2_token_cost, coalesce(c3.n, 0) as hop_3_node_count, round(coalesce(c3.c, 0), 4) as hop_3_token_cost
-from seeds s left join c2 on c2.seed = s.id left join c3 on c3.seed = s.id""")
+c2 as (select seed, count(*) as n, sum(effective_token_cost) as c from h2 join nodes on id = node group by seed), c3 as (select seed, count(*) as n, sum(effective_token_cost) as c from h3 join nodes on id = node group by seed),
+hops as (select s.id, coalesce(c2.n, 0) as hop_2_node_count, round(coalesce(c2.c, 0), 4) as hop_2_token_cost, coalesce(c3.n, 0) as hop_3_node_count, round(coalesce(c3.c, 0), 4) as hop_3_token_cost
+from seeds s left join c2 on c2.seed = s.id left join c3 on c3.seed = s.id)"""
+
+
+def _hops(out):
+    return out.withColumn("hop_2_token_cost", F.round("hop_2_token_cost", 4)).withColumn("hop_3_token_cost", F.round("hop_3_token_cost", 4))
+
+
+@query(f"""with {ALL}, {KHOP.format(where="kind in ('region', 'nation')")} select * from hops""")
 def khop_cost(spark, sf_dir):
+    """From regions and nations, the hubs of the graph."""
+    nodes, _, adj = _graph(spark, sf_dir)
+    return _hops(centrality.neighbourhood_cost(nodes.select("id", "effective_token_cost"), adj, nodes.filter("kind in ('region', 'nation')")))
+
+
+@query(f"""{_pagerank_ctes(20, SMALL)}, {DEGREE_SQL}, {KHOP.format(where="true")}
+select id, label, token_cost, round(effective_token_cost, 4) as effective_token_cost, fan_in, fan_out, round(degree_centrality, 12) as degree_centrality, round(x, 9) as pagerank, round(x * effective_token_cost, 7) as weighted_centrality_cost,
+hop_2_node_count, hop_2_token_cost, hop_3_node_count, hop_3_token_cost from nodes join metrics using (id) join r20 using (id) join hops using (id)""")
+def node_metrics(spark, sf_dir):
+    """The metrics of a report from every node of the graph without parts, orders and line items; its hub, authority and
+    betweenness scores have queries of their own."""
     nodes, _, adj = _graph(spark, sf_dir, True)
-    out = centrality.neighbourhood_cost(nodes.select("id", "effective_token_cost"), adj, nodes.filter("kind in ('region', 'nation', 'supplier')"))
-    return out.withColumn("hop_2_token_cost", F.round("hop_2_token_cost", 4)).withColumn("hop_3_token_cost", F.round("hop_3_token_cost", 4))
+    out = _hops(centrality.node_metrics(nodes.select("id", "label", "ordinal"), adj, nodes.select("id", "token_cost", "effective_token_cost"), tolerance=None, iterations=20))
+    rounded = {"effective_token_cost": 4, "degree_centrality": 12, "pagerank": 9, "weighted_centrality_cost": 7}
+    return out.drop("ordinal", "hub_score", "authority_score", "betweenness_centrality").withColumns({c: F.round(c, n) for c, n in rounded.items()})
 
 
-@query(f"""with {SMALL}, seeds as (select id from nodes where id in ('r0', 'n3')), touching as (select distinct from_id, to_id, relation from edges where from_id in (select id from seeds) or to_id in (select id from seeds))
+@query(f"""with {ALL}, seeds as (select id from nodes where id in ('r0', 'n3')), touching as (select distinct from_id, to_id, relation from edges where from_id in (select id from seeds) or to_id in (select id from seeds))
 select id, label from nodes where id in (select from_id from touching union select to_id from touching union select id from seeds)""")
 def subgraph_neighborhood(spark, sf_dir):
-    nodes, all_edges, _ = _graph(spark, sf_dir, True)
+    nodes, all_edges, _ = _graph(spark, sf_dir)
     near, _ = traversal.neighbourhood(nodes, all_edges, nodes.filter("id in ('r0', 'n3')"))
     return near.select("id", "label")
 
 
-@query(f"""with {SMALL}, hits as (select id from nodes where contains(lower(label), 'supplier#00')), touching as (select from_id, to_id from edges where from_id in (select id from hits) or to_id in (select id from hits))
+@query(f"""with {ALL}, hits as (select id from nodes where contains(lower(label), 'supplier#00')), touching as (select from_id, to_id from edges where from_id in (select id from hits) or to_id in (select id from hits))
 select id from nodes where id in (select from_id from touching union select to_id from touching union select id from hits)""")
 def search_subgraph(spark, sf_dir):
-    nodes, all_edges, _ = _graph(spark, sf_dir, True)
+    """Hits and the nodes one edge away, whatever the edges' order; a single pass over the edges, as a page would make it,
+    also takes in what stands later in the list behind a node just found."""
+    nodes, all_edges, _ = _graph(spark, sf_dir)
     found, _ = traversal.search_subgraph(nodes.withColumn("metadata", F.lit(None).cast("string")), all_edges, "Supplier#00")
     return found.select("id")
 
@@ -215,10 +263,10 @@ def facet_filter(spark, sf_dir):
     return e.select("from_id", "to_id", "relation")
 
 
-@query(f"""with {SMALL} select id as seed, id as node, 0 as depth from nodes where kind = 'supplier' union all
+@query(f"""with {ALL} select id as seed, id as node, 0 as depth from nodes where kind = 'supplier' union all
 select src, dst, 1 from adj where src like 's%' union all select a.src, b.dst, 2 from adj a join adj b on a.dst = b.src where a.src like 's%'""")
 def transitive_closure(spark, sf_dir):
-    nodes, _, adj = _graph(spark, sf_dir, True)
+    nodes, _, adj = _graph(spark, sf_dir)
     return traversal.closure(adj, nodes.filter("kind = 'supplier'"))
 
 
@@ -512,3 +560,68 @@ def framework_queries(spark, sf_dir):
 @query("select distinct 'o' || l_orderkey || '->' || 'p' || l_partkey as edge from lineitem where l_linenumber % 2 = 1 and l_linenumber % 3 = 0")
 def unknown_framework_edges(spark, sf_dir):
     return _framework(spark, sf_dir)[2]
+
+
+# Extraction and resolution: the edges of repositories made of the tables' rows, whole.
+def _edges_sql(prefix: str, suffix: str, trade: str, supply: str, rows: list[tuple]) -> str:
+    """rows: table, start, relation, end, how, line, weight. R, N and S stand for the files of a region, a nation and a
+    supplier; {k} for the row's key, {up} for the key that it refers to."""
+    file = {"R": f"{prefix}{trade}region", "N": f"{prefix}{trade}nation", "S": f"{prefix}{supply}supplier"}
+    keys = {"region": ("r_regionkey", "r_regionkey"), "nation": ("n_nationkey", "n_regionkey"), "supplier": ("s_suppkey", "s_nationkey")}
+
+    def end(x, table):
+        k, up = keys[table]
+        own = file[table[0].upper()]
+        above = file["R" if table == "nation" else "N"]
+        x = x.replace("OWN", f"{own}{{k}}{suffix}").replace("UP", f"{above}{{up}}{suffix}")
+        return "'" + x.replace("{k}", f"' || {k} || '").replace("{up}", f"' || {up} || '") + "'"
+    parts = [f"select {end(a, t)} as from_id, '{relation}' as relation, {end(b, t)} as to_id, '{'static_certain' if how == 'exact' else 'static_inferred'}' as confidence, '{how}' as resolution, cast({weight} as double) as weight, {line} as line from {t}"
+             for t, a, relation, b, how, line, weight in rows]
+    return " union all ".join(parts)
+
+
+def _edge_rows(e):
+    return e.select("from_id", "relation", "to_id", "confidence", "resolution", "weight", F.col("evidence.start_line").alias("line"))
+
+
+PYTHON_EDGES = _edges_sql("py:", "", "trade.", "supply.", [
+    ("region", "py:trade", "CONTAINS", "OWN", "exact", 1, 1), ("region", "OWN", "CONTAINS", "OWN#Region{k}", "exact", 4, 2), ("region", "OWN#Region{k}", "CONTAINS", "OWN#Region{k}.label", "exact", 5, 1),
+    ("nation", "py:trade", "CONTAINS", "OWN", "exact", 1, 1), ("nation", "OWN", "CONTAINS", "OWN#LIMIT", "exact", 3, 2), ("nation", "OWN", "CONTAINS", "OWN#Nation{k}", "exact", 6, 2), ("nation", "OWN", "CONTAINS", "OWN#make{k}", "exact", 11, 2),
+    ("nation", "OWN#Nation{k}", "CONTAINS", "OWN#Nation{k}.total", "exact", 7, 1), ("nation", "OWN", "IMPORTS", "UP", "exact", 1, 1), ("nation", "OWN", "IMPORTS_SYMBOL", "UP#Region{up}", "exact", 1, 1),
+    ("nation", "OWN#Nation{k}", "INHERITS", "UP#Region{up}", "exact", 6, 1), ("nation", "OWN#Nation{k}.total", "CALLS", "UP#Region{up}.label", "exact", 8, 1), ("nation", "OWN#make{k}", "INSTANTIATES", "OWN#Nation{k}", "exact", 12, 1),
+    ("supplier", "py:supply", "CONTAINS", "OWN", "exact", 1, 1), ("supplier", "OWN", "CONTAINS", "OWN#describe{k}", "exact", 4, 2), ("supplier", "OWN", "CONTAINS", "OWN#check{k}", "exact", 8, 2), ("supplier", "OWN", "IMPORTS", "UP", "exact", 1, 1),
+    ("supplier", "OWN", "IMPORTS_SYMBOL", "UP#Nation{up}", "exact", 1, 1), ("supplier", "OWN", "IMPORTS_SYMBOL", "UP#make{up}", "exact", 1, 1), ("supplier", "OWN#describe{k}", "TYPE_USES", "UP#Nation{up}", "exact", 4, 1),
+    ("supplier", "OWN#describe{k}", "CALLS", "UP#make{up}", "exact", 5, 1), ("supplier", "OWN#check{k}", "CALLS", "OWN#describe{k}", "exact", 9, 1)])
+
+
+@query(PYTHON_EDGES)
+def python_edges(spark, sf_dir):
+    """All edges of a Python repository: imports, symbols, inheritance, annotations, calls by import, self and module."""
+    return _edge_rows(PythonGraph(V.sources(spark, sf_dir, V.PYTHON, ".py")).edges())
+
+
+TYPESCRIPT_EDGES = _edges_sql("ts:", ".ts", "trade/", "supply/", [
+    ("region", "OWN", "EXPORTS", "OWN#Region{k}", "exact", 1, 1), ("region", "OWN#Region{k}", "CONTAINS", "OWN#Region{k}.label", "exact", 2, 1),
+    ("nation", "OWN", "EXPORTS", "OWN#Nation{k}", "exact", 3, 1), ("nation", "OWN", "EXPORTS", "OWN#make{k}", "exact", 9, 1), ("nation", "OWN#Nation{k}", "CONTAINS", "OWN#Nation{k}.total", "exact", 4, 1),
+    ("nation", "OWN", "IMPORTS", "UP", "exact", 1, 1), ("nation", "OWN", "IMPORTS_SYMBOL", "UP#Region{up}", "exact", 1, 1), ("nation", "OWN#Nation{k}", "INHERITS", "UP#Region{up}", "exact", 3, 1),
+    ("nation", "OWN#make{k}", "INSTANTIATES", "OWN#Nation{k}", "exact", 10, 1), ("nation", "OWN#make{k}", "TYPE_USES", "OWN#Nation{k}", "exact", 9, 1),
+    ("supplier", "OWN", "EXPORTS", "OWN#describe{k}", "exact", 3, 1), ("supplier", "OWN", "EXPORTS", "OWN#check{k}", "exact", 7, 1), ("supplier", "OWN", "IMPORTS", "UP", "exact", 1, 1),
+    ("supplier", "OWN", "IMPORTS_SYMBOL", "UP#make{up}", "exact", 1, 1), ("supplier", "OWN#describe{k}", "CALLS", "UP#make{up}", "exact", 4, 1), ("supplier", "OWN#check{k}", "CALLS", "OWN#describe{k}", "exact", 8, 1)])
+
+
+@query(TYPESCRIPT_EDGES)
+def typescript_edges(spark, sf_dir):
+    return _edge_rows(BraceGraph(V.sources(spark, sf_dir, V.TYPESCRIPT, ".ts")).edges())
+
+
+KOTLIN_EDGES = _edges_sql("kotlin:", ".kt", "trade/", "supply/", [
+    ("region", "OWN", "DECLARES", "OWN#Region{k}", "exact", 3, 1), ("region", "OWN#Region{k}", "CONTAINS", "OWN#Region{k}.label", "exact", 4, 1),
+    ("nation", "OWN", "DECLARES", "OWN#Nation{k}", "exact", 3, 1), ("nation", "OWN", "DECLARES", "OWN#make{k}", "exact", 9, 1), ("nation", "OWN#Nation{k}", "CONTAINS", "OWN#Nation{k}.total", "exact", 4, 1),
+    ("nation", "OWN#Nation{k}", "INHERITS", "UP#Region{up}", "unique_name", 3, 1), ("nation", "OWN#make{k}", "INSTANTIATES", "OWN#Nation{k}", "unique_name", 10, 1), ("nation", "OWN#make{k}", "TYPE_USES", "OWN#Nation{k}", "unique_name", 9, 1),
+    ("supplier", "OWN", "DECLARES", "OWN#describe{k}", "exact", 5, 1), ("supplier", "OWN", "DECLARES", "OWN#check{k}", "exact", 9, 1), ("supplier", "OWN", "IMPORTS", "UP", "unique_name", 3, 1),
+    ("supplier", "OWN", "IMPORTS_SYMBOL", "UP#make{up}", "unique_name", 3, 1), ("supplier", "OWN#describe{k}", "CALLS", "UP#make{up}", "unique_name", 6, 1), ("supplier", "OWN#check{k}", "CALLS", "OWN#describe{k}", "unique_name", 10, 1)])
+
+
+@query(KOTLIN_EDGES)
+def kotlin_edges(spark, sf_dir):
+    return _edge_rows(BraceGraph(V.sources(spark, sf_dir, V.KOTLIN, ".kt")).edges())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,34 @@ def bench_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench/item_"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
 
 
+def _sources(rows: DataFrame, path: str, text: str, *keys: str) -> DataFrame:
+    """Files whose path and text hold the columns ``keys`` at the places $0, $1 and so on."""
+    def filled(template):
+        parts = re.split(r"\$(\d)", template)
+        return F.concat(*[F.col(keys[int(x)]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+    return rows.select(filled(path).alias("path"), filled(text).alias("content"))
+
+
+#: Texts of a region's, a nation's and a supplier's module in three languages; $0 is the key, $1 the key that it refers to.
+PYTHON = ('"""Region $1."""\n\n\nclass Region$0:\n    def label(self):\n        return "$1"\n',
+          "from trade.region$1 import Region$1\n\nLIMIT = $0\n\n\nclass Nation$0(Region$1):\n    def total(self):\n        return self.label()\n\n\ndef make$0():\n    return Nation$0()\n",
+          "from trade.nation$1 import Nation$1 as Home, make$1\n\n\ndef describe$0(home: Home):\n    return make$1()\n\n\ndef check$0():\n    return describe$0(None)\n")
+TYPESCRIPT = ('export class Region$0 {\n  label(): string {\n    return "$1";\n  }\n}\n',
+              'import { Region$1 } from "./region$1";\n\nexport class Nation$0 extends Region$1 {\n  total(): number {\n    return 1;\n  }\n}\n\nexport function make$0(): Nation$0 {\n  return new Nation$0();\n}\n',
+              'import { make$1 } from "../trade/nation$1";\n\nexport function describe$0() {\n  return make$1();\n}\n\nexport function check$0() {\n  return describe$0();\n}\n')
+KOTLIN = ('package trade\n\nopen class Region$0 {\n    fun label(): String {\n        return "$1"\n    }\n}\n',
+          "package trade\n\nclass Nation$0 : Region$1() {\n    fun total(): Int {\n        return 1\n    }\n}\n\nfun make$0(): Nation$0 {\n    return Nation$0()\n}\n",
+          "package supply\n\nimport trade.make$1\n\nfun describe$0() {\n    make$1()\n}\n\nfun check$0() {\n    describe$0()\n}\n")
+
+
+def sources(spark: SparkSession, sf_dir: str, texts: tuple[str, str, str], suffix: str) -> DataFrame:
+    """A repository of a module for each region, nation and supplier."""
+    t = lambda n: table(spark, sf_dir, n)
+    region = _sources(t("region"), f"trade/region$0{suffix}", texts[0], "r_regionkey", "r_name")
+    nation = _sources(t("nation"), f"trade/nation$0{suffix}", texts[1], "n_nationkey", "n_regionkey")
+    return region.unionByName(nation).unionByName(_sources(t("supplier"), f"supply/supplier$0{suffix}", texts[2], "s_suppkey", "s_nationkey"))
+
+
 #: The same views for DuckDB.
 SQL_SMALL_NODES = """
   select 'r' || r_regionkey as id, r_name as label, 'region' as kind, r_regionkey as k, 0 as o from region union all

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _local_scratch: list[str] = []
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors; a temporary one only
-    where that is unset, as in local tests."""
+    where that is unset and driver and executors are one process, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local_scratch:
             _local_scratch.append("file://" + tempfile.mkdtemp(prefix="arbora-"))
         root = _local_scratch[0]

@@ -28,6 +28,8 @@ _TS_MEMBER = re.compile(rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?P<mods>(?:(?:public|pri
 _TS_IMPORT = re.compile(r"\bimport\s+(?P<what>[^'\"();]*?)\s*(?:\bfrom\s*)?(?P<q>['\"])(?P<from>[^'\"\n]+)(?P=q)|\bexport\s+(?P<re>\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*(?P<q2>['\"])(?P<refrom>[^'\"\n]+)(?P=q2)")
 _TS_DYNAMIC = re.compile(r"\b(?:import|require)\s*\(\s*['\"]([^'\"\n]+)['\"]\s*\)")
 _KT_DECLARATION = re.compile(r"(?P<mods>(?:\b(?:public|private|internal|protected|open|abstract|sealed|data|inner|enum|annotation|value|override|suspend|inline|operator|infix|tailrec|const|lateinit|companion|fun)\s+)*)\b(?:(?P<kind>class|interface|object)\s+(?P<name>[A-Za-z_]\w*)|fun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(?P<fun>[A-Za-z_]\w*)\s*(?=\()|(?:val|var)\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(?P<var>[A-Za-z_]\w*))")
+#: What stands before a type in Kotlin: a colon, or the supertypes of a class so far. Arguments in their parentheses are no types.
+_TYPE_PLACE = re.compile(r"(?<!:):\s*$|\b(?:class|interface|object)\b[^{}();=]*(?:\([^()]*\))?\s*:[^{}();=]*(?:\([^()]*\)[^{}();=]*)*$")
 _CALL = re.compile(rf"(?P<new>\bnew\s+)?(?:\b(?P<receiver>{NAME})\s*\??\.\s*)?\b(?P<name>{NAME})\s*(?:<[\w$, .<>\[\]?|]*>)?\s*(?=[({{])")
 _WRITE = re.compile(rf"(?:\b(?P<receiver>{NAME})\s*\.\s*)?\b(?P<name>{NAME})\s*(?:[-+*/%&|^]|<<|>>|\*\*|\?\?|&&|\|\|)?=(?![=>])|(?:\+\+|--)\s*(?P<pre>{NAME})|\b(?P<post>{NAME})\s*(?:\+\+|--)")
 
@@ -76,14 +78,13 @@ class _File:
         for m in _CALL.finditer(self.s.mask):
             opening = self.s.mask[m.end():m.end() + 1]
             name = m["name"]
-            if name in words or m["receiver"] in ("function", "fun") or any(m.start("name") - k in starts for k in (0,)) or (opening == "{" and self.language != "kotlin"):
+            if name in words or m["receiver"] in ("function", "fun") or m.start("name") in starts or (opening == "{" and self.language != "kotlin"):
                 continue
-            if re.search(r"(?:\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?|\bfunction\*?\s+|\bclass\s+|\binterface\s+|\bobject\s+|\benum\s+)$", self.s.mask[max(0, m.start() - 60):m.start("name")]):
+            if self.language == "kotlin" and _TYPE_PLACE.search(self.s.mask[max(0, m.start() - 400):m.start()]):
                 continue
-            owner = around(m.start())
-            if any(x[2] == owner and self.s.mask[x[0]:x[1]].lstrip().startswith(name) for x in ()):
+            if re.search(r"(?:\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?|\bfunction\*?\s+|\bclass\s+|\binterface\s+|\bobject\s+|\benum\s+)$", self.s.mask[max(0, m.start() - 60):m.start("name")]):
                 continue
-            self.add("reference", owner, None, name, m.start("name"), detail="new" if m["new"] else "call", source=m["receiver"])
+            self.add("reference", around(m.start()), None, name, m.start("name"), detail="new" if m["new"] else "call", source=m["receiver"])
         for m in _WRITE.finditer(self.s.mask):
             name = m["name"] or m["pre"] or m["post"]
             if name not in words:
@@ -215,7 +216,7 @@ class _Kotlin(_File):
         super().__init__(path, text)
         if m := re.search(r"(?m)^\s*package\s+([\w.]+)", self.s.mask):
             self.add("package", self.id, f"kotlin-package:{m[1]}", m[1], m.start())
-        for m in re.finditer(r"(?m)^\s*import\s+([\w.]+)(\.\*)?(?:\s+as\s+(\w+))?", self.s.mask):
+        for m in re.finditer(r"(?m)^[ \t]*import\s+([\w.]+)(\.\*)?(?:\s+as\s+(\w+))?", self.s.mask):
             if not m[2]:
                 self.add("binding", self.id, None, m[3] or m[1].rpartition(".")[2], m.start(), detail=m[1].rpartition(".")[2], source=m[1])
         self.scope(0, len(text), [], self.id, True)
@@ -308,7 +309,7 @@ class BraceGraph:
 
     def _imports(self) -> DataFrame:
         """path, source, target: the file that a relative import names, by the first existing candidate."""
-        used = self.kind("import").select("path", F.col("name").alias("source")).unionByName(self.kind("dynamic_import").select("path", F.col("name").alias("source"))).filter("language <> 'kotlin'" if False else "source like '.%'").distinct()
+        used = self.kind("import").select("path", F.col("name").alias("source")).unionByName(self.kind("dynamic_import").select("path", F.col("name").alias("source"))).filter("source like '.%'").distinct()
         folder = F.regexp_replace("path", "[^/]*$", "")
         raw = F.concat(folder, "source")
 

@@ -21,7 +21,7 @@ def plain_degrees(rows, k, t):
     return {d: reach.get(s, 0) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [64, 7])
+@pytest.mark.parametrize("block", [4096, 7])
 def test_degrees_count_all_links(spark, monkeypatch, block):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     rng = random.Random(2)
