@@ -33,13 +33,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, free: bool = False, dictionary: int = 1 << 20) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no
-    recomputation of earlier steps. With ``free``, shuffle files of finished steps are released."""
+    recomputation of earlier steps. With ``free``, shuffle files of finished steps are released. ``dictionary``
+    bounds the bytes of the dictionary of a column chunk."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.dictionary.page.size", str(dictionary)).parquet(path)
     del df
     if free:
         release(spark)
