@@ -17,9 +17,10 @@ from ..session import staged as _staged
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; shuffle files of finished steps are released."""
-    return _staged(df, name, free=True)
+def staged(df: DataFrame, name: str, dictionary: int = 1 << 20) -> DataFrame:
+    """``df`` written to the shared folder and read back; shuffle files of finished steps are released.
+    ``dictionary`` bounds the bytes of the dictionary of a column chunk."""
+    return _staged(df, name, free=True, dictionary=dictionary)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -37,11 +37,15 @@ BUCKETS = 1 << 20
 #: A token in the prefixes of more lines is heavy.
 LIGHT = 512
 #: Shares in which tokens meet, one after the other.
-PASSES = 2
+PASSES = 3
+#: Sets of so many words or more carry no parity bits: with 64 bits these could hardly tell them apart.
+BITLESS = 160
 #: Heavy tokens (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
 BROADCAST_TOKENS = 200_000
 #: Parts that a heavy token's lines of one band are dealt into when they meet their earliest line.
 SALTS = 16
+#: Bytes of the dictionary of a column chunk of word hashes: room for a million words.
+DICTIONARY = 8 << 20
 WHITE = "\t\x0b\x0c\r"
 
 
@@ -60,9 +64,11 @@ def _words(docs: DataFrame) -> DataFrame:
     """A stored table of the lines with words: uid, doc_id, rk, pos and the 64-bit hashes of the line's distinct words.
 
     Texts are cut into words once; the counts, the sets and the checks all read this."""
-    lines = docs.select("doc_id", row_hash(F.col("text")).alias("rk"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    # The text is hashed and cut before its lines become rows, so once a document.
+    texts = docs.select("doc_id", row_hash(F.col("text")).alias("rk"), F.split(_spaced(F.col("text")), "\n").alias("lines"))
+    lines = texts.select("doc_id", "rk", F.posexplode("lines").alias("pos", "line")).filter(F.trim("line") != "")
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return staged(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "rk", "pos", hashes.alias("words")), "words")
+    return staged(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "rk", "pos", hashes.alias("words")), "words", DICTIONARY)
 
 
 def rarity_table(words: DataFrame, buckets: int) -> Column:
@@ -80,7 +86,8 @@ def _codes(words: Column, levels: Column, buckets: int) -> Column:
     """The set as sorted longs: level of rarity in the upper bits, hash in the others."""
     def code(h):
         level = F.coalesce(F.get(levels, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # Stored columns count as nullable; an array without nulls is sorted as plain numbers.
+        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("bigint"))
     return F.sort_array(F.transform(words, code))
 
 
@@ -99,7 +106,8 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     keep = n - F.ceil(n * t - 1e-9).cast("int") + 1
     partners = F.ceil((n + 1) * t - 1e-9) <= n  # else only an equal set can match
     one = F.lit(1).cast("bigint")
-    bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+    parity = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+    bits = F.when(partners & (n < BITLESS), parity).otherwise(F.lit(0).cast("bigint"))
     prefix = F.when(partners, F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>"))
     rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos", F.col("uid").alias("id")).alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
     # Dealt by set before the grouping, which then sorts once.
@@ -123,7 +131,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
         small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
         need = _least_overlap(a["n"], b["n"], t)
         return (small >= large * t - 1e-9) & (F.least(a["n"] - a["i"], b["n"] - b["i"]) >= need) & (
-            a["n"] + b["n"] - F.bit_count(a["bits"].bitwiseXOR(b["bits"])) >= 2 * need)
+            (large >= BITLESS) | (a["n"] + b["n"] - F.bit_count(a["bits"].bitwiseXOR(b["bits"])) >= 2 * need))
 
     def meet(some, every, least):
         """Pairs of lines of ``some`` (a) with lines of ``every`` (b) in the bands from ``least`` to the last that can match."""
