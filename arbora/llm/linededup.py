@@ -110,8 +110,8 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     bits = F.when(partners & (n < BITLESS), parity).otherwise(F.lit(0).cast("bigint"))
     prefix = F.when(partners, F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>"))
     rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos", F.col("uid").alias("id")).alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
-    # Dealt by set before the grouping, which then sorts once.
-    firsts = staged(rows.repartition("sid", "sid2").groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
+    # Copies are grouped where they are before they are dealt, so a line that is everywhere is a row of each task.
+    firsts = staged(rows.groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
 
     def band(size):
         return F.floor(F.log(size) / -math.log(t)).cast("int")
