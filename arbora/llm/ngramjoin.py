@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +148,9 @@ def _verified(docs, signed, pairs, k, t, ranks) -> DataFrame:
                     sid.append(_node(c)), codes.append(c.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["sid", "codes"])
     made = some.dropDuplicates(["doc_hash"]).select("text").mapInArrow(arrays, "sid long, codes array<long>")
-    sets = staged(made, "sets")  # one row a node: its least text
-    both = pairs.join(sets.select(F.col("sid").alias("sid_b"), F.col("codes").alias("codes_b")), "sid_b").join(
-        sets.select(F.col("sid").alias("sid_a"), F.col("codes").alias("codes_a")), "sid_a").select("sid_a", "sid_b", "codes_a", "codes_b")
+    # One row a node. Both joins read one exchange of the sets, which are long, so no stored copy lies beside it.
+    both = pairs.join(made.select(F.col("sid").alias("sid_b"), F.col("codes").alias("codes_b")), "sid_b").join(
+        made.select(F.col("sid").alias("sid_a"), F.col("codes").alias("codes_a")), "sid_a").select("sid_a", "sid_b", "codes_a", "codes_b")
 
     def verify(batches):
         for batch in batches:
@@ -164,7 +165,7 @@ def _verified(docs, signed, pairs, k, t, ranks) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["sid_a", "sid_b"])
     out = staged(both.mapInArrow(verify, "sid_a long, sid_b long"), "links")
-    discard(sets, place)
+    discard(place)
     return out
 
 
@@ -186,9 +187,8 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.select(F.least("sid_a", "sid_b").alias("sid_a"), F.greatest("sid_a", "sid_b").alias("sid_b"))
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
-    """Drop pairs whose bitmaps differ in more bits than linked sets may."""
-    maps = nodes.select("sid", "n", "bitmap")
+def _bounded(pairs: DataFrame, maps: DataFrame, t: float) -> DataFrame:
+    """Drop pairs whose bitmaps (sid, n, bitmap) differ in more bits than linked sets may."""
     both = pairs.join(maps.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a")), "sid_a").join(
         maps.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b")), "sid_b")
     differ = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
@@ -206,15 +206,16 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, light: int = LIGHT
     signed = staged(wide.select("doc_id", "doc_hash", "n", "sid"), "signed")
     discard(wide)
     posting = nodes.select("sid", F.posexplode("prefix").alias("i", "token"))
-    shared = None
+    shares = []
     for turn in range(PASSES):  # a share of the tokens at a time, so that a share of the shuffle files is there
         part = posting.filter(F.pmod(F.shiftright("token", 8), F.lit(PASSES)) == turn)
         counts = staged(part.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
-        rows = staged(part.join(counts, "token"), "tiles")  # n-grams of one node link nothing
+        shares.append(staged(part.join(counts, "token"), "tiles"))  # n-grams of one node link nothing
         discard(counts)
-        shared = rows if shared is None else shared.unionByName(rows)
     folds = nodes.select("sid", "n", *[F.get("fold", j).alias(f"f{j}") for j in range(4)])
-    tiles = staged(shared.join(folds, "sid"), "tiles")
+    tiles = staged(reduce(DataFrame.unionByName, shares).join(folds, "sid"), "tiles")
+    maps = staged(nodes.select("sid", "n", "bitmap"), "maps")  # what checks need; prefixes are in the tiles
+    discard(nodes, *shares)
 
     cold, hot = tiles.filter(F.col("c") <= light), tiles.filter(F.col("c") > light)
     direct = _ordered(_side(cold, "a").join(_side(cold, "b"), "token").filter((F.col("sid_a") < F.col("sid_b")) & _fit(t)))
@@ -226,7 +227,7 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, light: int = LIGHT
     lead = banded.groupBy("token", "band").agg(F.min(F.struct(F.col("i").alias("before"), turn.alias("turn"), *FIELDS)).alias("lead"))
     star = banded.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in FIELDS]).join(lead.select("token", "band", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in FIELDS]), ["token", "band"])
     star = _ordered(star.filter((F.col("sid_a") != F.col("sid_b")) & _fit(t)))
-    first = staged(_bounded(direct.unionByName(star).distinct(), nodes, t), "pairs")
+    first = staged(_bounded(direct.unionByName(star).distinct(), maps, t), "pairs")
     links = _verified(docs, signed, first, k, t, ranks)
     parts = components(links, "sid_a", "sid_b")
 
@@ -238,9 +239,9 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, light: int = LIGHT
     open_tiles = hot.join(open_side, "token", "left_semi").join(own, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_tiles = staged(open_tiles, "open-tiles")
     across = _side(open_tiles, "a", "component").join(_side(open_tiles, "b", "component"), "token").filter((F.col("component_a") < F.col("component_b")) & _fit(t))
-    second = staged(_bounded(_ordered(across).distinct(), nodes, t).join(first, ["sid_a", "sid_b"], "left_anti"), "pairs")
+    second = staged(_bounded(_ordered(across).distinct(), maps, t).join(first, ["sid_a", "sid_b"], "left_anti"), "pairs")
     more = _verified(docs, signed, second, k, t, ranks)
-    discard(tiles, mixed, open_tiles, nodes)
+    discard(tiles, mixed, open_tiles, maps)
     return signed, staged(links.unionByName(more), "links")
 
 
