@@ -37,7 +37,7 @@ BUCKETS = 1 << 20
 #: A token in the prefixes of more lines is heavy.
 LIGHT = 512
 #: Shares in which tokens meet, one after the other.
-PASSES = 3
+PASSES = 6
 #: Sets of so many words or more carry no parity bits: with 64 bits these could hardly tell them apart.
 BITLESS = 160
 #: Heavy tokens (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
@@ -164,7 +164,10 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     mine = hot.join(settled, "id", "left_anti")
     whole = unordered(meet(mine, hot, band(F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9)))))
     gone = settled.unionByName(_later(words, staged(whole.distinct().join(first_pairs, ["x", "y"], "left_anti"), "pairs"), firsts, t))
-    return words.select("doc_id", "rk", "pos"), firsts.select("id", "doc_id", "rk", "pos").join(gone, "id", "left_anti").drop("id")
+    every = staged(words.select("doc_id", "rk", "pos"), "places")
+    stay = staged(firsts.select("id", "doc_id", "rk", "pos").join(gone, "id", "left_anti").drop("id"), "places")
+    discard(words, firsts, hot)  # texts are dealt next
+    return every, stay
 
 
 def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
