@@ -625,3 +625,6 @@ KOTLIN_EDGES = _edges_sql("kotlin:", ".kt", "trade/", "supply/", [
 @query(KOTLIN_EDGES)
 def kotlin_edges(spark, sf_dir):
     return _edge_rows(BraceGraph(V.sources(spark, sf_dir, V.KOTLIN, ".kt")).edges())
+
+
+from . import outline  # noqa: E402, F401  (registers more queries)
