@@ -7,6 +7,8 @@ of other characters. Lines, not files, are the unit, as terms have no line break
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,35 +38,48 @@ def token_frequencies(posted: DataFrame) -> DataFrame:
 
 
 def find(terms: DataFrame, files: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """term, path, line, col of the whole-word, non-overlapping places of each distinct ``term``."""
-    posted = postings(files) if posted is None else posted
+    """term, path, line, col of the whole-word, non-overlapping places of each distinct ``term``.
+
+    Terms are words, phrases (that hold a word) or signs (that hold none); only kinds that occur are looked up."""
     terms = terms.select("term").filter("term <> ''").distinct()
-    words = terms.filter(F.col("term").rlike(f"^{WORD}$"))
-    single = words.join(posted, F.col("term") == F.col("token")).select("term", "path", "line", "col")
+    is_word, has_word = F.col("term").rlike(f"^{WORD}$"), F.col("term").rlike("[A-Za-z0-9_]")
+    kinds = terms.agg(*[F.coalesce(F.max(kind), F.lit(False)) for kind in (is_word, has_word & ~is_word, ~has_word)]).first()
+    posted = postings(files) if posted is None else posted
+    found = [look(terms.filter(kind), files, posted) for there, kind, look in zip(kinds, (is_word, has_word & ~is_word, ~has_word), (_words, _phrases, _signs)) if there]
+    if not found:
+        return _words(terms, files, posted).limit(0)
+    return reduce(DataFrame.unionByName, found)
 
-    phrases = terms.filter(~F.col("term").rlike(f"^{WORD}$") & F.col("term").rlike("[A-Za-z0-9_]"))
+
+def _words(words: DataFrame, files: DataFrame, posted: DataFrame) -> DataFrame:
+    return words.join(posted, F.col("term") == F.col("token")).select("term", "path", "line", "col")
+
+
+def _phrases(phrases: DataFrame, files: DataFrame, posted: DataFrame) -> DataFrame:
+    """Places of a phrase's rarest word at which the line holds the whole phrase."""
     anchors = phrases.select("term", F.explode(located(F.col("term"), WORD)).alias("m")).select("term", F.col("m.value").alias("token"), F.col("m.start").alias("lead"))
     # Only the phrases' own tokens are counted. One that no file has ends its phrase here; ties go to the first token.
     counted = token_frequencies(posted.join(anchors.select("token").distinct(), "token", "left_semi"))
     rare = anchors.join(counted, "token", "left").groupBy("term").agg(F.min_by(F.struct("token", "lead"), F.struct(F.coalesce("n", F.lit(0)), "lead")).alias("a"))
     hits = rare.select("term", "a.token", "a.lead").join(posted, "token").select("term", "path", "line", (F.col("col") - F.col("lead")).alias("col")).filter("col >= 0")
-    checked = hits.join(lines(files), ["path", "line"]).filter(
+    return _without_overlap(hits.join(lines(files), ["path", "line"]).filter(
         (F.substring("text", F.col("col") + 1, F.length("term")) == F.col("term"))
         & ~F.substring("text", F.col("col"), F.when(F.col("col") > 0, 1).otherwise(0)).rlike("[A-Za-z0-9_]")
-        & ~F.substring("text", F.col("col") + F.length("term") + 1, F.lit(1)).rlike("[A-Za-z0-9_]")).select("term", "path", "line", "col")
+        & ~F.substring("text", F.col("col") + F.length("term") + 1, F.lit(1)).rlike("[A-Za-z0-9_]")).select("term", "path", "line", "col"))
+
 
-    signs = terms.filter(~F.col("term").rlike("[A-Za-z0-9_]"))
+def _signs(signs: DataFrame, files: DataFrame, posted: DataFrame) -> DataFrame:
+    """Places of terms without words among the runs of other characters."""
     sizes = signs.select(F.length("term").alias("size")).distinct()
     runs = lines(files).select("path", "line", F.explode(located(F.col("text"), "[^A-Za-z0-9_]+")).alias("m"), F.length("text").alias("width")).select(
         "path", "line", F.col("m.start").alias("at"), F.col("m.value").alias("run"), "width")
     # A term of signs must not touch a word: a run's first and last character count only at the line's ends.
     inner = runs.select("path", "line", (F.col("at") + (F.col("at") > 0).cast("int")).alias("at"), F.substring(
         "run", F.when(F.col("at") > 0, 2).otherwise(1), F.length("run") - (F.col("at") > 0).cast("int") - (F.col("at") + F.length("run") < F.col("width")).cast("int")).alias("run")).filter("run <> ''")
-    cut = inner.join(F.broadcast(sizes), F.col("size") <= F.length("run")) if signs.limit(1).count() else inner.withColumn("size", F.lit(1)).limit(0)
+    cut = inner.join(F.broadcast(sizes), F.col("size") <= F.length("run"))  # as many rows as terms have different lengths
     pieces = cut.select("path", "line", F.explode(F.transform(F.sequence(F.lit(0), F.length("run") - F.col("size")), lambda i: F.struct(
         (F.col("at") + i).alias("col"), F.substring(F.col("run"), i + 1, F.col("size")).alias("term")))).alias("p")).select("path", "line", "p.col", "p.term")
-    marked = pieces.join(signs, "term").select("term", "path", "line", "col")
-    return single.unionByName(_without_overlap(checked.unionByName(marked)))
+    return _without_overlap(pieces.join(signs, "term").select("term", "path", "line", "col"))
 
 
 def _without_overlap(found: DataFrame) -> DataFrame:

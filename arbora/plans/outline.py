@@ -105,13 +105,13 @@ def node_token_costs(spark, sf_dir):
 
 
 @query(f"""with l as ({_LINES_SQL.format(V.SQL_PAGES)} union all {_LINES_SQL.format(V.SQL_BENCH)}), t(term) as (values ('<'), ('><'), ('/'), (', ')),
-spots as (select term, path, line, unnest(list_filter(range(1, cast(length(text) as int) + 1), lambda i: substr(text, i, length(term)) = term
- and (i = 1 or not regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9_]')) and not regexp_matches(substr(text, i + length(term), 1), '[A-Za-z0-9_]'))) as i from l cross join t where contains(text, term))
-select term, path, cast(line as int) as line, cast(i - 1 as int) as col from spots""")
+r as (select path, line, unnest(regexp_extract_all(chr(1) || text || chr(1), '[^A-Za-z0-9_]+')) as run from l), inner_runs as (select path, line, substr(run, 2, length(run) - 2) as run from r where length(run) > 2)
+select term, path, cast(line as int) as line, cast(sum(length(run) - length(replace(run, term, ''))) // length(term) as bigint) as n from inner_runs cross join t where contains(run, term) group by term, path, line""")
 def sign_occurrences(spark, sf_dir):
-    """Places of terms without words, in pages and benchmark items; a place next to a word doesn't count."""
+    """Places of terms without words, in pages and benchmark items, by line; a place next to a word doesn't count."""
     signs = spark.createDataFrame([("<",), ("><",), ("/",), (", ",)], "term string")
-    return index.find(signs, V.page_files(spark, sf_dir).unionByName(V.bench_files(spark, sf_dir)))
+    found = index.find(signs, V.page_files(spark, sf_dir).unionByName(V.bench_files(spark, sf_dir)))
+    return found.groupBy("term", "path", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Nodes and edges.
