@@ -30,4 +30,25 @@ select distinct doc_id, item_id, cast(n_item as bigint) as n_item, cast(n_common
 from shared join sizes using (item, width) where cast(n_common as double) / n_item >= 0.8 - 1e-9
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op5_mixing": OP5}
+OP12 = rf"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+worded as (select *, regexp_extract_all(text, '{_SPACE}') as w, min(doc_id) over (partition by text) as first from texts),
+known as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+failing as (select w.part, coalesce(k.good, false) as good, coalesce(k.toxic, false) as toxic,
+  (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+  + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > first, false)::int as bits from worded w left join known k on w.doc_id = k.doc_id),
+combos as (select part, bits, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failing group by all),
+parts as (select distinct part from combos),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select part, filter_order, step, 1 << (ascii(filter_order[step]) - 65) as own,
+  cast(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) as bigint) as earlier from parts, orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+counted as (select s.part, s.filter_order, s.step, s.own,
+  cast(coalesce(sum(n) filter (bits & (own | coalesce(earlier, 0)) = 0), 0) as bigint) as kept, cast(coalesce(sum(n) filter (bits & own > 0 and bits & coalesce(earlier, 0) = 0), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter (bits & own > 0 and bits & coalesce(earlier, 0) > 0), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (bits = own), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(good) filter (bits & own > 0 and bits & coalesce(earlier, 0) = 0), 0) as bigint) as good_lost, cast(coalesce(sum(toxic) filter (bits & own > 0 and bits & coalesce(earlier, 0) = 0), 0) as bigint) as toxic_lost
+  from steps s join combos c on s.part = c.part group by all)
+select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from counted
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op5_mixing": OP5, "op12_filter_audit": OP12}

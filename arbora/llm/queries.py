@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, licenses, linededup, media, mixing, ngramjoin, pii, quality, warc
+from . import decontaminate, filteraudit, htmltext, licenses, linededup, media, mixing, ngramjoin, pii, quality, tokencount, warc
 from .oracles import ORACLES
 
 
@@ -57,5 +57,13 @@ def op10_html(spark, sf_dir):
     return htmltext.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_licenses, op5_mixing, op6_ngram_jaccard, op7_quality, op8_warc, op9_media, op10_html)}
+def op11_token_counts(spark, sf_dir):
+    return tokencount.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "tokens.*")
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_licenses, op5_mixing, op6_ngram_jaccard, op7_quality, op8_warc, op9_media, op10_html, op11_token_counts, op12_filter_audit)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
