@@ -13,6 +13,9 @@ from ..functions.arrays import fold_runs, let  # noqa: F401
 from ..session import discard, release, scratch_path  # noqa: F401
 from ..session import staged as _staged
 
+#: Keys with more than 1 / SHARE of the rows (so fewer than SHARE keys) are joined by a broadcast.
+SHARE = 1024
+
 #: White space of the word contracts: space and the control characters tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -87,3 +90,17 @@ def lower_ascii(text: Column) -> Column:
     (two would, and texts with them take the slow way)."""
     odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
     return F.when(odd, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], total: int, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` left-joined with ``table``, in which ``keys`` are unique; a row with a null key finds nothing.
+    A key with a large share of the ``total`` rows must not meet in one task: such keys are fewer than SHARE, and
+    their rows join by a broadcast; the rest is shuffled. ``counts``: rows by key in a column ``count``, if known."""
+    counts = rows.dropna(subset=keys).groupBy(*keys).count() if counts is None else counts
+    hot = table.join(counts.filter(F.col("count") * SHARE > total).select(*keys), keys, "left_semi").withColumn("hot", F.lit(True))
+    keyed = rows.join(F.broadcast(hot), keys, "left")
+    values = [c for c in table.columns if c not in keys]
+    rest = keyed.filter("hot is null").drop("hot", *values)
+    blank = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
+    none = rest.filter(blank).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in values})
+    return keyed.filter("hot").drop("hot").unionByName(none).unionByName(rest.filter(~blank).join(table, keys, "left"))

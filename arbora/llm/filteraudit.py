@@ -29,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import attach, staged
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT, SIGNS = 200, 50, 3, b"#$%&*|"
-#: Keys with more than 1 / SHARE of the rows (so fewer than SHARE keys) are joined by a broadcast.
-SHARE = 1024
 #: A task's sums leave it when they cover so many parts.
 PARTS = 4096
 
@@ -64,29 +62,16 @@ def text_flags(docs: DataFrame, part: str = "lang") -> DataFrame:
     return texts.mapInArrow(_scan, "doc_id long, part string, bits int, digest binary")
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` left-joined with ``table`` (unique ``key``). A key with a large share of ``rows`` must not meet
-    in one task: such keys are fewer than SHARE, and their rows join by a broadcast; the rest is shuffled."""
-    hot = table.join(rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") * SHARE > total).select(key), key, "left_semi")
-    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))
-    keyed = rows.join(hot, key, "left")
-    values = [c for c in table.columns if c != key]
-    rest = keyed.filter("hot is null").drop("hot", *values)
-    none = rest.filter(F.col(key).isNull()).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in values})
-    shuffled = rest.filter(F.col(key).isNotNull()).join(table, key, "left")
-    return keyed.filter("hot").drop("hot").unionByName(none).unionByName(shuffled)
-
-
 def document_bits(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     """(part, bits, good, toxic) of every document, with all five filter bits."""
     flags = staged(text_flags(docs, part), "flags")
     total = flags.count()
     first = flags.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    marked = attach(flags, first, "digest", total)
+    marked = attach(flags, first, ["digest"], total)
     copy = F.when(F.col("doc_id") > F.col("first"), 1 << 4).otherwise(0)
     marked = staged(marked.select("doc_id", "part", F.col("bits").bitwiseOR(copy).alias("bits")), "marked")
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    out = attach(marked, known, "doc_id", total)
+    out = attach(marked, known, ["doc_id"], total)
     return out.select("part", "bits", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 

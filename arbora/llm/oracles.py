@@ -51,4 +51,23 @@ counted as (select s.part, s.filter_order, s.step, s.own,
 select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from counted
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op5_mixing": OP5, "op12_filter_audit": OP12}
+OP13 = """
+with turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+convs as (select conv_id, count(*) as n, conv_id - conv_id % 5 as base, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: ascii(c)::bigint)),
+  lambda s, c: list_reduce(list_prepend(xor(s, c), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda t, i: xor(t >> 1, (t & 1) * 3988292384))), 4294967295) % 9 as h from turns group by conv_id),
+planned as (select c.*, least(c.h, coalesce(b.n, 0)) as kept from convs c left join convs b on b.conv_id = c.base),
+rebuilt as (select p.conv_id as c, t.pos as d, role, text from planned p join turns t on t.conv_id = p.base and t.pos <= p.h
+  union all select p.conv_id, kept + t.pos - h, role, text from planned p join turns t on t.conv_id = p.conv_id and t.pos > p.h),
+keyed as (select c, d, strlen(text) as bytes, md5(string_agg(md5(strlen(role) || ':' || role || text), '') over (partition by c order by d)) as k from rebuilt),
+lengths as (select conv_id as c, coalesce(max(d), 0) as len from planned left join rebuilt on c = conv_id group by conv_id),
+prefixes as (select c, 0 as d, 0 as bytes, '' as k, len from lengths union all select c, d, bytes, k, len from keyed join lengths using (c)),
+parents as (select *, lag(k) over (partition by c order by d) as pk from prefixes),
+nodes as (select d, k, any_value(pk) as pk, min(c) as conv_id, count(*) as n_convs, any_value(bytes) * (count(*) - 1) as saved, (max(len) = d)::int as leaf,
+  coalesce(string_agg(cast(c as varchar), ',' order by c) filter (d = len), '') as ends from parents group by d, k),
+children as (select d - 1 as d, pk as k, count(*) as n_children from nodes where d > 0 group by all),
+below as (select p.d, p.k, sum(n.saved) as saved_tokens, sum(n.leaf) as n_leaves from nodes n join prefixes p on p.c = n.conv_id and p.d <= n.d group by all)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, cast(b.n_leaves as bigint) as n_leaves, cast(b.saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join below b on n.d = b.d and n.k = b.k left join children c on c.d = n.d and c.k = n.k left join nodes p on p.d = n.d - 1 and p.k = n.pk
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op5_mixing": OP5, "op12_filter_audit": OP12, "op13_prefix_trie": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, filteraudit, htmltext, licenses, linededup, media, mixing, ngramjoin, pii, quality, tokencount, warc
+from . import decontaminate, filteraudit, htmltext, licenses, linededup, media, mixing, ngramjoin, pii, prefixtrie, quality, tokencount, warc
 from .oracles import ORACLES
 
 
@@ -65,5 +65,9 @@ def op12_filter_audit(spark, sf_dir):
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_licenses, op5_mixing, op6_ngram_jaccard, op7_quality, op8_warc, op9_media, op10_html, op11_token_counts, op12_filter_audit)}
+def op13_prefix_trie(spark, sf_dir):
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_licenses, op5_mixing, op6_ngram_jaccard, op7_quality, op8_warc, op9_media, op10_html, op11_token_counts, op12_filter_audit, op13_prefix_trie)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
