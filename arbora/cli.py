@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     if a.app:
         print(f"{a.app} is not run; its sources are analysed")
-    done = analyse(spark, a.path, a.framework or a.language, not a.no_language_graph)
+    done = analyse(spark, a.path, a.framework or a.language, not a.no_language_graph, leave_out=a.output)  # what an earlier run wrote is no source
     left_out = (MODELS if a.no_models else ()) + (WIRING if a.no_deps else ())
     done = done.without(*left_out) if left_out else done
     metrics = done.metrics()

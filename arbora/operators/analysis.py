@@ -155,6 +155,6 @@ def analyse_files(files: DataFrame, what: str, language_graph: bool = True) -> A
     return Analysis(files, staged(nodes.unionByName(keys.join(nodes.select("id"), "id", "left_anti").select(*_NODES)), "nodes"), staged(edges.unionByName(more[0]).unionByName(more[1]), "edges"))
 
 
-def analyse(spark: SparkSession, root: str, what: str, language_graph: bool = True) -> Analysis:
-    """The graph of a local checkout."""
-    return analyse_files(staged(source_files.read_repository(spark, root), "files"), what, language_graph)
+def analyse(spark: SparkSession, root: str, what: str, language_graph: bool = True, leave_out: str | None = None) -> Analysis:
+    """The graph of a local checkout, without the files in ``leave_out``."""
+    return analyse_files(staged(source_files.read_repository(spark, root, leave_out=leave_out), "files"), what, language_graph)

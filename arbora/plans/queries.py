@@ -615,6 +615,7 @@ def typescript_edges(spark, sf_dir):
 
 
 KOTLIN_EDGES = _edges_sql("kotlin:", ".kt", "trade/", "supply/", [
+    ("region", "kotlin-package:trade", "CONTAINS", "OWN", "exact", 1, 1), ("nation", "kotlin-package:trade", "CONTAINS", "OWN", "exact", 1, 1), ("supplier", "kotlin-package:supply", "CONTAINS", "OWN", "exact", 1, 1),
     ("region", "OWN", "DECLARES", "OWN#Region{k}", "exact", 3, 1), ("region", "OWN#Region{k}", "CONTAINS", "OWN#Region{k}.label", "exact", 4, 1),
     ("nation", "OWN", "DECLARES", "OWN#Nation{k}", "exact", 3, 1), ("nation", "OWN", "DECLARES", "OWN#make{k}", "exact", 9, 1), ("nation", "OWN#Nation{k}", "CONTAINS", "OWN#Nation{k}.total", "exact", 4, 1),
     ("nation", "OWN#Nation{k}", "INHERITS", "UP#Region{up}", "unique_name", 3, 1), ("nation", "OWN#make{k}", "INSTANTIATES", "OWN#Nation{k}", "unique_name", 10, 1), ("nation", "OWN#make{k}", "TYPE_USES", "OWN#Nation{k}", "unique_name", 9, 1),

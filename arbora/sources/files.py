@@ -36,16 +36,21 @@ def walked_files(root: str) -> list[str]:
     return sorted(out)
 
 
-def list_files(root: str, tracked_only: bool = True) -> tuple[str, list[str]]:
-    """(where the list comes from, paths)."""
-    if tracked_only and (tracked := tracked_files(root)):
-        return "git-tracked", tracked
-    return "static_fallback", walked_files(root)
-
-
-def read_repository(spark: SparkSession, root: str, tracked_only: bool = True, partitions: int | None = None) -> DataFrame:
-    """Files of a local checkout; tasks read the contents. A file that can't be read has null content."""
-    _, paths = list_files(root, tracked_only)
+def list_files(root: str, tracked_only: bool = True, leave_out: str | None = None) -> tuple[str, list[str]]:
+    """(where the list comes from, paths), without those in the folder ``leave_out``."""
+    tracked = tracked_files(root) if tracked_only else None
+    kind, paths = ("git-tracked", tracked) if tracked else ("static_fallback", walked_files(root))
+    if leave_out:
+        at, gone = Path(root).resolve(), Path(leave_out).resolve()
+        if gone != at and gone.is_relative_to(at):
+            paths = [p for p in paths if not (at / p).is_relative_to(gone)]
+    return kind, paths
+
+
+def read_repository(spark: SparkSession, root: str, tracked_only: bool = True, partitions: int | None = None, leave_out: str | None = None) -> DataFrame:
+    """Files of a local checkout but those in ``leave_out``; tasks read the contents. A file that can't be read
+    has null content."""
+    _, paths = list_files(root, tracked_only, leave_out)
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(partitions or max(1, min(len(paths) // 64 + 1, 1000)))
 
     def read(frames):

@@ -83,6 +83,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert endpoint["label"] == "GET /v1/items/{item}" and endpoint["cost"]["token_estimate"] > 0 and endpoint["symbol_path"] and endpoint["metadata"]["analysis"]["fan_out"] > 0
     assert cli.main([str(tmp_path), "-f", "fastapi", "-o", str(out), "--json", "--no-models", "--no-deps", "--no-language-graph"]) == 0
     less = json.loads((out / "architecture.json").read_text())
+    assert not any((n.get("span") or {}).get("file_path", "").startswith("out/") for n in less["nodes"])
     assert {n["kind"] for n in less["nodes"]} == {"app", "router", "endpoint"} and {e["relation"] for e in less["edges"]} <= {"INCLUDES", "ROUTES"}
     assert cli.main([str(tmp_path / "none")]) == 1
     with pytest.raises(SystemExit):
