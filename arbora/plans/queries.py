@@ -605,6 +605,8 @@ TYPESCRIPT_EDGES = _edges_sql("ts:", ".ts", "trade/", "supply/", [
     ("nation", "OWN", "EXPORTS", "OWN#Nation{k}", "exact", 3, 1), ("nation", "OWN", "EXPORTS", "OWN#make{k}", "exact", 9, 1), ("nation", "OWN#Nation{k}", "CONTAINS", "OWN#Nation{k}.total", "exact", 4, 1),
     ("nation", "OWN", "IMPORTS", "UP", "exact", 1, 1), ("nation", "OWN", "IMPORTS_SYMBOL", "UP#Region{up}", "exact", 1, 1), ("nation", "OWN#Nation{k}", "INHERITS", "UP#Region{up}", "exact", 3, 1),
     ("nation", "OWN#make{k}", "INSTANTIATES", "OWN#Nation{k}", "exact", 10, 1), ("nation", "OWN#make{k}", "TYPE_USES", "OWN#Nation{k}", "exact", 9, 1),
+    ("nation", "OWN", "EXPORTS", "OWN#pick{k}", "exact", 14, 1), ("nation", "OWN#pick{k}", "TYPE_USES", "UP#Region{up}", "exact", 17, 1), ("nation", "OWN#pick{k}", "TYPE_USES", "OWN#Nation{k}", "exact", 19, 1),
+    ("nation", "OWN#pick{k}", "CALLS", "OWN#make{k}", "exact", 21, 2), ("nation", "OWN#pick{k}", "INSTANTIATES", "OWN#Nation{k}", "exact", 21, 1),
     ("supplier", "OWN", "EXPORTS", "OWN#describe{k}", "exact", 3, 1), ("supplier", "OWN", "EXPORTS", "OWN#check{k}", "exact", 7, 1), ("supplier", "OWN", "IMPORTS", "UP", "exact", 1, 1),
     ("supplier", "OWN", "IMPORTS_SYMBOL", "UP#make{up}", "exact", 1, 1), ("supplier", "OWN#describe{k}", "CALLS", "UP#make{up}", "exact", 4, 1), ("supplier", "OWN#check{k}", "CALLS", "OWN#describe{k}", "exact", 8, 1)])
 
@@ -619,6 +621,7 @@ KOTLIN_EDGES = _edges_sql("kotlin:", ".kt", "trade/", "supply/", [
     ("region", "OWN", "DECLARES", "OWN#Region{k}", "exact", 3, 1), ("region", "OWN#Region{k}", "CONTAINS", "OWN#Region{k}.label", "exact", 4, 1),
     ("nation", "OWN", "DECLARES", "OWN#Nation{k}", "exact", 3, 1), ("nation", "OWN", "DECLARES", "OWN#make{k}", "exact", 9, 1), ("nation", "OWN#Nation{k}", "CONTAINS", "OWN#Nation{k}.total", "exact", 4, 1),
     ("nation", "OWN#Nation{k}", "INHERITS", "UP#Region{up}", "unique_name", 3, 1), ("nation", "OWN#make{k}", "INSTANTIATES", "OWN#Nation{k}", "unique_name", 10, 1), ("nation", "OWN#make{k}", "TYPE_USES", "OWN#Nation{k}", "unique_name", 9, 1),
+    ("nation", "OWN", "DECLARES", "OWN#pick{k}", "exact", 13, 1), ("nation", "OWN#pick{k}", "TYPE_USES", "OWN#Nation{k}", "unique_name", 13, 1), ("nation", "OWN#pick{k}", "CALLS", "OWN#make{k}", "unique_name", 18, 1),
     ("supplier", "OWN", "DECLARES", "OWN#describe{k}", "exact", 5, 1), ("supplier", "OWN", "DECLARES", "OWN#check{k}", "exact", 9, 1), ("supplier", "OWN", "IMPORTS", "UP", "unique_name", 3, 1),
     ("supplier", "OWN", "IMPORTS_SYMBOL", "UP#make{up}", "unique_name", 3, 1), ("supplier", "OWN#describe{k}", "CALLS", "UP#make{up}", "unique_name", 6, 1), ("supplier", "OWN#check{k}", "CALLS", "OWN#describe{k}", "unique_name", 10, 1)])
 
@@ -628,4 +631,41 @@ def kotlin_edges(spark, sf_dir):
     return _edge_rows(BraceGraph(V.sources(spark, sf_dir, V.KOTLIN, ".kt")).edges())
 
 
+def _nodes_sql(prefix: str, suffix: str, rows: list[tuple], packages: str = "") -> str:
+    """rows: table, folder, name (nothing: the file), kind, first line, last line, signature, exported, flags."""
+    keys = {"region": ("r_regionkey", "r_regionkey"), "nation": ("n_nationkey", "n_regionkey"), "supplier": ("s_suppkey", "s_nationkey")}
+
+    def text(x, table):
+        k, up = keys[table]
+        return "null" if x is None else "'" + x.replace("{k}", f"' || {k} || '").replace("{up}", f"' || {up} || '") + "'"
+    out = []
+    for table, folder, name, kind, first, last, signature, exported, flags in rows:
+        path = f"{folder}/{table}{{k}}{suffix}"
+        out.append(f"select {text(prefix + path + (f'#{name}' if name else ''), table)} as id, '{kind}' as kind, {text(path + (f':{name}' if name else ''), table)} as symbol_path, {first} as first_line, {last} as last_line, {text(signature, table)} as signature, {exported} as exported, '{flags}' as flags from {table}")
+    return " union all ".join(out) + packages
+
+
+def _node_rows(nodes):
+    return nodes.select("id", "kind", "symbol_path", F.col("span.start_line").alias("first_line"), F.col("span.end_line").alias("last_line"), "signature", "exported", F.array_join("flags", ",").alias("flags"))
+
+
+@query(_nodes_sql("ts:", ".ts", [
+    ("region", "trade", "", "file", 1, 6, None, "null", ""), ("region", "trade", "Region{k}", "class", 1, 5, "class Region{k}", "true", ""), ("region", "trade", "Region{k}.label", "method", 2, 4, "label()", "false", "ambiguous_name"),
+    ("nation", "trade", "", "file", 1, 23, None, "null", ""), ("nation", "trade", "Nation{k}", "class", 3, 7, "class Nation{k} extends Region{up}", "true", ""), ("nation", "trade", "Nation{k}.total", "method", 4, 6, "total()", "false", "ambiguous_name"),
+    ("nation", "trade", "make{k}", "function", 9, 11, "function make{k}()", "true", ""), ("nation", "trade", "pick{k}", "function", 14, 22, "function pick{k}(\n  key: Map<\n    string,\n    Promise<Region{up}>\n  >,\n)", "true", ""),
+    ("supplier", "supply", "", "file", 1, 10, None, "null", ""), ("supplier", "supply", "describe{k}", "function", 3, 5, "function describe{k}()", "true", ""), ("supplier", "supply", "check{k}", "function", 7, 9, "function check{k}()", "true", "")]))
+def typescript_nodes(spark, sf_dir):
+    return _node_rows(BraceGraph(V.sources(spark, sf_dir, V.TYPESCRIPT, ".ts")).nodes())
+
+
+@query(_nodes_sql("kotlin:", ".kt", [
+    ("region", "trade", "", "file", 1, 8, None, "null", ""), ("region", "trade", "Region{k}", "class", 3, 7, "open class Region{k}", "true", ""), ("region", "trade", "Region{k}.label", "method", 4, 6, "fun label(): String", "true", "ambiguous_name"),
+    ("nation", "trade", "", "file", 1, 19, None, "null", ""), ("nation", "trade", "Nation{k}", "class", 3, 7, "class Nation{k} : Region{up}()", "true", ""), ("nation", "trade", "Nation{k}.total", "method", 4, 6, "fun total(): Int", "true", "ambiguous_name"),
+    ("nation", "trade", "make{k}", "function", 9, 11, "fun make{k}(): Nation{k}", "true", ""), ("nation", "trade", "pick{k}", "function", 13, 18, "fun Map<\n    String,\n    List<Nation{k}>\n>.pick{k}(\n    key: String,\n): Nation{k}?", "true", ""),
+    ("supplier", "supply", "", "file", 1, 12, None, "null", ""), ("supplier", "supply", "describe{k}", "function", 5, 7, "fun describe{k}()", "true", ""), ("supplier", "supply", "check{k}", "function", 9, 11, "fun check{k}()", "true", "")],
+    " union all select distinct 'kotlin-package:trade', 'module', 'trade', null, null, null, null, '' from nation union all select distinct 'kotlin-package:supply', 'module', 'supply', null, null, null, null, '' from supplier"))
+def kotlin_nodes(spark, sf_dir):
+    return _node_rows(BraceGraph(V.sources(spark, sf_dir, V.KOTLIN, ".kt")).nodes())
+
+
 from . import outline  # noqa: E402, F401  (registers more queries)

@@ -72,10 +72,12 @@ PYTHON = ('"""Region $1."""\n\n\nclass Region$0:\n    def label(self):\n
           "from trade.region$1 import Region$1\n\nLIMIT = $0\n\n\nclass Nation$0(Region$1):\n    def total(self):\n        return self.label()\n\n\ndef make$0():\n    return Nation$0()\n",
           "from trade.nation$1 import Nation$1 as Home, make$1\n\n\ndef describe$0(home: Home):\n    return make$1()\n\n\ndef check$0():\n    return describe$0(None)\n")
 TYPESCRIPT = ('export class Region$0 {\n  label(): string {\n    return "$1";\n  }\n}\n',
-              'import { Region$1 } from "./region$1";\n\nexport class Nation$0 extends Region$1 {\n  total(): number {\n    return 1;\n  }\n}\n\nexport function make$0(): Nation$0 {\n  return new Nation$0();\n}\n',
+              'import { Region$1 } from "./region$1";\n\nexport class Nation$0 extends Region$1 {\n  total(): number {\n    return 1;\n  }\n}\n\nexport function make$0(): Nation$0 {\n  return new Nation$0();\n}\n'
+              '\nexport function pick$0(key: string): Nation$0;\nexport function pick$0(\n  key: Map<\n    string,\n    Promise<Region$1>\n  >,\n): Nation$0 {\n  const rule = /["\'`{(]+/g;\n  return `${key} ${make$0()}` && [rule].length < 2 ? make$0() : new Nation$0();\n}\n',
               'import { make$1 } from "../trade/nation$1";\n\nexport function describe$0() {\n  return make$1();\n}\n\nexport function check$0() {\n  return describe$0();\n}\n')
 KOTLIN = ('package trade\n\nopen class Region$0 {\n    fun label(): String {\n        return "$1"\n    }\n}\n',
-          "package trade\n\nclass Nation$0 : Region$1() {\n    fun total(): Int {\n        return 1\n    }\n}\n\nfun make$0(): Nation$0 {\n    return Nation$0()\n}\n",
+          "package trade\n\nclass Nation$0 : Region$1() {\n    fun total(): Int {\n        return 1\n    }\n}\n\nfun make$0(): Nation$0 {\n    return Nation$0()\n}\n"
+          '\nfun Map<\n    String,\n    List<Nation$0>\n>.pick$0(\n    key: String,\n): Nation$0? = /* outer /* { */ make() */ this["${make$0()}"]?.first()\n',
           "package supply\n\nimport trade.make$1\n\nfun describe$0() {\n    make$1()\n}\n\nfun check$0() {\n    describe$0()\n}\n")
 
 

@@ -1,283 +1,27 @@
-"""Facts of TypeScript, JavaScript and Kotlin files, by lexing: declarations, imports, heritage, types, references.
+"""Graphs of TypeScript, JavaScript and Kotlin files.
 
-No grammar is needed at run time. Facts have one form for all three languages; :class:`BraceGraph` joins them
-into nodes and edges.
+The parsers give facts of one form for these languages, a file at a time; :class:`BraceGraph` joins them into nodes
+and edges.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.costs import cost_for_span, cost_for_text
-from ...functions.paths import TYPESCRIPT_SUFFIXES
+from ...functions.paths import TYPESCRIPT_SUFFIXES, path_flags
 from ...session import staged
-from .lexing import Source
+from .kotlin import Kotlin
+from .typescript import TypeScript
 
 FACTS = "path string, language string, kind string, owner string, id string, name string, detail string, source string, line int, end_line int, exported boolean, signature string, seq bigint"
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
-#: Words that are no names, and modifiers before a declaration.
-TS_WORDS = frozenset("if for while switch catch return new typeof await function class import export const let var super throw delete void in of instanceof yield async do else try finally case break continue default extends implements interface enum type this true false null undefined".split())
-KT_WORDS = frozenset("if for while when catch return throw fun class object interface val var super this try finally else do is as in import package constructor init true false null".split())
-NAME = r"[A-Za-z_$][\w$]*"
-_TS_DECLARATION = re.compile(rf"(?P<mods>(?:\b(?:export|default|declare|abstract|async)\s+)*)\b(?:(?P<kind>class|interface|enum|function\*?|namespace)\s+(?P<name>{NAME})|type\s+(?P<alias>{NAME})\s*(?:<[^=]*>)?\s*=|(?:const|let|var)\s+(?P<var>{NAME}))")
-_TS_MEMBER = re.compile(rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?P<mods>(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set|declare)\s+)*)(?P<name>#?{NAME})\s*(?P<then>[(<]|\??\s*[:=;])")
-_TS_IMPORT = re.compile(r"\bimport\s+(?P<what>[^'\"();]*?)\s*(?:\bfrom\s*)?(?P<q>['\"])(?P<from>[^'\"\n]+)(?P=q)|\bexport\s+(?P<re>\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*(?P<q2>['\"])(?P<refrom>[^'\"\n]+)(?P=q2)")
-_TS_DYNAMIC = re.compile(r"\b(?:import|require)\s*\(\s*['\"]([^'\"\n]+)['\"]\s*\)")
-_KT_DECLARATION = re.compile(r"(?P<mods>(?:\b(?:public|private|internal|protected|open|abstract|sealed|data|inner|enum|annotation|value|override|suspend|inline|operator|infix|tailrec|const|lateinit|companion|fun)\s+)*)\b(?:(?P<kind>class|interface|object)\s+(?P<name>[A-Za-z_]\w*)|fun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(?P<fun>[A-Za-z_]\w*)\s*(?=\()|(?:val|var)\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(?P<var>[A-Za-z_]\w*))")
-#: What stands before a type in Kotlin: a colon, or the supertypes of a class so far. Arguments in their parentheses are no types.
-_TYPE_PLACE = re.compile(r"(?<!:):\s*$|\b(?:class|interface|object)\b[^{}();=]*(?:\([^()]*\))?\s*:[^{}();=]*(?:\([^()]*\)[^{}();=]*)*$")
-_CALL = re.compile(rf"(?P<new>\bnew\s+)?(?:\b(?P<receiver>{NAME})\s*\??\.\s*)?\b(?P<name>{NAME})\s*(?:<[\w$, .<>\[\]?|]*>)?\s*(?=[({{])")
-_WRITE = re.compile(rf"(?:\b(?P<receiver>{NAME})\s*\.\s*)?\b(?P<name>{NAME})\s*(?:[-+*/%&|^]|<<|>>|\*\*|\?\?|&&|\|\|)?=(?![=>])|(?:\+\+|--)\s*(?P<pre>{NAME})|\b(?P<post>{NAME})\s*(?:\+\+|--)")
-
-
-class _File:
-    """Facts of one file; ids are prefix:path#qualified.name."""
-
-    def __init__(self, path: str, text: str):
-        self.path, self.s, self.rows = path, Source(text), []
-        self.language = "kotlin" if path.endswith((".kt", ".kts")) else "typescript"
-        self.id = ("kotlin:" if self.language == "kotlin" else "ts:") + path
-        self.spans: list[tuple[int, int, str, str]] = []
-        self.add("file", None, self.id, path, 0, len(text), exported=None)
-
-    def add(self, kind, owner, ident, name, start, end=None, detail=None, source=None, exported=None, signature=None):
-        end = start if end is None else end
-        self.rows.append((self.path, self.language, kind, owner, ident, name, detail, source, self.s.line(start), self.s.line(max(start, end)), exported, signature, len(self.rows)))
-
-    def declare(self, owner, scope, name, kind, start, end, exported):
-        ident = f"{self.id}#{'.'.join([*scope, name])}"
-        head = re.split(r"[{\n]|=>", self.s.text[start:end + 1], maxsplit=1)[0].strip()
-        self.add("symbol", owner, ident, name, start, end, detail=kind, exported=exported, signature=head[:300])
-        self.spans.append((start, end, ident, kind))
-        return ident
-
-    def names_in(self, text: str) -> list[str]:
-        known = KT_WORDS if self.language == "kotlin" else TS_WORDS
-        return [w for w in dict.fromkeys(re.findall(r"[A-Za-z_$][\w$]*", text)) if w not in known]
-
-    def types(self, owner, start, end):
-        """Names after colons and inside angle brackets of a declaration's head."""
-        head = self.s.mask[start:end]
-        for m in re.finditer(r":\s*([A-Za-z_$][\w$.<>\[\]?|&, ]*)|<([^<>()]*)>", head):
-            for name in self.names_in(m[1] or m[2] or ""):
-                self.add("annotation", owner, None, name, start + m.start())
-
-    def references(self, module_owner):
-        """Calls and writes, each at the innermost symbol around it."""
-        words = KT_WORDS if self.language == "kotlin" else TS_WORDS
-        starts = {s for s, _, _, _ in self.spans}
-        order = sorted(self.spans)
-
-        def around(at):
-            inside = [x for x in order if x[0] <= at <= x[1] and x[3] not in ("constant", "field")]
-            return max(inside, key=lambda x: x[0])[2] if inside else module_owner
-        for m in _CALL.finditer(self.s.mask):
-            opening = self.s.mask[m.end():m.end() + 1]
-            name = m["name"]
-            if name in words or m["receiver"] in ("function", "fun") or m.start("name") in starts or (opening == "{" and self.language != "kotlin"):
-                continue
-            if self.language == "kotlin" and _TYPE_PLACE.search(self.s.mask[max(0, m.start() - 400):m.start()]):
-                continue
-            if re.search(r"(?:\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?|\bfunction\*?\s+|\bclass\s+|\binterface\s+|\bobject\s+|\benum\s+)$", self.s.mask[max(0, m.start() - 60):m.start("name")]):
-                continue
-            self.add("reference", around(m.start()), None, name, m.start("name"), detail="new" if m["new"] else "call", source=m["receiver"])
-        for m in _WRITE.finditer(self.s.mask):
-            name = m["name"] or m["pre"] or m["post"]
-            if name not in words:
-                self.add("reference", around(m.start()), None, name, m.start(), detail="write", source=m["receiver"])
-        written = {(r[3], r[5]) for r in self.rows if r[2] == "reference"}
-        for m in re.finditer(r"(?<![.\w$])([A-Za-z_$][\w$]*)(?![\w$]*\s*[(:])", self.s.mask):
-            owner = around(m.start())
-            if m[1] not in words and owner != module_owner and (owner, m[1]) not in written:
-                written.add((owner, m[1]))
-                self.add("reference", owner, None, m[1], m.start(), detail="read")
-
-
-class _TypeScript(_File):
-    def __init__(self, path, text):
-        super().__init__(path, text)
-        self.imports()
-        self.scope(0, len(text), [], self.id)
-        listed = {n.split(" as ")[0].strip() for m in re.finditer(r"\bexport\s*\{([^}]*)\}(?!\s*from)", self.s.mask) for n in m[1].split(",")}
-        self.rows = [r if not (r[2] == "symbol" and r[5] in listed and r[3] == self.id) else (*r[:10], True, *r[11:]) for r in self.rows]
-        self.references(self.id)
-
-    def imports(self):
-        for m in _TS_IMPORT.finditer(self.s.code):
-            if m["from"]:
-                self.add("import", self.id, None, m["from"], m.start())
-                what = (m["what"] or "").removeprefix("type ").strip()
-                braces = re.search(r"\{([^}]*)\}", what)
-                for part in braces[1].split(",") if braces else ():
-                    names = [x.strip() for x in part.strip().removeprefix("type ").split(" as ")]
-                    if names[0]:
-                        self.add("binding", self.id, None, names[-1], m.start(), detail=names[0], source=m["from"])
-                if star := re.search(rf"\*\s*as\s+({NAME})", what):
-                    self.add("binding", self.id, None, star[1], m.start(), detail="*", source=m["from"])
-                if default := re.match(NAME, what):
-                    self.add("binding", self.id, None, default[0], m.start(), detail="default", source=m["from"])
-            else:
-                self.add("import", self.id, None, m["refrom"], m.start())
-                if m["re"].startswith("*"):
-                    self.add("reexport", self.id, None, "*", m.start(), source=m["refrom"])
-                for part in m["re"].strip("{}").split(",") if m["re"].startswith("{") else ():
-                    names = [x.strip() for x in part.split(" as ")]
-                    if names[0]:
-                        self.add("reexport", self.id, None, names[-1], m.start(), detail=names[0], source=m["refrom"])
-        for m in _TS_DYNAMIC.finditer(self.s.code):
-            self.add("dynamic_import", self.id, None, m[1], m.start())
-
-    def scope(self, start, end, scope, owner):
-        """Declarations of a block, without those of blocks inside other statements."""
-        at = start
-        while at < end:
-            m = _TS_DECLARATION.search(self.s.mask, at, end)
-            if not m:
-                return
-            skipped = self.s.mask.find("{", at, m.start())
-            if skipped >= 0 and self.s.close(skipped) >= m.start() and self.s.close(skipped) <= end:
-                at = self.s.close(skipped) + 1
-                continue
-            at = self.declaration(m, scope, owner, end)
-
-    def declaration(self, m, scope, owner, end):
-        exported = "export" in m["mods"]
-        default = "default" in m["mods"]
-        if m["var"]:
-            stop = self.s.statement_end(m.end())
-            arrow = re.match(r"[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>|[^=]*=\s*(?:async\s+)?function", self.s.mask[m.end():stop])
-            ident = self.declare(owner, scope, m["var"], "function" if arrow else "constant", m.start(), stop - 1, exported)
-            self.types(ident, m.end(), min(stop, m.end() + 300))
-            return stop
-        if m["alias"]:
-            stop = self.s.statement_end(m.end())
-            ident = self.declare(owner, scope, m["alias"], "type_alias", m.start(), stop - 1, exported)
-            for name in self.names_in(self.s.mask[m.end():stop]):
-                self.add("annotation", ident, None, name, m.start())
-            return stop
-        kind = m["kind"].rstrip("*")
-        brace = m.end()
-        while brace < end and self.s.mask[brace] not in "{;":
-            brace = self.s.close(brace) + 1 if self.s.mask[brace] in "([" else brace + 1
-        stop = self.s.close(brace) if brace < end and self.s.mask[brace] == "{" else min(brace, end)
-        ident = self.declare(owner, scope, m["name"], {"function": "function", "namespace": "class"}.get(kind, kind), m.start(), stop, exported)
-        if default:
-            self.add("default", self.id, ident, m["name"], m.start())
-        head = self.s.mask[m.end():brace]
-        if kind in ("class", "interface"):
-            for word, relation in (("extends", "INHERITS"), ("implements", "IMPLEMENTS")):
-                if clause := re.search(rf"\b{word}\s+(.*?)(?=\bimplements\b|$)", head, re.S):
-                    for name in re.split(r",(?![^<]*>)", clause[1]):
-                        base = re.match(r"\s*([\w$.]+)", name)
-                        if base:
-                            self.add("base", ident, None, base[1].rpartition(".")[2], m.start(), detail=relation)
-            self.members(brace + 1, stop, [*scope, m["name"]], ident)
-        else:
-            self.types(ident, m.end(), brace)
-            if kind == "namespace":
-                self.scope(brace + 1, stop, [*scope, m["name"]], ident)
-        return stop + 1
-
-    def members(self, start, end, scope, owner):
-        at = start
-        while m := _TS_MEMBER.search(self.s.mask, at, end):
-            brace = self.s.mask.find("{", at, m.start())
-            if brace >= 0 and self.s.close(brace) > m.start():
-                at = self.s.close(brace) + 1
-                continue
-            name, then = m["name"], m["then"]
-            if then in "(<":
-                p = self.s.mask.find("(", m.end() - 1, end)
-                if p < 0 or name in TS_WORDS:
-                    at = m.end()
-                    continue
-                after = self.s.close(p) + 1
-                body = after
-                while body < end and self.s.mask[body] not in "{;\n":
-                    body += 1
-                stop = self.s.close(body) if body < end and self.s.mask[body] == "{" else body
-                ident = self.declare(owner, scope, name, "method", m.start("name"), stop, False)
-                self.types(ident, p, body)
-                at = stop + 1
-            else:
-                stop = self.s.statement_end(m.end())
-                if name not in TS_WORDS:
-                    ident = self.declare(owner, scope, name, "field", m.start("name"), stop - 1, False)
-                    self.types(ident, m.end() - 1, min(stop, m.end() + 200))
-                at = max(stop, m.end())
-
-
-class _Kotlin(_File):
-    def __init__(self, path, text):
-        super().__init__(path, text)
-        if m := re.search(r"(?m)^\s*package\s+([\w.]+)", self.s.mask):
-            self.add("package", self.id, f"kotlin-package:{m[1]}", m[1], m.start())
-        for m in re.finditer(r"(?m)^[ \t]*import\s+([\w.]+)(\.\*)?(?:\s+as\s+(\w+))?", self.s.mask):
-            if not m[2]:
-                self.add("binding", self.id, None, m[3] or m[1].rpartition(".")[2], m.start(), detail=m[1].rpartition(".")[2], source=m[1])
-        self.scope(0, len(text), [], self.id, True)
-        self.references(self.id)
-
-    def scope(self, start, end, scope, owner, top):
-        at = start
-        while m := _KT_DECLARATION.search(self.s.mask, at, end):
-            brace = self.s.mask.find("{", at, m.start())
-            if brace >= 0 and m.start() < self.s.close(brace) <= end:
-                at = self.s.close(brace) + 1
-                continue
-            at = self.declaration(m, scope, owner, end, top)
-
-    def declaration(self, m, scope, owner, end, top):
-        if m["var"]:
-            stop = self.s.statement_end(m.end())
-            ident = self.declare(owner, scope, m["var"], "constant" if top else "field", m.start(), stop - 1, "private" not in m["mods"])
-            self.add("header", ident, None, self.s.mask[m.end():stop].split("=")[0][:500], m.start())
-            return max(stop, m.end())
-        at = m.end()
-        while at < end and self.s.mask[at] not in "{=\n;":
-            at = self.s.close(at) + 1 if self.s.mask[at] in "([" else at + 1
-        head_end = at
-        look = re.match(r"\s*(?::[^{=;]*)?\{", self.s.mask[at:at + 300])
-        if at < end and self.s.mask[at] == "\n" and look:
-            at += look.end() - 1
-        if at < end and self.s.mask[at] == "{":
-            stop = self.s.close(at)
-        elif at < end and self.s.mask[at] == "=":
-            stop = self.s.statement_end(at + 1) - 1
-        else:
-            stop = max(at - 1, m.end())
-        name = m["fun"] or m["name"]
-        kind = ("function" if top else "method") if m["fun"] else "interface" if m["kind"] == "interface" else "class"
-        ident = self.declare(owner, scope, name, kind, m.start(), stop, "private" not in m["mods"])
-        head = self.s.mask[m.end():max(head_end, m.end())] if self.s.mask[head_end:head_end + 1] != "\n" else self.s.mask[m.end():at]
-        if m["fun"]:
-            self.add("header", ident, None, head[:500], m.start())
-        else:
-            p = re.match(r"\s*(?:<[^>]*>)?\s*(?:(?:private|internal|protected)?\s*(?:@\w+\s*)?constructor\s*)?\(", head)
-            rest = head
-            if p:
-                close = self.s.close(m.end() + p.end() - 1)
-                inner = self.s.mask[m.end() + p.end():close]
-                for v in re.finditer(r"\b(?:val|var)\s+(\w+)\s*:\s*([\w.<>?, ]+)", inner):
-                    field = self.declare(ident, [*scope, name], v[1], "field", m.end() + p.end() + v.start(), m.end() + p.end() + v.end(), True)
-                    self.add("header", field, None, v[2], m.start())
-                self.add("header", ident, None, inner[:500], m.start())
-                rest = self.s.mask[close + 1:at]
-            if up := re.match(r"\s*:\s*(.*)", rest, re.S):
-                for part in re.split(r",(?![^<(]*[>)])", up[1]):
-                    if b := re.match(r"\s*([\w.]+)", part):
-                        self.add("base", ident, None, b[1].rpartition(".")[2], m.start(), detail="SUPER")
-            if at < end and self.s.mask[at] == "{":
-                self.scope(at + 1, stop, [*scope, name], ident, False)
-        return max(stop + 1, m.end())
 
 
 def file_facts(path: str, text: str) -> list[tuple]:
-    return (_Kotlin if path.endswith((".kt", ".kts")) else _TypeScript)(path, text).rows
+    return (Kotlin if path.endswith((".kt", ".kts")) else TypeScript)(path, text or "").rows
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -349,16 +93,18 @@ class BraceGraph:
     def nodes(self) -> DataFrame:
         body = self.files.select("path", "content")
         span = F.struct(F.col("path").alias("file_path"), F.col("line").alias("start_line"), "end_line", F.lit(0).alias("start_col"), F.lit(0).alias("end_col"))
-        crowd = self.symbols.groupBy("name").agg(F.countDistinct("path").alias("scopes"))
+        crowd = self.symbols.groupBy("name").agg(F.when(F.max("language") == "kotlin", F.count("*")).otherwise(F.countDistinct("path")).alias("scopes"))
         none = F.array().cast("array<string>")
-        dynamic = self.kind("dynamic_import").select("path").distinct().withColumn("dynamic", F.lit(True))
-        f = self.kind("file").join(body, "path").join(dynamic, "path", "left").select("id", F.col("path").alias("label"), F.lit("file").alias("kind"), span.alias("span"), cost_for_text(F.col("content")).alias("cost"), "signature", "exported",
-                                                                                    F.col("path").alias("symbol_path"), F.when(F.col("dynamic"), F.array(F.lit("dynamic_import"))).otherwise(none).alias("flags"), "language", "path", "seq")
-        s = self.symbols.join(body, "path").join(crowd, "name").select("id", F.col("name").alias("label"), F.col("detail").alias("kind"), span.alias("span"), cost_for_span(F.col("content"), F.col("line"), F.col("end_line")).alias("cost"), "signature", "exported",
-                                                                       F.concat_ws("#", "path", F.regexp_extract("id", "#(.*)$", 1)).alias("symbol_path"), F.when(F.col("scopes") > 1, F.array(F.lit("ambiguous_name"))).otherwise(none).alias("flags"), "language", "path", "seq")
-        p = self.kind("package").select("id", "name").distinct().select("id", F.col("name").alias("label"), F.lit("package").alias("kind"), F.lit(None).cast(f.schema["span"].dataType).alias("span"), cost_for_text(F.col("name")).alias("cost"),
+        dynamic = self.kind("dynamic_import").select("path").distinct().withColumn("dynamic", F.array(F.lit("dynamic_import")))
+        barrel = self.kind("barrel").select("path").distinct().withColumn("barrel", F.array(F.lit("reexport")))
+        of_path = F.concat(path_flags(F.col("path")), F.coalesce("barrel", none))
+        f = self.kind("file").join(body, "path").join(dynamic, "path", "left").join(barrel, "path", "left").select("id", F.col("path").alias("label"), F.lit("file").alias("kind"), span.alias("span"), cost_for_text(F.col("content")).alias("cost"), "signature", "exported",
+                                                                                    F.col("path").alias("symbol_path"), F.concat(of_path, F.coalesce("dynamic", none)).alias("flags"), "language", "path", "seq")
+        s = self.symbols.join(body, "path").join(crowd, "name").join(barrel, "path", "left").select("id", F.col("name").alias("label"), F.col("detail").alias("kind"), span.alias("span"), cost_for_span(F.col("content"), F.col("line"), F.col("end_line")).alias("cost"), "signature", "exported",
+                                                                       F.concat_ws(":", "path", F.regexp_extract("id", "#(.*)$", 1)).alias("symbol_path"), F.concat(of_path, F.when(F.col("scopes") > 1, F.array(F.lit("ambiguous_name"))).otherwise(none)).alias("flags"), "language", "path", "seq")
+        p = self.kind("package").select("id", "name").distinct().select("id", F.col("name").alias("label"), F.lit("module").alias("kind"), F.lit(None).cast(f.schema["span"].dataType).alias("span"), cost_for_text(F.col("name")).alias("cost"),
                                                                         F.lit(None).cast("string").alias("signature"), F.lit(None).cast("boolean").alias("exported"), F.col("name").alias("symbol_path"), none.alias("flags"), F.lit("kotlin").alias("language"), F.lit("").alias("path"), F.lit(0).cast("bigint").alias("seq"))
-        return f.unionByName(s).unionByName(p).withColumn("provenance", F.concat(F.lit("language:"), "language"))
+        return f.unionByName(s).unionByName(p).withColumn("provenance", F.concat("language", F.lit("-core")))
 
     def edges(self) -> DataFrame:
         """All edges; repeats add to the weight."""
@@ -385,9 +131,7 @@ class BraceGraph:
         again = again.join(exported, "far").filter((F.col("name") == "*") | (F.col("detail") == F.col("real")))
         bases = self.named(self.kind("base")).join(kinds, "target", "left").join(self.symbols.select(F.col("id").alias("owner"), F.col("detail").alias("own_kind")), "owner")
         up = F.when(F.col("detail") != "SUPER", F.col("detail")).when((F.col("target_kind") == "interface") & (F.col("own_kind") == "class"), "IMPLEMENTS").otherwise("INHERITS")
-        # Kotlin headers: every known name among the words of the text.
-        heads = self.kind("header").drop("id").select("*", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("w")).drop("name").withColumnRenamed("w", "name")
-        typed = self.named(self.kind("annotation").drop("id").unionByName(heads.select(self.kind("annotation").drop("id").columns))).join(kinds.filter("target_kind in ('class', 'interface', 'enum', 'type_alias')"), "target")
+        typed = self.named(self.kind("annotation")).join(kinds.filter("target_kind in ('class', 'interface', 'enum', 'type_alias')"), "target")
         refs = self._references().filter("target is not null").join(kinds, "target", "left")
         call = F.when(F.col("detail") == "new", "INSTANTIATES").when((F.col("detail") == "call") & (F.col("target_kind") == "class"), "INSTANTIATES").when(F.col("detail") == "call", "CALLS").when(F.col("detail") == "write", "WRITES").when(
             F.col("target_kind").isin("constant", "field", "function", "class", "enum", "method") & F.col("target_kind").isin("constant", "field", "enum"), "READS")

@@ -24,27 +24,91 @@ def graph(spark, files):
     return {r["id"]: r for r in g.nodes().collect()}, {(r["from_id"], r["relation"], r["to_id"]) for r in g.edges().collect()}
 
 
+def full(text):
+    """Lines of start, relation, end; what stands before the first sign of a part is short for the file."""
+    return {tuple(line.split()) for line in text.strip().splitlines()}
+
+
 def test_typescript(spark):
     nodes, edges = graph(spark, TS)
     kinds = {i.partition("#")[2] or i: r["kind"] for i, r in nodes.items()}
-    assert kinds["Client"] == "class" and kinds["Client.load"] == "method" and kinds["Client.url"] == "field" and kinds["Options"] == "interface" and kinds["make"] == "function" and kinds["counter"] == "constant"
+    assert kinds == {"ts:src/api/base.ts": "file", "ts:src/api/client.ts": "file", "ts:src/api/only.ts": "file", "ts:src/util/deep.js": "file", "ts:src/util/index.ts": "file", "Base": "class", "Base.reset": "method", "helper": "function", "Client": "class",
+                     "Client.constructor": "method", "Client.load": "method", "Client.url": "field", "Options": "interface", "bump": "function", "counter": "constant", "make": "function", "single": "function", "deep": "constant", "fetchIt": "function", "lazy": "function"}
     assert nodes["ts:src/api/client.ts#Client"]["span"]["end_line"] == 12 and nodes["ts:src/util/index.ts"]["flags"] == ["dynamic_import"]
-    c, b = "ts:src/api/client.ts", "ts:src/api/base.ts"
-    want = {(c, "EXPORTS", f"{c}#Client"), (c, "DECLARES", f"{c}#bump"), (c, "IMPORTS", b), (c, "IMPORTS", "ts:src/util/index.ts"), (c, "IMPORTS_SYMBOL", f"{b}#Base"), (c, "IMPORTS_SYMBOL", f"{b}#helper"), (f"{c}#Client", "INHERITS", f"{b}#Base"),
-            (f"{c}#Client", "IMPLEMENTS", f"{c}#Options"), (f"{c}#Client", "CONTAINS", f"{c}#Client.load"), (f"{c}#Client.load", "CALLS", f"{b}#Base.reset"), (f"{c}#Client.load", "CALLS", "ts:src/util/index.ts#fetchIt"), (f"{c}#Client.load", "CALLS", f"{b}#helper"),
-            (f"{c}#Client.load", "TYPE_USES", f"{c}#Options"), (f"{c}#make", "INSTANTIATES", f"{c}#Client"), (f"{c}#bump", "WRITES", f"{c}#counter"), (f"{c}#bump", "CALLS", "ts:src/api/only.ts#single"),
-            ("ts:src/util/index.ts", "RE_EXPORTS", "ts:src/util/deep.js#deep"), ("ts:src/util/index.ts", "IMPORTS", "ts:src/util/deep.js")}
-    assert want - edges == set()
-    assert not any(r == "IMPORTS_SYMBOL" and t.endswith("#single") for _, r, t in edges)
+    c, b, i, d = "ts:src/api/client.ts", "ts:src/api/base.ts", "ts:src/util/index.ts", "ts:src/util/deep.js"
+    assert edges == full(f"""
+        {b} EXPORTS {b}#Base
+        {b} EXPORTS {b}#helper
+        {b}#Base CONTAINS {b}#Base.reset
+        {c} DECLARES {c}#bump
+        {c} DECLARES {c}#counter
+        {c} EXPORTS {c}#Client
+        {c} EXPORTS {c}#Options
+        {c} EXPORTS {c}#make
+        {c} IMPORTS {b}
+        {c} IMPORTS ts:src/api/only.ts
+        {c} IMPORTS {i}
+        {c} IMPORTS_SYMBOL {b}#Base
+        {c} IMPORTS_SYMBOL {b}#helper
+        {c}#Client CONTAINS {c}#Client.constructor
+        {c}#Client CONTAINS {c}#Client.load
+        {c}#Client CONTAINS {c}#Client.url
+        {c}#Client IMPLEMENTS {c}#Options
+        {c}#Client INHERITS {b}#Base
+        {c}#Client.constructor TYPE_USES {c}#Options
+        {c}#Client.load CALLS {b}#Base.reset
+        {c}#Client.load CALLS {b}#helper
+        {c}#Client.load CALLS {i}#fetchIt
+        {c}#Client.load TYPE_USES {c}#Options
+        {c}#bump CALLS ts:src/api/only.ts#single
+        {c}#bump WRITES {c}#counter
+        {c}#make INSTANTIATES {c}#Client
+        {c}#make TYPE_USES {c}#Options
+        ts:src/api/only.ts EXPORTS ts:src/api/only.ts#single
+        {d} EXPORTS {d}#deep
+        {i} DECLARES {i}#lazy
+        {i} EXPORTS {i}#fetchIt
+        {i} IMPORTS {d}
+        {i} RE_EXPORTS {d}#deep
+        {i}#fetchIt CALLS {i}#lazy""")
 
 
 def test_kotlin(spark):
     nodes, edges = graph(spark, KT)
     m, u = "kotlin:a/Model.kt", "kotlin:a/Use.kt"
-    assert nodes[f"{m}#User"]["kind"] == "class" and nodes[f"{m}#Named"]["kind"] == "interface" and nodes[f"{m}#User.name"]["kind"] == "field" and nodes["kotlin-package:a.model"]["kind"] == "package"
-    want = {("kotlin-package:a.model", "CONTAINS", m), (m, "DECLARES", f"{m}#User"), (f"{m}#User", "CONTAINS", f"{m}#User.rename"), (u, "IMPORTS_SYMBOL", f"{m}#User"), (u, "IMPORTS", m), (f"{m}#User", "INHERITS", f"{m}#Base"), (f"{m}#User", "IMPLEMENTS", f"{m}#Named"),
-            (f"{u}#create", "INSTANTIATES", f"{m}#User"), (f"{u}#create", "TYPE_USES", f"{m}#User"), (f"{u}#check", "CALLS", f"{m}#User.rename"), (f"{u}#check", "READS", f"{m}#LIMIT")}
-    assert want - edges == set()
+    assert nodes[f"{m}#User"]["kind"] == "class" and nodes[f"{m}#Named"]["kind"] == "interface" and nodes[f"{m}#User.name"]["kind"] == "field" and nodes["kotlin-package:a.model"]["kind"] == "module"
+    assert nodes[f"{m}#User.rename"]["symbol_path"] == "a/Model.kt:User.rename" and nodes[f"{m}#User"]["provenance"] == "kotlin-core" and f"{m}#LIMIT" not in nodes
+    assert edges == full(f"""
+        kotlin-package:a.model CONTAINS {m}
+        kotlin-package:a.use CONTAINS {u}
+        {m} DECLARES {m}#Base
+        {m} DECLARES {m}#Named
+        {m} DECLARES {m}#User
+        {m}#Base CONTAINS {m}#Base.id
+        {m}#User CONTAINS {m}#User.label
+        {m}#User CONTAINS {m}#User.name
+        {m}#User CONTAINS {m}#User.parent
+        {m}#User CONTAINS {m}#User.rename
+        {m}#User IMPLEMENTS {m}#Named
+        {m}#User INHERITS {m}#Base
+        {m}#User READS {m}#User.name
+        {m}#User TYPE_USES {m}#Base
+        {m}#User.parent TYPE_USES {m}#Base
+        {m}#User.rename TYPE_USES {m}#User
+        {u} DECLARES {u}#check
+        {u} DECLARES {u}#create
+        {u} IMPORTS {m}
+        {u} IMPORTS_SYMBOL {m}#User
+        {u}#check CALLS {m}#User.rename
+        {u}#check TYPE_USES {m}#User
+        {u}#create INSTANTIATES {m}#User
+        {u}#create TYPE_USES {m}#User""")
+
+
+def test_kotlin_names_and_packages(spark):
+    nodes, edges = graph(spark, {"a.kt": "class A { fun go() {}\n fun go(x: Int) {} }\nclass B { fun go() {} }\n", "b.kt": "package p\nfun only() {}\n"})
+    assert nodes["kotlin-package:<default>"]["kind"] == "module" and ("kotlin-package:<default>", "CONTAINS", "kotlin:a.kt") in edges
+    assert nodes["kotlin:a.kt#A.go"]["flags"] == nodes["kotlin:a.kt#B.go"]["flags"] == ["ambiguous_name"] and nodes["kotlin:b.kt#only"]["flags"] == []
 
 
 def test_masks_keep_places():
