@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import parts, suffix
 from ..functions.terms import WORD
-from .traversal import closure
+from .traversal import closure, closure_paths
 
 
 def read_units(symbols: DataFrame, limit: int) -> DataFrame:
@@ -135,6 +135,15 @@ def zone_of_effect(edges: DataFrame, changed: DataFrame, relations=("CALLS", "IN
     return closure(back, changed).filter("depth > 0").select(F.col("seed").alias("changed"), F.col("node").alias("affected"), "depth")
 
 
+def zone_paths(edges: DataFrame, changed: DataFrame, relations=("CALLS", "INHERITS", "IMPLEMENTS", "READS", "INSTANTIATES", "TYPE_USES", "IMPORTS")) -> DataFrame:
+    """The zone of effect with its evidence: for each affected node the typed steps by which it depends on the
+    change, from the node to the changed one, each (from_id, relation, to_id)."""
+    back = edges.filter(F.col("relation").isin(*relations)).select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), F.col("relation").alias("label")).distinct()
+    found = closure_paths(back, changed).filter("depth > 0")
+    steps = F.transform(F.reverse("path"), lambda s: F.struct(s["dst"].alias("from_id"), s["label"].alias("relation"), s["src"].alias("to_id")))
+    return found.select(F.col("seed").alias("changed"), F.col("node").alias("affected"), "depth", steps.alias("evidence"))
+
+
 def accessibility(zone: DataFrame, costs: DataFrame) -> DataFrame:
     """Affected nodes by how cheaply they are reached: rank by depth, then cost, within each change."""
     return zone.join(costs.withColumnRenamed("id", "affected"), "affected").withColumn("rank", F.row_number().over(Window.partitionBy("changed").orderBy("depth", "cost", "affected")))

@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import join_url
 from ..session import staged
+from .structure import numbered, search_growth, strong_components
 
 
 def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(seed, node, depth) of everything that seeds reach along (src, dst), seeds at depth 0."""
-    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct()
-    seen = staged(frontier.withColumn("depth", F.lit(0)), "reached")
+    """(seed, node, depth) of everything that seeds reach along (src, dst), seeds at depth 0. Each level is written
+    once and read again only to tell what is new."""
+    level = staged(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)), "reached")
+    seen = level
     for depth in range(1, rounds + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        frontier = staged(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
+        step = level.select("seed", "node").join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
+        level = staged(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if level.isEmpty():
             return seen
-        seen = staged(seen.unionByName(frontier.withColumn("depth", F.lit(depth))), "reached")
+        seen = seen.unionByName(level)
     raise RuntimeError(f"not closed after {rounds} rounds")
 
 
+def closure_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(seed, node, depth, path) of everything that seeds reach along ``edges`` (src, dst, label): path is the
+    labelled steps of a shortest way, the one whose last step has the least (src, label), then likewise before it.
+
+    Levels keep one step for each (seed, node); whole paths come from these by pointer doubling, so a path of d
+    steps takes log d joins."""
+    level = staged(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("label")).distinct().withColumn("depth", F.lit(0)), "witness")
+    seen = level
+    for depth in range(1, rounds + 1):
+        step = level.select("seed", F.col("node").alias("src")).join(edges.select("src", "dst", "label"), "src").groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("src").alias("via"), "label")).alias("w"))
+        step = step.select("seed", "node", "w.via", "w.label")
+        level = staged(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "witness")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    else:
+        raise RuntimeError(f"not closed after {rounds} rounds")
+    one = F.struct(F.col("via").alias("src"), "label", F.col("node").alias("dst"))
+    way = staged(seen.select("seed", "node", "depth", F.col("via").alias("back"), F.when(F.col("via").isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<src:string,label:string,dst:string>>")).alias("path")), "ways")
+    reach = 1
+    while reach < depth:
+        before = way.select("seed", F.col("node").alias("back"), F.col("back").alias("further"), F.col("path").alias("start"))
+        way = staged(way.join(before, ["seed", "back"], "left").select("seed", "node", "depth", F.col("further").alias("back"), F.when(F.col("start").isNull(), F.col("path")).otherwise(F.concat("start", "path")).alias("path")), "ways")
+        reach *= 2
+    return way.select("seed", "node", "depth", "path")
+
+
 def path_prefixes(roots: DataFrame, includes: DataFrame, rounds: int = 100) -> DataFrame:
     """Prefixes and tags that reach each router: root, router, prefix, tags, depth.
 
@@ -58,11 +86,13 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple
 
 
 def search_subgraph(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes whose label or metadata holds the text, any case, and their direct neighbours. One hop, whatever
-    the order of edges."""
+    """What a search for a text shows: nodes whose label or metadata holds it, any case, those that one pass over the
+    edges in their order (``ordinal``, then ends and relation) adds, as an edge with one end found adds the other, and
+    the edges among all of them."""
     low = text.lower()
     hits = nodes.filter(F.lower("label").contains(low) | F.lower(F.coalesce("metadata", F.lit(""))).contains(low))
-    return neighbourhood(nodes, edges, hits)
+    found = search_growth(numbered(edges.select("from_id", "to_id", "relation", "ordinal"), "ordinal", "from_id", "to_id", "relation"), hits)
+    return facet_filter(nodes.join(found.select("id"), "id", "left_semi"), edges)
 
 
 def facet_filter(nodes: DataFrame, edges: DataFrame, node_filter: Column | None = None, edge_filter: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -90,58 +120,7 @@ def components(nodes: DataFrame, adjacent: DataFrame, rounds: int = 200) -> Data
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
-def cut_points(nodes: DataFrame, adjacent: DataFrame, limit: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(articulation points: id; bridges: a, b) of the undirected graph, a component a task.
-
-    A component must have at most ``limit`` edges; a larger one raises, as depth-first search needs it whole."""
-    label = components(nodes, adjacent)
-    rows = staged(adjacent.join(label.withColumnRenamed("id", "src"), "src").select("component", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "component-edges")
-    largest = rows.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > limit:
-        raise ValueError(f"a component has {largest} edges; {limit} fit one task")
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(frame["a"], frame["b"]):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        order, low, cuts, bridges = {}, {}, set(), []
-        root = min(near)
-        order[root] = low[root] = 0
-        stack, children = [(root, "", iter(near[root]))], 0
-        while stack:
-            v, parent, rest = stack[-1]
-            for w in rest:
-                if w not in order:
-                    order[w] = low[w] = len(order)
-                    stack.append((w, v, iter(near[w])))
-                    break
-                if w != parent:
-                    low[v] = min(low[v], order[w])
-            else:
-                stack.pop()
-                if stack:
-                    u = stack[-1][0]
-                    low[u] = min(low[u], low[v])
-                    if low[v] > order[u]:
-                        bridges.append((min(u, v), max(u, v)))
-                    if u == root:
-                        children += 1
-                    elif low[v] >= order[u]:
-                        cuts.add(u)
-        if children > 1:
-            cuts.add(root)
-        return pd.DataFrame([("cut", x, None) for x in sorted(cuts)] + [("bridge", a, b) for a, b in sorted(bridges)], columns=["kind", "a", "b"])
-    found = staged(rows.groupBy("component").applyInPandas(search, "kind string, a string, b string"), "cuts")
-    return found.filter("kind = 'cut'").select(F.col("a").alias("id")), found.filter("kind = 'bridge'").select("a", "b")
-
-
-def cyclic_nodes(adjacent: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Nodes left when nodes without predecessors or without successors are taken away until none is left."""
-    e = staged(adjacent.select("src", "dst").distinct(), "edges")
-    for _ in range(rounds):
-        n = e.count()
-        e = staged(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
-        if e.count() == n:
-            return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    raise RuntimeError(f"not settled in {rounds} rounds")
+def cyclic_nodes(adjacent: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle: in a strong component of more than one node, or with an edge to themselves."""
+    loops = adjacent.filter("src = dst").select(F.col("src").alias("id"))
+    return strong_components(adjacent).select("id").unionByName(loops).distinct()

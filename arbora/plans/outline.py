@@ -260,12 +260,3 @@ def graph_without(spark, sf_dir):
     kept, rest = exploration.without(nodes, all_edges, nodes.filter("kind = 'supplier' and ordinal % 5 = 0"))
     return kept.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("ordinal")).unionByName(
         rest.select(F.col("relation").alias("what"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("ordinal").cast("long").alias("ordinal")))
-
-
-@query(f"""with {SMALL}, ends as (select src as id from adj union all select dst from adj) select 'cut' as kind, id as a, '' as b from ends group by id having count(*) > 1
-union all select 'bridge', least(src, dst), greatest(src, dst) from adj""")
-def cut_points(spark, sf_dir):
-    """In the graph without parts, orders and line items, which has no cycle, every inner node is a cut point and every edge a bridge."""
-    nodes, e = V.trade_nodes(spark, sf_dir, True), V.trade_edges(spark, sf_dir, True)
-    cuts, bridges = traversal.cut_points(nodes, edges.adjacency(e, nodes))
-    return cuts.select(F.lit("cut").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b")).unionByName(bridges.select(F.lit("bridge").alias("kind"), "a", "b"))

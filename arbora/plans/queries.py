@@ -245,16 +245,6 @@ def subgraph_neighborhood(spark, sf_dir):
     return near.select("id", "label")
 
 
-@query(f"""with {ALL}, hits as (select id from nodes where contains(lower(label), 'supplier#00')), touching as (select from_id, to_id from edges where from_id in (select id from hits) or to_id in (select id from hits))
-select id from nodes where id in (select from_id from touching union select to_id from touching union select id from hits)""")
-def search_subgraph(spark, sf_dir):
-    """Hits and the nodes one edge away, whatever the edges' order; a single pass over the edges, as a page would make it,
-    also takes in what stands later in the list behind a node just found."""
-    nodes, all_edges, _ = _graph(spark, sf_dir)
-    found, _ = traversal.search_subgraph(nodes.withColumn("metadata", F.lit(None).cast("string")), all_edges, "Supplier#00")
-    return found.select("id")
-
-
 @query(f"""with {ALL}, kept as (select id from nodes where kind in ('orders', 'customer', 'nation'))
 select from_id, to_id, relation from edges where relation <> 'IN_REGION' and from_id in (select id from kept) and to_id in (select id from kept)""")
 def facet_filter(spark, sf_dir):
@@ -668,4 +658,4 @@ def kotlin_nodes(spark, sf_dir):
     return _node_rows(BraceGraph(V.sources(spark, sf_dir, V.KOTLIN, ".kt")).nodes())
 
 
-from . import outline  # noqa: E402, F401  (registers more queries)
+from . import graphs, outline  # noqa: E402, F401  (register more queries)

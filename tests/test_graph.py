@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import centrality, diff, edges, traversal
+from arbora.operators import centrality, diff, edges, structure, traversal
 
 
 def graph(spark, ids, pairs):
@@ -134,10 +134,76 @@ def test_long_chain_component(spark):
 
 def test_cut_points(spark):
     nodes, _, adj = graph(spark, list("abcdef"), [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d")])
-    cuts, bridges = traversal.cut_points(nodes, adj)
+    cuts, bridges = structure.cut_points(adj)
     assert {r[0] for r in cuts.collect()} == {"c", "d"} and [tuple(r) for r in bridges.collect()] == [("c", "d")]
 
 
+def _parts(nodes, near, skip=None, cut=None):
+    """The number of connected parts, without a node or an edge."""
+    seen, n = {skip}, 0
+    for s in nodes:
+        if s not in seen:
+            n += 1
+            stack = [s]
+            seen.add(s)
+            while stack:
+                v = stack.pop()
+                for w in near[v] - seen:
+                    if {v, w} != cut:
+                        seen.add(w)
+                        stack.append(w)
+    return n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_structure_equals_a_walk(spark, seed):
+    """Cut points, bridges, strong components and search growth of random graphs, with a path among them, against walks."""
+    rng = random.Random(seed)
+    ids = [f"v{i:02d}" for i in range(26)]
+    pairs = {tuple(rng.sample(ids[:18], 2)) for _ in range(19)} | set(zip(ids[17:], ids[18:]))
+    near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in ids}
+    adj = spark.createDataFrame(sorted(pairs) + [("v00", "v00")], "src string, dst string")
+    whole = _parts(ids, near)
+    cuts, bridges = structure.cut_points(adj)
+    assert {r[0] for r in cuts.collect()} == {v for v in ids if near[v] and _parts(ids, near, v) > whole}
+    assert {(r["a"], r["b"]) for r in bridges.collect()} == {(min(p), max(p)) for p in pairs if _parts(ids, near, None, set(p)) > whole}
+    reach = {v: {v} for v in ids}
+    for _ in ids:
+        reach = {v: r | {b for a, b in pairs if a in r} for v, r in reach.items()}
+    groups = {v: {w for w in reach[v] if v in reach[w]} for v in ids}
+    assert {r["id"]: r["component"] for r in structure.strong_components(adj).collect()} == {v: min(g) for v, g in groups.items() if len(g) > 1}
+    assert {r[0] for r in traversal.cyclic_nodes(adj).collect()} == {v for v, g in groups.items() if len(g) > 1} | {"v00"}
+    order = sorted(pairs, key=lambda _: rng.random())
+    entered = dict.fromkeys(ids[3:5], -1)
+    for i, (a, b) in enumerate(order):
+        for x, y in ((a, b), (b, a)):
+            if x in entered:
+                entered.setdefault(y, i)
+    rows = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(order)], "from_id string, to_id string, at long")
+    assert {r["id"]: r["entered"] for r in structure.search_growth(rows, spark.createDataFrame([(x,) for x in ids[3:5]], "id string")).collect()} == entered
+
+
+def test_structure_of_nothing(spark):
+    none = spark.createDataFrame([], "src string, dst string")
+    cuts, bridges = structure.cut_points(none)
+    assert cuts.count() == bridges.count() == 0 and structure.strong_components(none).count() == 0
+    loop = spark.createDataFrame([("a", "a")], "src string, dst string")
+    assert [x.count() for x in structure.cut_points(loop)] == [0, 0] and traversal.cyclic_nodes(loop).count() == 1
+
+
+def test_a_node_between_cycles_is_on_none(spark):
+    _, _, adj = graph(spark, list("abcdx"), [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("b", "x"), ("x", "c")])
+    assert {r[0] for r in traversal.cyclic_nodes(adj).collect()} == set("abcd")
+
+
+def test_closure_paths(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", "x") for i in range(11)] + [("n00", "n05", "b"), ("n00", "n05", "a"), ("n11", "n00", "back")]
+    got = {r["node"]: r for r in traversal.closure_paths(spark.createDataFrame(chain, "src string, dst string, label string"), spark.createDataFrame([("n00",)], "id string")).collect()}
+    assert got["n00"]["path"] == [] and got["n11"]["depth"] == 7
+    assert [(s["src"], s["label"], s["dst"]) for s in got["n11"]["path"]] == [("n00", "a", "n05")] + [(f"n{i:02d}", "x", f"n{i + 1:02d}") for i in range(5, 11)]
+    assert [(s["src"], s["label"], s["dst"]) for s in got["n06"]["path"]] == [("n00", "a", "n05"), ("n05", "x", "n06")]
+
+
 def test_prefixes(spark):
     roots = spark.createDataFrame([("app", "r0", "/api", ["x"])], "root string, router string, prefix string, tags array<string>")
     inc = spark.createDataFrame([("r0", "r1", "/v1", ["y"]), ("r1", "r2", "users/", ["x"]), ("r2", "r0", "/loop", [])], "parent string, child string, prefix string, tags array<string>")
