@@ -10,6 +10,7 @@ from ..functions.costs import cost_for_span, cost_for_text, text_for_span
 from ..functions.paths import CODE_SUFFIXES, file_name, is_config_file, is_test, relative_to, suffix
 from ..functions.terms import literals
 from . import index
+from .intervals import innermost
 
 #: Kinds of production nodes that a test may mean.
 TESTED_KINDS = ("class", "function", "method", "file", "module")
@@ -106,7 +107,6 @@ def configuration(nodes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     used = index.lines(with_code).select(F.col("path").alias("_path"), "line", F.explode(literals(F.col("text"))).alias("label")).distinct()
     used = used.join(made.select("id", "label"), "label")
     spans = placed.filter("span is not null").select("_path", F.col("id").alias("node"), F.col("span.start_line").alias("s"), F.col("span.end_line").alias("e"), "ordinal")
-    inside = used.join(spans, "_path").filter(F.col("line").between(F.col("s"), F.col("e")))
-    nearest = inside.groupBy("id", "_path", "line").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("w"), "ordinal", "node")).alias("n"))
-    edges = nearest.groupBy(F.col("id").alias("from_id"), F.col("n.node").alias("to_id")).agg(F.min(F.struct("_path", "line")).alias("at"))
+    nearest = innermost(used, spans, ["_path"], "line", "s", "e", F.struct((F.col("e") - F.col("s")).alias("w"), "ordinal", "node"))
+    edges = used.join(nearest, ["_path", "line"]).groupBy(F.col("id").alias("from_id"), F.col("best.node").alias("to_id")).agg(F.min(F.struct("_path", "line")).alias("at"))
     return made, edges.select("from_id", "to_id", F.lit("CONFIGURES").alias("relation"), F.lit("static_certain").alias("confidence"), F.lit("exact").alias("resolution"), F.col("at._path").alias("file_path"), "at.line")

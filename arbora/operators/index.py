@@ -16,11 +16,7 @@ from ..functions.arrays import located
 from ..functions.paths import context_kind
 from ..functions.regions import line_regions
 from ..functions.terms import WORD
-
-
-#: Lines of a block in which lines and spans meet.
-BLOCK = 64
-
+from .intervals import innermost
 
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text of each line of ``files`` (path, content)."""
@@ -96,8 +92,8 @@ def with_context(found: DataFrame, files: DataFrame) -> DataFrame:
     hit = base.filter("context = 'code'").select("path").distinct()
     areas = line_regions(files.join(hit, "path", "left_semi")).withColumnRenamed("kind", "area")
     areas = areas.withColumn("line", F.col("line").cast("int"))
-    joined = base.join(areas, (base["path"] == areas["path"]) & (base["line"] == areas["line"]) & (base["context"] == "code") & base["col"].between(F.col("start_col"), F.col("end_col") - 1), "left")
-    return joined.select(*[base[c] for c in found.columns], F.coalesce("area", base["context"]).alias("context"))
+    inside = innermost(base.filter("context = 'code'"), areas.withColumn("last_col", F.col("end_col") - 1), ["path", "line"], "col", "start_col", "last_col", F.col("area"))
+    return base.join(inside, ["path", "line", "col"], "left").select(*found.columns, F.coalesce("best", "context").alias("context"))
 
 
 def enclosing(places: DataFrame, readable: DataFrame) -> DataFrame:
@@ -105,11 +101,7 @@ def enclosing(places: DataFrame, readable: DataFrame) -> DataFrame:
     span the file's own node, else the file's least node, else an id made of the path."""
     at = places.select("path", "line").distinct()
     spans = readable.filter("start_line is not null and end_line >= start_line").select(F.col("file_path").alias("path"), "id", "start_line", "end_line")
-    # A span stands in every block of lines that it touches, so a line meets the spans of its block, not of its file.
-    block = lambda c: F.floor(c / BLOCK).cast("int")
-    spans = spans.withColumn("block", F.explode(F.sequence(block(F.col("start_line")), block(F.col("end_line")))))
-    inside = at.withColumn("block", block(F.col("line"))).join(spans, ["path", "block"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("path", "line").agg(
-        F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "id")).alias("best"))
+    inside = innermost(at, spans, ["path"], "line", "start_line", "end_line", F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "id"))
     files = readable.groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("least"), F.max(F.when(F.col("id") == F.concat(F.lit("file:"), F.col("file_path")), F.col("id"))).alias("own"))
     return at.join(inside, ["path", "line"], "left").join(files, "path", "left").select(
         "path", "line", F.coalesce("best.id", "own", "least", F.concat(F.lit("file:"), F.col("path"))).alias("enclosing_node_id"))

@@ -116,3 +116,20 @@ def test_marked_edges(spark):
     got = {r["relation"]: r for r in enrich.mark_edges(e, nodes(spark), {"USES": "unique"}, "fw").collect()}
     assert got["USES"]["resolution"] == "ambiguous" and got["USES"]["evidence"]["file_path"] == "src/a.py" and "fw.uses" in got["USES"]["metadata"]
     assert got["OTHER"]["resolution"] == "unique_name" and got["OTHER"]["evidence"]["start_line"] == 1 and got["OTHER"]["metadata"] == "{}"
+
+
+def test_interval_join_equals_all_pairs(spark):
+    import random
+
+    from arbora.operators.intervals import innermost, interval_join
+
+    rng = random.Random(3)
+    spans = [(f"s{i}", rng.choice("xy"), a := rng.randint(-40, 300), a + rng.choice([-1, 0, 0, 1, 2, 5, 17, 64, 255, 1000])) for i in range(120)] + [("wide", "x", -(1 << 40), 1 << 40), ("open", "y", None, 7)]
+    points = [(rng.choice("xyz"), rng.randint(-60, 400)) for _ in range(150)] + [("x", None), ("x", 1 << 40)]
+    ss, pp = spark.createDataFrame(spans, "id string, k string, a long, b long"), spark.createDataFrame(points, "k string, p long")
+    want = sorted((k, p, s) for k, p in points for s, k2, a, b in spans if k == k2 and p is not None and a is not None and a <= p <= b)
+    assert sorted((r["k"], r["p"], r["id"]) for r in interval_join(pp, ss, ["k"], "p", "a", "b").collect()) == want
+    best = {(r["k"], r["p"]): r["best"]["id"] for r in innermost(pp, ss, ["k"], "p", "a", "b", F.struct((F.col("b") - F.col("a")).alias("w"), "id")).collect()}
+    width = {s: b - a for s, _, a, b in spans if a is not None}
+    assert best == {(k, p): min((width[s], s) for k2, p2, s in want if (k2, p2) == (k, p))[1] for k, p, _ in want}
+    assert interval_join(pp, ss.limit(0), ["k"], "p", "a", "b").count() == 0 and interval_join(pp.limit(0), ss, ["k"], "p", "a", "b").count() == 0
