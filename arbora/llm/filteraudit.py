@@ -76,7 +76,8 @@ def document_bits(docs: DataFrame, labels: DataFrame, part: str = "lang") -> Dat
 
 
 def survivors(codes: np.ndarray, n_parts: int, bits: np.ndarray, labels: list[np.ndarray]) -> np.ndarray:
-    """For each part, set of filters and label (the first is "any document"): rows that fail no filter of the set."""
+    """For each part (each has a row), set of filters and label (the first is "any document"): rows that fail no
+    filter of the set."""
     count = np.bincount(codes, minlength=n_parts)
     room = (count + 7) // 8 * 8  # each part fills whole bytes
     order = np.argsort(codes, kind="stable")
