@@ -16,8 +16,10 @@ from ..functions.arrays import located
 from ..functions.paths import context_kind
 from ..functions.regions import line_regions
 from ..functions.terms import WORD
+from ..session import scratch_path
 from .intervals import innermost
 
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text of each line of ``files`` (path, content)."""
     return files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("line0", "text")).select("path", (F.col("line0") + 1).alias("line"), "text")
@@ -29,6 +31,49 @@ def postings(files: DataFrame) -> DataFrame:
     return found.select(F.col("m.value").alias("token"), "path", "line", F.col("m.start").alias("col"))
 
 
+#: Folders of a stored index; a look-up of up to FEW tokens names its folders and tokens in the scan's filters.
+BUCKETS, FEW = 64, 1000
+
+
+class StoredIndex:
+    """Postings written once, for look-ups that read only the folders and row groups of their tokens.
+
+    A token's folder is its hash; files are ranges of (folder, token, path, line), so a frequent token fills several
+    files and a rare one shares a row group with its neighbours, whose least and greatest token the scan compares. The
+    folder is part of the path, so other folders are not even listed for a look-up that names its own."""
+
+    def __init__(self, spark, path: str):
+        self.path = path
+        self.postings = spark.read.schema("token string, path string, line int, col int, bucket int").parquet(path)
+
+    @classmethod
+    def write(cls, files: DataFrame, path: str | None = None) -> StoredIndex:
+        """The index of ``files`` (path, content) at a new ``path``; by default one in the shared scratch folder."""
+        spark = files.sparkSession
+        path = path or scratch_path(spark, "index")
+        order = ["bucket", "token", "path", "line", "col"]
+        rows = postings(files).select("token", "path", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), cls._bucket(F.col("token")).alias("bucket"))
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+        return cls(spark, path)
+
+    @staticmethod
+    def _bucket(token):
+        return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The postings of the words in ``terms`` (term)."""
+        tokens = terms.select(F.explode(F.regexp_extract_all("term", F.lit(f"({WORD})"), F.lit(1))).alias("token")).distinct().withColumn("bucket", self._bucket(F.col("token")))
+        few = tokens.limit(FEW + 1).collect()  # at most FEW + 1 words
+        if len(few) > FEW:
+            return self.postings.join(tokens, ["bucket", "token"], "left_semi").drop("bucket")
+        names, folders = sorted({r["token"] for r in few}), sorted({r["bucket"] for r in few})
+        return self.postings.filter(F.col("bucket").isin(*folders) & F.col("token").isin(*names)).drop("bucket")
+
+    def find(self, terms: DataFrame, files: DataFrame) -> DataFrame:
+        """As :func:`find`; only phrases and signs read ``files``."""
+        return find(terms, files, self.of(terms))
+
+
 def token_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 

@@ -133,3 +133,21 @@ def test_interval_join_equals_all_pairs(spark):
     width = {s: b - a for s, _, a, b in spans if a is not None}
     assert best == {(k, p): min((width[s], s) for k2, p2, s in want if (k2, p2) == (k, p))[1] for k, p, _ in want}
     assert interval_join(pp, ss.limit(0), ["k"], "p", "a", "b").count() == 0 and interval_join(pp.limit(0), ss, ["k"], "p", "a", "b").count() == 0
+
+
+def test_stored_index_reads_only_what_it_needs(spark, tmp_path):
+    rows = [(f"d/{i}.txt", f"common word{i} rare{i % 3}\ncommon again phrase{i} of words") for i in range(300)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    stored = index.StoredIndex.write(files, str(tmp_path / "index"))
+    assert stored.postings.count() == index.postings(files).count()
+    for terms in (["word7", "rare2"], ["common"], ["phrase9 of", "word1", "none"], ["of words", "++"]):
+        asked = spark.createDataFrame([(t,) for t in terms], "term string")
+        got, want = stored.find(asked, files), index.find(asked, files)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.select(got.columns).collect())
+    plan = stored.of(spark.createDataFrame([("word7",), ("rare2",)], "term string"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", text) and re.search(r"PushedFilters: \[[^]]*In\(token", text)
+    folders = {re.search(r"bucket=(\d+)", f)[1] for f in plan.inputFiles()}
+    assert plan.select(F.input_file_name()).distinct().count() <= 4 and len(folders) <= index.BUCKETS
+    many = spark.range(1500).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("term"))  # more than the filters hold
+    assert stored.find(many, files).count() == 300
