@@ -16,13 +16,19 @@ SPAN = "struct<file_path:string,start_line:int,end_line:int,start_col:int,end_co
 COST = "struct<token_estimate:bigint,char_count:bigint,line_count:bigint>"
 
 
-def test_smallest_statement_at_a_line():
-    text = "class A:\n    x = 1\n\n    def f(self):\n        y = [\n            2,\n        ]\n        return y\n"
-    tree = __import__("ast").parse(text)
-    assert python.slice_of(text, tree, 6, None) == "y = [\n            2,\n        ]"
-    assert python.slice_of(text, tree, 8, None).startswith("def f(self)") and python.slice_of(text, tree, 3, None) == text.rstrip("\n")
-    assert python.slice_of(text, tree, 2, 3) == "    x = 1\n" and python.slice_of(text, tree, None, None) == text and python.slice_of(text, tree, 99, None) == text
-    assert python.slice_of(text, None, 2, None) == text and python.slice_of(text, tree, 2, 1).strip() == "x = 1"
+def test_smallest_statement_at_a_line(spark):
+    text = "class A:\n    x = 1\n\n    def f(self):\n        y = [\n            2,\n        ]\n        return y\né = 'ü'; z = 2\n"
+    files = spark.createDataFrame([("a.py", text), ("bad.py", "def (\nx"), ("none.py", None)], FILES)
+    asked = {"inner": ("a.py", 6, None), "method": ("a.py", 8, None), "class": ("a.py", 3, None), "lines": ("a.py", 2, 3), "all": ("a.py", None, None), "beyond": ("a.py", 99, None), "back": ("a.py", 2, 1), "bad": ("bad.py", 2, None), "first": ("a.py", 9, None), "gone": ("none.py", 1, None)}
+    places = spark.createDataFrame([(k, *v) for k, v in asked.items()], "id string, path string, line int, end_line int")
+    got = {r["id"]: r["source_text"] for r in python.source_slices(places, files).collect()}
+    whole = text.split("\né")[0]
+    assert got == {"inner": "y = [\n            2,\n        ]", "method": whole[whole.index("def f"):], "class": whole, "lines": "    x = 1\n", "all": text, "beyond": text, "back": "x = 1", "bad": "def (\nx", "first": "é = 'ü'"}
+
+
+def test_words_of_annotations():
+    words = lambda text: python.annotation_words(__import__("ast").parse(text, mode="eval").body)
+    assert words("Optional[a.b.C]") == ["Optional", "a", "b", "C"] and words("dict[str, 'User'] | None") == ["dict", "str", "User"] and words('Literal["it\'s", 3]')[:2] == ["Literal", "it's"]
 
 
 def test_costs_follow_the_policy(spark):
