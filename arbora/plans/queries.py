@@ -658,4 +658,4 @@ def kotlin_nodes(spark, sf_dir):
     return _node_rows(BraceGraph(V.sources(spark, sf_dir, V.KOTLIN, ".kt")).nodes())
 
 
-from . import frameworks, graphs, outline  # noqa: E402, F401  (register more queries)
+from . import frameworks, graphs, outline, search  # noqa: E402, F401  (register more queries)
