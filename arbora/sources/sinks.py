@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ARCHITECTURE_VERSION, VIEW_VERSION
+from . import page
 
 #: How an edge of a confidence looks.
 EDGE_STYLES = {"static_certain": (False, "#2f6f4f"), "static_inferred": ([6, 4], "#8a6d1d"), "framework_inferred": ([2, 4], "#3b5b92"), "dynamic_required": ([10, 6], "#a23b3b")}
@@ -109,36 +110,14 @@ def styled_edges(edges: DataFrame) -> DataFrame:
         dashes, colour = F.when(F.col("confidence") == name, json.dumps(dash)).otherwise(dashes), F.when(F.col("confidence") == name, tint).otherwise(colour)
     tip = F.concat_ws("\n", "relation", F.concat(F.lit("confidence: "), "confidence"), F.concat(F.lit("resolution: "), "resolution"),
                       F.when(F.size("candidates") > 0, F.concat(F.lit("candidates: "), F.array_join("candidates", ", "))))
-    return e.select(F.col("from_id").alias("from"), F.col("to_id").alias("to"), F.coalesce(F.nullif("label", F.lit("")), "relation").alias("label"), "arrows", dashes.alias("dashes"), colour.alias("color"), tip.alias("title"))
-
-
-_PAGE = """<!doctype html>
-<html lang="en"><meta charset="utf-8"><title>{title}</title>
-<style>body{{font:14px sans-serif;margin:1rem}}td,th{{padding:.2rem .6rem;text-align:left;border-bottom:1px solid #ddd}}pre{{white-space:pre-wrap}}</style>
-<h1>{title}</h1><label>Find <input id="find"></label> <span id="count"></span>
-<table><thead><tr><th>id<th>label<th>group</thead><tbody id="nodes"></tbody></table>
-<script id="data" type="application/json">{data}</script>
-<script>
-const data = JSON.parse(document.getElementById('data').textContent), body = document.getElementById('nodes');
-function show() {{
-  const text = document.getElementById('find').value.toLowerCase();
-  const hits = data.nodes.filter(n => (n.label + n.title).toLowerCase().includes(text));
-  document.getElementById('count').textContent = hits.length + ' nodes, ' + data.edges.length + ' edges';
-  body.replaceChildren(...hits.slice(0, 500).map(n => {{
-    const row = document.createElement('tr');
-    for (const v of [n.id, n.label, n.group]) row.appendChild(document.createElement('td')).textContent = v;
-    return row;
-  }}));
-}}
-document.getElementById('find').addEventListener('input', show); show();
-</script></html>
-"""
+    return e.select(F.col("from_id").alias("from"), F.col("to_id").alias("to"), F.coalesce(F.nullif("label", F.lit("")), "relation").alias("label"), "arrows", dashes.alias("dashes"), colour.alias("color"), tip.alias("title"), "confidence")
 
 
 def html_page(nodes: DataFrame, edges: DataFrame, title: str) -> str:
-    """A page that lists and searches the graph; data can't close the script that holds it."""
+    """A page that lists, filters, searches and draws the graph; data can't close the script that holds it."""
     data = json.dumps({"nodes": rows(styled_nodes(nodes)), "edges": rows(styled_edges(edges), order=None)}, ensure_ascii=False).replace("<", "\\u003c")
-    return _PAGE.format(title=html.escape(title), data=data)
+    name = html.escape(title)
+    return "".join((page.OPENING, name, page.HEADING.replace("<label>Find", f"<h1>{name}</h1><label>Find", 1), data, page.MIDDLE, page.LOGIC, page.BINDING))
 
 
 def write_html(nodes: DataFrame, edges: DataFrame, title: str, folder: str) -> str:

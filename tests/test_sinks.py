@@ -1,10 +1,13 @@
 """Sinks and sources on disk."""
 
 import json
+import shutil
 import subprocess
 
+import pytest
+
 from arbora import cli
-from arbora.sources import files, sinks
+from arbora.sources import files, page, sinks
 
 
 def graph(spark):
@@ -17,8 +20,10 @@ def test_documents(spark, tmp_path):
     nodes, edges = graph(spark)
     doc = sinks.architecture_document(nodes, edges, "p")
     assert doc["schema_version"] == "5" and doc["nodes"][1]["kind"] == "module" and doc["nodes"][1]["metadata"] == {"x": 1} and doc["edges"][0]["from_id"] == "a" and doc["edges"][0]["weight"] == 1.0
-    page = sinks.html_page(nodes, edges, "T<")
-    assert "A \\u003c/script>" in page and "T&lt;" in page
+    text = sinks.html_page(nodes, edges, "T<")
+    assert "A \\u003c/script>" in text and text.count("T&lt;") == 2
+    data = json.loads(text.split('type="application/json">')[1].split("</script>")[0])
+    assert [n["group"] for n in data["nodes"]] and data["edges"][0]["confidence"] == "static_inferred"
     assert "a -->|CALLS| b" in sinks.mermaid(nodes, edges)
     styled = sinks.styled_edges(edges).first()
     assert json.loads(styled["dashes"]) == [6, 4] and "candidates: c" in styled["title"]
@@ -26,6 +31,20 @@ def test_documents(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "nodes")).count() == 2
 
 
+@pytest.mark.skipif(shutil.which("node") is None, reason="no JavaScript engine")
+def test_page_logic():
+    """Facets, growing search and neighbourhoods, and a script that parses."""
+    check = page.LOGIC + """
+    const graph = {nodes: ['a', 'b', 'c', 'd', 'e'].map(id => ({id, label: id.toUpperCase(), title: id === 'e' ? 'Alone' : '', group: 'ab'.includes(id) ? 'x' : 'y'})),
+                   edges: [['c', 'd'], ['a', 'b'], ['b', 'c'], ['d', 'e']].map(([from, to], i) => ({from, to, confidence: i ? 'sure' : 'maybe'}))};
+    const ids = s => [...s].sort().join(''), part = (text, focus, ...hidden) => { const v = visible(graph, {text, focus, hidden: new Set(hidden)}); return ids(v.nodes.map(n => n.id)) + ':' + v.edges.length; };
+    new Function(LOGIC_AND_BINDING);
+    console.log(JSON.stringify([ids(grown(graph, 'A')), ids(grown(graph, 'alone')), ids(around(graph, 'b')), part('', null), part('', null, 'group:x'), part('', null, 'level:maybe'), part('', 'c'), part('zzz', null), placed(graph.nodes).size, counts(graph.nodes, 'group')]));
+    """.replace("LOGIC_AND_BINDING", json.dumps(page.LOGIC + page.BINDING.replace("</script></html>", "")))
+    done = subprocess.run(["node", "-e", check], capture_output=True, text=True, timeout=60, check=True)
+    assert json.loads(done.stdout) == ["abcde", "de", "abc", "abcde:4", "cde:2", "abcde:3", "bcd:2", ":0", 5, [["x", 2], ["y", 3]]]
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
