@@ -260,3 +260,45 @@ def graph_without(spark, sf_dir):
     kept, rest = exploration.without(nodes, all_edges, nodes.filter("kind = 'supplier' and ordinal % 5 = 0"))
     return kept.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("ordinal")).unionByName(
         rest.select(F.col("relation").alias("what"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("ordinal").cast("long").alias("ordinal")))
+
+
+@query("""with recursive s as (select 'o' || l_orderkey as f, l_linenumber as ln, cast(l_quantity as bigint) as q, row_number() over (partition by l_orderkey order by l_linenumber, cast(l_quantity as bigint)) as i from lineitem),
+pack as (select f, i, ln, q, 0 as unit, q as used from s where i = 1 union all select s.f, s.i, s.ln, s.q, case when p.used + s.q > 60 then p.unit + 1 else p.unit end, case when p.used + s.q > 60 then s.q else p.used + s.q end from pack p join s on s.f = p.f and s.i = p.i + 1)
+select f as file_path, cast(unit as int) as unit, f || ':' || ln as id, q as tokens from pack""")
+def read_units(spark, sf_dir):
+    """An order's line items as a file's symbols, packed into units of at most sixty tokens."""
+    line = V.table(spark, sf_dir, "lineitem")
+    path = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    symbols = line.select(path.alias("file_path"), F.concat_ws(":", path, F.col("l_linenumber").cast("string")).alias("id"), F.col("l_linenumber").alias("start_line"), F.col("l_quantity").cast("bigint").alias("tokens"))
+    return exploration.read_units(symbols, 60)
+
+
+@query("""with pair as (select coalesce(a.s_suppkey, b.s_suppkey) as k, a.s_suppkey is null as gone, b.s_suppkey is null as fresh, coalesce(a.s_nationkey, b.s_nationkey) % 2 = 0 as even, coalesce(a.s_acctbal, b.s_acctbal) < 5000 as low, length(coalesce(a.s_name, b.s_name)) as n
+from (select * from supplier where s_nationkey <> 7) a full join (select * from supplier where s_acctbal >= 0) b on a.s_suppkey = b.s_suppkey)
+select 'readable_nodes' as section, 's' || k as id, case when gone then 'removed' when fresh then 'added' else 'changed' end as status,
+case when gone or fresh then '' else concat_ws('; ', case when even then 'flags:[]>["x"]' end, case when low then 'read_cost.token_estimate:' || n || '>' || (n + 1) end) end as fields from pair where gone or fresh or even or low
+union all select 'query_nodes', 'n' || n_nationkey, 'changed', 'excluded:false>true; rule_id:null>r' from nation where n_regionkey = 1""")
+def view_diff(spark, sf_dir):
+    """Two views compared in all three sections, nested fields and arrays among them; the links are the same in both."""
+    from ..operators import diff
+
+    t = lambda n: V.table(spark, sf_dir, n)
+    none, number = F.array().cast("array<string>"), lambda n: F.lit(n)
+
+    def readable(rows, cost, flags):
+        return rows.select(_key("s", "s_suppkey").alias("id"), F.struct(cost.alias("token_estimate")).alias("read_cost"), flags.alias("flags"), number(1).alias("start_line"), number(2).alias("end_line"))
+
+    def queries(changed):
+        mine = (F.col("n_regionkey") == 1) & F.lit(changed)
+        return t("nation").select(_key("n", "n_nationkey").alias("id"), F.array(_key("r", "n_regionkey")).alias("arrival_node_ids"), number(3).alias("output_tokens"), mine.alias("excluded"), none.alias("origin_node_ids"), F.lit("d").alias("occurrence_digest"),
+                                  none.alias("clue_kinds"), F.when(mine, "r").alias("rule_id"), none.alias("source_terms"))
+    links = t("region").select(_key("r", "r_regionkey").alias("id"), none.alias("to_node_ids"), F.lit("unique").alias("specificity"), F.lit(None).cast("string").alias("query_id"), F.col("r_name").alias("evidence_file"), number(1).alias("evidence_line"), F.lit("exact").alias("resolution"), none.alias("candidate_node_ids"))
+    size, low = F.length("s_name"), F.when(F.col("s_acctbal") < 5000, 1).otherwise(0)
+    before = {"readable_nodes": readable(t("supplier").filter("s_acctbal >= 0"), size, none), "query_nodes": queries(False), "framework_links": links}
+    after = {"readable_nodes": readable(t("supplier").filter("s_nationkey <> 7"), size + low, F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("x"))).otherwise(none)), "query_nodes": queries(True), "framework_links": links}
+    shown = lambda f: F.concat(f["field"], F.lit(":"), F.coalesce(f["before"], F.lit("null")), F.lit(">"), F.coalesce(f["after"], F.lit("null")))
+    out = None
+    for section, found in diff.diff_views(before, after).items():
+        part = found.select(F.lit(section).alias("section"), "id", "status", F.array_join(F.transform("fields", shown), "; ").alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out
