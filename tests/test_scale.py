@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import centrality
+from arbora.operators import centrality, edges
 from .test_graph import graph, values
 
 
@@ -28,3 +28,36 @@ def test_pagerank_goes_on_behind_its_powers(spark, monkeypatch, tolerance):
     nodes, _, adj = graph(spark, ids, [(rng.choice(ids), rng.choice(ids)) for _ in range(40)])
     got = values(centrality.pagerank(nodes, adj, tolerance=tolerance, iterations=6, local_edges=0), "pagerank")
     assert got == pytest.approx(values(centrality.pagerank(nodes, adj, tolerance=tolerance, iterations=6), "pagerank"), abs=1e-14)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_implementations_compare_pairs_only_where_they_can_repeat(spark, monkeypatch, limit):
+    monkeypatch.setattr(edges, "BROADCAST_COMPONENTS", limit)
+    left = [("a", 1, 1), ("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("c", 1, 1)]
+    right = [("x", 1, 1), ("x", 2, 1), ("y", 1, 1), ("y", 1, 1)]
+    made = lambda rows: spark.createDataFrame(rows, "id string, n int, g int")
+    for one, two in ((left, right), (left, right[:1] + right[2:]), (left[:2] + left[3:], right)):
+        got = edges.implemented_by(made(one), made(two), ["n", "g"], "exact")
+        pairs = sorted((r["from_id"], r["to_id"]) for r in got.collect())
+        assert pairs == sorted({(a[0], b[0]) for a in one for b in two if a[1:] == b[1:]})
+        if (one, two) != (left, right):
+            assert not plan(got).startswith("Aggregate")
+
+
+def test_hits_shuffle_edges_once_a_side(spark, monkeypatch):
+    tables, own = [], centrality.staged
+    monkeypatch.setattr(centrality, "staged", lambda df, name, **o: tables.append(name) or own(df, name, **o))
+    rng = random.Random(4)
+    ids = [f"n{i}" for i in range(20)]
+    nodes, _, adj = graph(spark, ids, [(rng.choice(ids), rng.choice(ids)) for _ in range(40)])
+    for tolerance, rounds in ((None, 4), (0.2, 30)):
+        tables.clear()
+        got = values(centrality.hits(nodes, adj, tolerance, rounds, local_edges=0), "hub_score", "authority_score")
+        want = values(centrality.hits(nodes, adj, tolerance, rounds), "hub_score", "authority_score")
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-12) for x in got)
+        assert tables.count("edges") == 1
+        assert tolerance is not None or tables.count("scores") == 2
