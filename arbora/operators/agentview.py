@@ -73,6 +73,16 @@ def _finish(df: DataFrame, kind: Column, identity: Column, profile: Profile) ->
                       "excluded", F.when(F.col("excluded"), F.lit("too_many_arrival_nodes")).alias("exclusion_reason"))
 
 
+def query_counts(counted: DataFrame, clues: DataFrame, kind: str, profile: Profile) -> DataFrame:
+    """As :func:`query_nodes`, but with numbers in place of the lists of occurrences and arrivals, which for a common word
+    are as long as the corpus. ``counted``: as :func:`index.counts_by_node` gives it."""
+    sums = counted.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.count(F.lit(1)).alias("n_arrivals"), F.sum("chars").alias("chars"))
+    out = sums.join(clues, "term").withColumn("excluded", F.col("n_arrivals") > profile.max_arrival_nodes)
+    tokens = F.greatest(F.lit(1), F.ceil((F.col("chars") + F.col("n_occurrences") - 1) / 4)).cast("long")  # a line break between lines
+    return out.select(T.short_hash(F.lit(kind), F.col("term"), F.lit(str(profile.version))).alias("id"), "term", F.lit(kind).alias("kind"), "clue_kinds", "origin_node_ids", "rule_id", "source_terms",
+                      "n_occurrences", "n_arrivals", tokens.alias("output_tokens"), "excluded")
+
+
 def derived_terms(clues: DataFrame, profile: Profile) -> DataFrame:
     """derived, rule_id, term, origin_node_ids for each term that an identifier clue gives rise to."""
     named = clues.filter(F.array_contains("clue_kinds", "identifier"))
@@ -80,14 +90,10 @@ def derived_terms(clues: DataFrame, profile: Profile) -> DataFrame:
         F.col("d.term").alias("derived"), F.col("d.rule").alias("rule_id"), "term", "origin_node_ids")
 
 
-def exact_and_derived(clues: DataFrame, files: DataFrame, readable: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """Exact queries, with sources merged in from derived terms equal to them, and queries of the other derived terms."""
+def _merged(clues: DataFrame, derived: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clues of exact queries, with sources merged in from derived terms equal to them, and of the other derived terms.
+    ``live``: the terms that occur."""
     none = F.array().cast("array<string>")
-    posted = staged(index.postings(files), "postings")
-    derived = staged(derived_terms(clues, profile), "derived")
-    wanted = clues.select("term").unionByName(derived.select(F.col("derived").alias("term"))).distinct()
-    found = staged(index.occurrences(wanted, files, readable, posted), "occurrences")
-    live = found.select("term").distinct()
     sources = derived.groupBy("derived").agg(F.min_by("rule_id", "term").alias("rule"), F.array_sort(F.collect_set("term")).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("origin_node_ids")))).alias("origins"))
     exact_terms = clues.join(live, "term", "left_semi")
     merged = exact_terms.join(sources, exact_terms["term"] == sources["derived"], "left").select(
@@ -95,9 +101,30 @@ def exact_and_derived(clues: DataFrame, files: DataFrame, readable: DataFrame, p
         F.lit(None).cast("string").alias("rule_id"), F.coalesce("sources", none).alias("source_terms"))
     fresh = sources.join(exact_terms.select(F.col("term").alias("derived")), "derived", "left_anti").select(
         F.col("derived").alias("term"), none.alias("clue_kinds"), F.col("origins").alias("origin_node_ids"), F.col("rule").alias("rule_id"), F.col("sources").alias("source_terms"))
+    return merged, fresh
+
+
+def _wanted(clues: DataFrame, derived: DataFrame) -> DataFrame:
+    return clues.select("term").unionByName(derived.select(F.col("derived").alias("term"))).distinct()
+
+
+def exact_and_derived(clues: DataFrame, files: DataFrame, readable: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """Exact queries, with sources merged in from derived terms equal to them, and queries of the other derived terms."""
+    posted = staged(index.postings(files), "postings")
+    derived = staged(derived_terms(clues, profile), "derived")
+    found = staged(index.occurrences(_wanted(clues, derived), files, readable, posted), "occurrences")
+    merged, fresh = _merged(clues, derived, found.select("term").distinct())
     return query_nodes(found, merged, "exact", profile), query_nodes(found, fresh, "derived", profile)
 
 
+def exact_and_derived_counts(clues: DataFrame, files: DataFrame, readable: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """The queries of :func:`exact_and_derived` with numbers in place of lists."""
+    derived = staged(derived_terms(clues, profile), "derived")
+    counted = staged(index.counts_by_node(_wanted(clues, derived), files, readable), "counts")
+    merged, fresh = _merged(clues, derived, counted.select("term").distinct())
+    return query_counts(counted, merged, "exact", profile), query_counts(counted, fresh, "derived", profile)
+
+
 def framework_links(edges: DataFrame, readable: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, queries of narrowing links, unknown edges) of the framework-inferred edges. A unique rule gives a
     link for each target, a narrowing rule one link and one query for all of them; an edge without a declared
