@@ -49,10 +49,14 @@ def hints(occurrences: DataFrame) -> DataFrame:
 
 
 def capped(occurrences: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` places of each term in order, and whether the term had more."""
-    w = Window.partitionBy("term")
-    order = w.orderBy("o.file_path", "o.line", "o.col")
-    return occurrences.withColumn("rank", F.row_number().over(order)).withColumn("truncated", F.count(F.lit(1)).over(w) > cap).filter(F.col("rank") <= cap)
+    """The first ``cap`` places of each term in order, and whether the term had more. Shares of a term give their own
+    first places, so a common term is never sorted in one task; its places are counted, not held."""
+    order = ["o.file_path", "o.line", "o.col"]
+    shares = occurrences.withColumn("share", F.pmod(F.xxhash64("o"), F.lit(256)))
+    first = shares.withColumn("rank", F.row_number().over(Window.partitionBy("term", "share").orderBy(*order))).filter(F.col("rank") <= cap).drop("share", "rank")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(*order))).filter(F.col("rank") <= cap)
+    more = occurrences.groupBy("term").agg((F.count(F.lit(1)) > cap).alias("truncated"))
+    return ranked.withColumnRenamed("term", "t").join(more, F.col("t").eqNullSafe(F.col("term"))).select(*occurrences.columns, "rank", "truncated")
 
 
 def refinements(occurrences: DataFrame) -> DataFrame:
