@@ -108,3 +108,49 @@ def test_a_common_term_is_capped_in_shares(spark):
     want = [(t, *o, i + 1, n > 5) for t, n in (("a", 400), ("b", 5), ("c", 6), (None, 1)) for i, o in enumerate(sorted(r[1] for r in rows if r[0] == t)[:5])]
     assert sorted(map(str, got.select("term", "o.*", "rank", "truncated").collect())) == sorted(str(r) for r in spark.createDataFrame(want, "term string, file_path string, line int, col int, rank int, truncated boolean").collect())
     assert "share" in plan(got)
+
+
+def plain_hops(ids, pairs, cost, seeds, hops):
+    near = {x: set() for x in ids}
+    for a, b in pairs:
+        if a != b and a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    out = {}
+    for s in seeds:
+        seen, front, n, c = {s}, {s}, [0, 0], [0.0, 0.0]
+        for depth in range(1, hops + 1):
+            front = {y for x in front for y in near[x]} - seen
+            seen |= front
+            for i in range(2):
+                if i or depth <= 2:
+                    n[i] += len(front)
+                    c[i] += sum(cost[x] for x in front)
+        out[s] = (n[0], pytest.approx(c[0]), n[1], pytest.approx(c[1]))
+    return out
+
+
+HOPS = ("hop_2_node_count", "hop_2_token_cost", "hop_3_node_count", "hop_3_token_cost")
+
+
+@pytest.mark.parametrize("rows", [1, 40_000_000])
+def test_nodes_of_equal_neighbours_share_a_search(spark, monkeypatch, rows):
+    monkeypatch.setattr(centrality, "WORDS", 1)
+    monkeypatch.setattr(centrality, "ROWS", rows)
+    seen, own = [], centrality._reached
+    monkeypatch.setattr(centrality, "_reached", lambda both, places, *o: seen.append(places.count()) or own(both, places, *o))
+    rng = random.Random(6)
+    hubs = [f"h{i}" for i in range(4)]
+    ids = hubs + [f"x{i}" for i in range(300)] + [f"y{i}" for i in range(90)] + ["alone"]
+    pairs = [("h0", "h1"), ("h1", "h2"), ("h0", "h0")] + [(f"x{i}", hubs[i % 4]) for i in range(300)]
+    cost = {x: (i % 7) / 10 for i, x in enumerate(ids)}
+    for more in ([], [(f"y{i}", rng.choice(ids[:200])) for i in range(90)] + [(f"y{i}", f"y{(i + 1) % 90}") for i in range(90)]):
+        nodes, _, adj = graph(spark, ids, pairs + more)
+        costs = spark.createDataFrame(list(cost.items()), "id string, effective_token_cost double")
+        seen.clear()
+        for some in (None, ids[3:100], ids[:5]):
+            seeds = None if some is None else nodes.filter(F.col("id").isin(some))
+            got = values(centrality.neighbourhood_cost(costs, adj, seeds), *HOPS)
+            assert got == plain_hops(ids, pairs + more, cost, some or ids, 3)
+        if not more:
+            assert seen[0] == 8
