@@ -154,3 +154,29 @@ def test_nodes_of_equal_neighbours_share_a_search(spark, monkeypatch, rows):
             assert got == plain_hops(ids, pairs + more, cost, some or ids, 3)
         if not more:
             assert seen[0] == 8
+
+
+def walked(ids, pairs):
+    label = {x: x for x in ids}
+    for _ in ids:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_components_contract(spark, monkeypatch):
+    from arbora.operators import structure, traversal
+
+    tables, own = [], structure.staged
+    monkeypatch.setattr(structure, "staged", lambda df, name: tables.append(name) or own(df, name))
+    rng = random.Random(9)
+    ids = [f"n{i}" for i in range(64)]
+    rng.shuffle(ids)
+    star = [("n9", x) for x in ids if x != "n9"]
+    path = list(zip(ids, ids[1:]))
+    loose = [(rng.choice(ids), rng.choice(ids)) for _ in range(40)] + [("n1", "n1")]
+    for pairs, most in ((star, 2), (path, 7), (loose, 7), ([], 1)):
+        tables.clear()
+        nodes, _, adj = graph(spark, ids, pairs)
+        assert values(traversal.components(nodes, adj), "component") == walked(ids, pairs)
+        assert tables.count("edges") <= most
