@@ -180,3 +180,18 @@ def test_components_contract(spark, monkeypatch):
         nodes, _, adj = graph(spark, ids, pairs)
         assert values(traversal.components(nodes, adj), "component") == walked(ids, pairs)
         assert tables.count("edges") <= most
+
+
+def test_edges_pass_by_ids_unsorted(spark):
+    nodes, e, _ = graph(spark, list("abc"), [("a", "b"), ("b", "c"), ("c", "c"), ("a", "x")])
+    nodes = nodes.unionByName(nodes)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        valid = edges.valid_edges(e, nodes)
+        assert "Sort" not in valid._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["from_id"], r["to_id"]) for r in valid.collect()) == [("a", "b"), ("b", "c")]
+        both = edges.both_ends(valid)
+        assert "Sort" not in both._jdf.queryExecution().executedPlan().toString() and [r["id"] for r in both.collect()] == ["b"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
