@@ -42,13 +42,13 @@ def annotate_nodes(nodes: DataFrame, files: DataFrame, root: str, provenance: st
 def mark_edges(edges: DataFrame, nodes: DataFrame, rules: dict[str, str] | None = None, namespace: str = "", confidence: str = "framework_inferred", resolution: str = "unique_name") -> DataFrame:
     """Set confidence; set resolution where there are no candidates; declare the framework rule of known
     relations; give every edge an evidence: its start's line, else its end's, else a mark."""
-    spans = nodes.filter("span is not null").select("id", F.struct("span.file_path", F.col("span.start_line").alias("start_line"), F.col("span.start_line").alias("end_line"), F.lit(0).alias("start_col"), F.lit(0).alias("end_col")).alias("at")).dropDuplicates(["id"])
-    known = nodes.select("id", F.lit(True).alias("known")).dropDuplicates(["id"])
-    out = edges.join(spans.select(F.col("id").alias("from_id"), F.col("at").alias("_a")), "from_id", "left").join(spans.select(F.col("id").alias("to_id"), F.col("at").alias("_b")), "to_id", "left")
-    out = out.join(known.select(F.col("id").alias("from_id"), F.col("known").alias("_k")), "from_id", "left")
-    nothing = F.struct(F.lit("<framework-inference>").alias("file_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(0).alias("start_col"), F.lit(0).alias("end_col"))
-    # A known start without a span doesn't pass the question on to the end.
-    evidence = F.coalesce("evidence", F.when(F.col("_k"), F.col("_a")).otherwise(F.col("_b")), nothing)
+    known = nodes.groupBy("id").agg(F.first(F.when(F.col("span").isNotNull(), F.struct("span.file_path", "span.start_line")), True).alias("_at"))
+    at = lambda c: known.select(F.col("id").alias(c), "_at", F.lit(True).alias("_k"))
+    # A known start without a span doesn't pass the question on to the end; so only edges of unknown starts go on to theirs.
+    first = edges.join(at("from_id"), "from_id", "left")
+    out = first.filter("_k").select(*edges.columns, "_at").unionByName(first.filter("_k is null").select(*edges.columns).join(at("to_id").drop("_k"), "to_id", "left").select(*edges.columns, "_at"))
+    place = lambda path, line: F.struct(path.alias("file_path"), line.alias("start_line"), line.alias("end_line"), F.lit(0).alias("start_col"), F.lit(0).alias("end_col"))
+    evidence = F.coalesce("evidence", F.when(F.col("_at").isNotNull(), place(F.col("_at.file_path"), F.col("_at.start_line"))), place(F.lit("<framework-inference>"), F.lit(1)))
     metadata = F.coalesce("metadata", F.lit("{}"))
     if rules:
         known_rules = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])

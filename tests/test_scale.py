@@ -197,6 +197,20 @@ def test_edges_pass_by_ids_unsorted(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_marks_look_up_ends_only_of_unknown_starts(spark):
+    from arbora.operators import enrich
+
+    span = "struct<file_path:string,start_line:int,end_line:int,start_col:int,end_col:int>"
+    nodes = spark.createDataFrame([("a", ("f", 3)), ("a", None), ("b", None), ("c", ("g", 5))], "id string, span struct<file_path:string,start_line:int>")
+    e = spark.createDataFrame([(x, y, "R", "x", None, None, ("own", 1, 1, 0, 0) if y == "own" else None, None) for x in ("a", "b", "z", None) for y in ("c", "b", "y", "own")],
+                              f"from_id string, to_id string, relation string, confidence string, resolution string, candidates array<string>, evidence {span}, metadata string")
+    got = {(r["from_id"], r["to_id"]): (r["evidence"]["file_path"], r["evidence"]["end_line"]) for r in enrich.mark_edges(e, nodes).collect()}
+    none = ("<framework-inference>", 1)
+    starts = {"a": ("f", 3), "b": none}
+    assert got == {(x, y): ("own", 1) if y == "own" else starts.get(x, ("g", 5) if y == "c" else none) for x in ("a", "b", "z", None) for y in ("c", "b", "y", "own")}
+    assert plan(enrich.mark_edges(e, nodes)).count("Join LeftOuter") + plan(enrich.mark_edges(e, nodes)).count("Join Inner") == 3
+
+
 def test_few_signs_are_counted_in_place(spark, monkeypatch):
     from arbora.operators import index
 
