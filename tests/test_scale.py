@@ -182,6 +182,14 @@ def test_components_contract(spark, monkeypatch):
         assert tables.count("edges") <= most
 
 
+def test_stored_rounds_are_not_broadcast(spark):
+    from arbora.operators import structure
+
+    one, two = (structure.staged(spark.range(20).withColumnRenamed("id", c), c) for c in ("x", "y"))
+    met = one.withColumnRenamed("x", "y").join(two.groupBy("y").count(), "y")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 20
+
+
 def test_edges_pass_by_ids_unsorted(spark):
     nodes, e, _ = graph(spark, list("abc"), [("a", "b"), ("b", "c"), ("c", "c"), ("a", "x")])
     nodes = nodes.unionByName(nodes)
