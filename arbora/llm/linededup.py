@@ -24,12 +24,13 @@ named ``line_dedup``, which the result replaces.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, byte_table, discard, fresh, let, row_hash, staged
+from .common import bit_filter, byte_table, discard, fresh, let, release, row_hash, staged
 
 THRESHOLD = 0.8
 #: Buckets of the token counts, one byte each.
@@ -38,6 +39,8 @@ BUCKETS = 1 << 20
 LIGHT = 512
 #: Shares in which tokens meet, one after the other.
 PASSES = 6
+#: Shares in which the sets to check are taken from the words, one after the other.
+SET_SHARES = 2
 #: Sets of so many words or more carry no parity bits: with 64 bits these could hardly tell them apart.
 BITLESS = 160
 #: Heavy tokens (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
@@ -83,11 +86,11 @@ def rarity_table(words: DataFrame, buckets: int) -> Column:
 
 
 def _codes(words: Column, levels: Column, buckets: int) -> Column:
-    """The set as sorted longs: level of rarity in the upper bits, hash in the others."""
+    """The set as sorted longs: level of rarity in the upper bits, the hash's lower bits, bucket included, in the others."""
     def code(h):
-        level = F.coalesce(F.get(levels, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
+        level = F.get(levels, h.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint")
         # Stored columns count as nullable; an array without nulls is sorted as plain numbers.
-        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("bigint"))
+        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))), F.lit(0).cast("bigint"))
     return F.sort_array(F.transform(words, code))
 
 
@@ -101,6 +104,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     t = threshold
     words = _words(docs)
     levels = rarity_table(words, buckets)
+    release(docs.sparkSession)  # the counts' shuffle
     coded = words.select("uid", "doc_id", "rk", "pos", _codes(F.col("words"), levels, buckets).alias("codes"))
     n = F.size("codes")
     keep = n - F.ceil(n * t - 1e-9).cast("int") + 1
@@ -108,7 +112,9 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     one = F.lit(1).cast("bigint")
     parity = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
     bits = F.when(partners & (n < BITLESS), parity).otherwise(F.lit(0).cast("bigint"))
-    prefix = F.when(partners, F.slice("codes", F.lit(1), keep)).otherwise(F.array().cast("array<bigint>"))
+    # Lines may meet by 32 bits of a token: all pairs are checked, and a shared token is shared in these too.
+    token = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
+    prefix = F.when(partners, F.transform(F.slice("codes", F.lit(1), keep), token)).otherwise(F.array().cast("array<int>"))
     rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos", F.col("uid").alias("id")).alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
     # Copies are grouped where they are before they are dealt, so a line that is everywhere is a row of each task.
     firsts = staged(rows.groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
@@ -142,7 +148,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
         return pairs.select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"))
 
     # A token is in no more lines than its bucket counts, so only tokens of full buckets need counting.
-    full = posting.filter(F.shiftright("token", 56) >= math.floor(4 * math.log2(light + 2)))
+    full = posting.filter(F.get(levels, F.col("token").bitwiseAND(F.lit(buckets - 1))) >= math.floor(4 * math.log2(light + 2)))
     heavy = staged(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > light).select("token"), "heavy")
     some = F.broadcast(heavy) if heavy.count() <= BROADCAST_TOKENS else heavy
     hot = staged(full.join(some, "token", "left_semi"), "hot")
@@ -158,15 +164,17 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     lead = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "rk", "pos", "id", "n", "i", "bits")).alias("lead")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     star = banded.join(lead, ["token", "band", "salt"]).filter((F.col("id") != F.col("lead.id")) & passes({c: F.col(c) for c in ("n", "i", "bits")}, {c: F.col(f"lead.{c}") for c in ("n", "i", "bits")}))
     first_pairs = staged(direct.unionByName(unordered(star.select(F.col("id").alias("id_a"), F.col("lead.id").alias("id_b")))).distinct(), "pairs")
-    settled = _later(words, first_pairs, firsts, t)
+    places = staged(firsts.select("id", "doc_id", "rk", "pos"), "firsts")
+    discard(firsts)  # checks take the room of the prefixes
+    settled = _later(words, first_pairs, places, t)
 
     # Heavy tokens again, whole: every unsettled line against all others.
     mine = hot.join(settled, "id", "left_anti")
     whole = unordered(meet(mine, hot, band(F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9)))))
-    gone = settled.unionByName(_later(words, staged(whole.distinct().join(first_pairs, ["x", "y"], "left_anti"), "pairs"), firsts, t))
+    gone = settled.unionByName(_later(words, staged(whole.distinct().join(first_pairs, ["x", "y"], "left_anti"), "pairs"), places, t))
     every = staged(words.select("doc_id", "rk", "pos"), "places")
-    stay = staged(firsts.select("id", "doc_id", "rk", "pos").join(gone, "id", "left_anti").drop("id"), "places")
-    discard(words, firsts, hot)  # texts are dealt next
+    stay = staged(places.join(gone, "id", "left_anti").drop("id"), "places")
+    discard(words, places, hot)  # texts are dealt next
     return every, stay
 
 
@@ -186,8 +194,12 @@ def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> D
     def parity(j):
         own = F.filter("words", lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)) == j)
         return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
-    some = words.select(F.col("uid").alias("id"), "words").filter(test(F.col("id"))).join(need, "id")
-    sets = staged(some.select("id", "rank", "words", F.size("words").alias("n"), *[parity(j).alias(f"m{j}") for j in range(2)]), "sets")
+    parts = []
+    for turn in range(SET_SHARES):
+        mine = F.pmod(F.col("id"), F.lit(SET_SHARES)) == turn
+        some = words.select(F.col("uid").alias("id"), "words").filter(mine & test(F.col("id"))).join(need.filter(mine), "id")
+        parts.append(staged(some.select("id", "rank", "words", F.size("words").alias("n"), *[parity(j).alias(f"m{j}") for j in range(2)]), "sets"))
+    sets = reduce(DataFrame.unionByName, parts)
     maps = ["rank", "n", "m0", "m1"]
     both = pairs
     for side, key in (("a", "x"), ("b", "y")):
@@ -205,7 +217,7 @@ def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> D
     rest = ordered.join(earliest.filter("c > 1").select("late", F.col("early").alias("least")), "late").filter("early <> least").join(first, "late", "left_anti").select("late", "early")
     found = first.unionByName(verified(rest)).distinct()
     out = staged(found.join(need, found["late"] == need["rank"]).select("id"), "settled")
-    discard(sets, need, first, ordered)
+    discard(*parts, need, first, ordered)
     return out
 
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import components, decontaminate, linededup, mixing, ngramjoin, quality, queries
+from arbora.llm import common, components, decontaminate, linededup, mixing, ngramjoin, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -66,6 +66,30 @@ def test_line_dedup_of_an_empty_table(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_dedup_holds_few_files_at_a_time(spark, monkeypatch):
+    made, gone, at_check = {}, set(), []
+
+    def staged(df, name, *args):
+        out = common.staged(df, name, *args)
+        made.setdefault(name, []).append(out)
+        return out
+
+    def later(words, pairs, firsts, t):
+        at_check.append((set(gone), set(firsts.columns)))
+        return check(words, pairs, firsts, t)
+    check = linededup._later
+    monkeypatch.setattr(linededup, "staged", staged)
+    monkeypatch.setattr(linededup, "discard", lambda *frames: (gone.update(f._staged_path for f in frames), common.discard(*frames)))
+    monkeypatch.setattr(linededup, "_later", later)
+    rows = line_docs()
+    got = {(r["doc_id"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA), light=0, buckets=1 << 10).collect()}
+    assert got == {(doc, kept) for (doc, _), kept in plain_dedup(rows).items()}
+    # The prefixes, whose tokens take four bytes each, are gone before the sets to check are stored, a share at a time.
+    assert dict(made["lines"][0].dtypes)["prefix"] == "array<int>"
+    assert all(made["lines"][0]._staged_path in before and columns == {"id", "doc_id", "rk", "pos"} for before, columns in at_check)
+    assert len(made["sets"]) == linededup.SET_SHARES * len(at_check)
+
+
 def shingle_set(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
