@@ -7,8 +7,9 @@ filter, the positional filter (how much can still overlap after the first shared
 bits, then exact Jaccard over the whole sets. A line goes when any earlier line of the corpus matches it, in the order
 of (doc_id, text hash, line number); so of a group of equal lines the first stays.
 
-Rarity is counted over all lines into a table of BUCKETS hash buckets, and the order is (level of the bucket's count,
-hash). Any fixed order makes the join exact.
+Rarity is counted over all words into a table of BUCKETS hash buckets, and the order is (level of the bucket's count,
+hash). Any fixed order makes the join exact. Words are not stored: texts are cut for the counts, for the sets and, of the
+lines in pairs only, for the checks, which costs no more than storing their hashes and takes no disk.
 
 Equal sets, told by two 64-bit hashes, collapse first, so copies cost one row each. Prefix tokens of few lines have
 short posting lists and join directly. Heavy ones, by count, might be shared by a third of all lines: there every line
@@ -38,17 +39,15 @@ BUCKETS = 1 << 20
 #: A token in the prefixes of more lines is heavy.
 LIGHT = 512
 #: Shares in which tokens meet, one after the other.
-PASSES = 6
-#: Shares in which the sets to check are taken from the words, one after the other.
-SET_SHARES = 2
+PASSES = 4
+#: Shares in which the sets to check are cut from the texts, one after the other; each reads all texts.
+SET_SHARES = 1
 #: Sets of so many words or more carry no parity bits: with 64 bits these could hardly tell them apart.
 BITLESS = 160
 #: Heavy tokens (8 bytes each) are broadcast up to so many; beyond, they are shuffled.
 BROADCAST_TOKENS = 200_000
 #: Parts that a heavy token's lines of one band are dealt into when they meet their earliest line.
 SALTS = 16
-#: Bytes of the dictionary of a column chunk of word hashes: room for a million words.
-DICTIONARY = 8 << 20
 WHITE = "\t\x0b\x0c\r"
 
 
@@ -63,33 +62,41 @@ def _level(count: Column) -> Column:
     return F.least(F.lit(127), F.floor(4 * F.log2(count + 1)).cast("int"))
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """A stored table of the lines with words: uid, doc_id, rk, pos and the 64-bit hashes of the line's distinct words.
-
-    Texts are cut into words once; the counts, the sets and the checks all read this."""
-    # The text is hashed and cut before its lines become rows, so once a document.
+def _lines(docs: DataFrame) -> DataFrame:
+    """The lines with words: doc_id, rk, pos, line. Nothing is stored."""
+    # The text is hashed and cut before its lines become rows, so once a document; a plain posexplode would cut it a second
+    # time, for a filter that Spark infers.
     texts = docs.select("doc_id", row_hash(F.col("text")).alias("rk"), F.split(_spaced(F.col("text")), "\n").alias("lines"))
-    lines = texts.select("doc_id", "rk", F.posexplode("lines").alias("pos", "line")).filter(F.trim("line") != "")
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return staged(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "rk", "pos", hashes.alias("words")), "words", DICTIONARY)
+    return texts.select("doc_id", "rk", F.posexplode_outer("lines").alias("pos", "line")).filter(F.trim("line") != "")
+
+
+def _n_lines(x: Column) -> Column:
+    """The number of lines with words of a text after _spaced(). Texts without blank lines, as most are, need not be cut for it."""
+    blank = (x == "") | F.startswith(x, F.lit("\n")) | F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit("\n")) | F.contains(x, F.lit("\n\n")) | F.contains(x, F.lit("\n "))
+    return F.when(blank, F.size(F.filter(F.split(x, "\n"), lambda line: F.trim(line) != ""))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit("\n"))) + 1)
+
+
+def _hashes(line: Column) -> Column:
+    """64-bit hashes of a line's distinct words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def rarity_table(words: DataFrame, buckets: int) -> Column:
-    """A literal array: for each hash bucket the level of the number of lines that its words are in."""
-    every = words.select(F.explode("words").alias("w"))
-    counts = every.groupBy(F.col("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def rarity_table(docs: DataFrame, buckets: int) -> Column:
+    """A literal array: for each hash bucket the level of the number of its words in all texts."""
+    every = docs.select(F.explode_outer(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter(F.col("w") != "")
+    counts = every.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     # At most a number for each bucket reaches the driver.
     packed = counts.select(F.shiftleft(F.col("b"), 7).bitwiseOR(_level(F.col("n"))).alias("x")).toArrow()["x"].to_numpy()
     table = np.zeros(buckets, np.uint8)
     table[packed >> 7] = packed & 127
-    return byte_table(words.sparkSession, table.tobytes())
+    return byte_table(docs.sparkSession, table.tobytes())
 
 
 def _codes(words: Column, levels: Column, buckets: int) -> Column:
     """The set as sorted longs: level of rarity in the upper bits, the hash's lower bits, bucket included, in the others."""
     def code(h):
         level = F.get(levels, h.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint")
-        # Stored columns count as nullable; an array without nulls is sorted as plain numbers.
+        # An array that can't have nulls is sorted as plain numbers.
         return F.coalesce(F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))), F.lit(0).cast("bigint"))
     return F.sort_array(F.transform(words, code))
 
@@ -100,12 +107,12 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rk, pos) of all lines with words, and of those that stay."""
+    """(doc_id, rk, n) of all rows, n their lines with words, and (doc_id, rk, pos) of the lines that stay."""
     t = threshold
-    words = _words(docs)
-    levels = rarity_table(words, buckets)
+    levels = rarity_table(docs, buckets)
     release(docs.sparkSession)  # the counts' shuffle
-    coded = words.select("uid", "doc_id", "rk", "pos", _codes(F.col("words"), levels, buckets).alias("codes"))
+    lines = _lines(docs)
+    coded = lines.select("doc_id", "rk", "pos", _codes(_hashes(F.col("line")), levels, buckets).alias("codes"))
     n = F.size("codes")
     keep = n - F.ceil(n * t - 1e-9).cast("int") + 1
     partners = F.ceil((n + 1) * t - 1e-9) <= n  # else only an equal set can match
@@ -115,9 +122,9 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     # Lines may meet by 32 bits of a token: all pairs are checked, and a shared token is shared in these too.
     token = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
     prefix = F.when(partners, F.transform(F.slice("codes", F.lit(1), keep), token)).otherwise(F.array().cast("array<int>"))
-    rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos", F.col("uid").alias("id")).alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
+    rows = coded.select(F.xxhash64("codes").alias("sid"), F.xxhash64(F.lit(1), "codes").alias("sid2"), F.struct("doc_id", "rk", "pos").alias("ord"), F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("set"))
     # Copies are grouped where they are before they are dealt, so a line that is everywhere is a row of each task.
-    firsts = staged(rows.groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select("ord.*", "set.*"), "lines")
+    firsts = staged(rows.groupBy("sid", "sid2").agg(F.min("ord").alias("ord"), F.first("set").alias("set")).select(F.monotonically_increasing_id().alias("id"), "ord.*", "set.*"), "lines")
 
     def band(size):
         return F.floor(F.log(size) / -math.log(t)).cast("int")
@@ -166,19 +173,20 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUC
     first_pairs = staged(direct.unionByName(unordered(star.select(F.col("id").alias("id_a"), F.col("lead.id").alias("id_b")))).distinct(), "pairs")
     places = staged(firsts.select("id", "doc_id", "rk", "pos"), "firsts")
     discard(firsts)  # checks take the room of the prefixes
-    settled = _later(words, first_pairs, places, t)
+    settled = _later(lines, first_pairs, places, t)
 
     # Heavy tokens again, whole: every unsettled line against all others.
     mine = hot.join(settled, "id", "left_anti")
     whole = unordered(meet(mine, hot, band(F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9)))))
-    gone = settled.unionByName(_later(words, staged(whole.distinct().join(first_pairs, ["x", "y"], "left_anti"), "pairs"), places, t))
-    every = staged(words.select("doc_id", "rk", "pos"), "places")
+    gone = settled.unionByName(_later(lines, staged(whole.distinct().join(first_pairs, ["x", "y"], "left_anti"), "pairs"), places, t))
+    spaced = docs.select("doc_id", row_hash(F.col("text")).alias("rk"), _spaced(F.col("text")).alias("x"))
+    every = spaced.select("doc_id", "rk", _n_lines(F.col("x")).alias("n"))
     stay = staged(places.join(gone, "id", "left_anti").drop("id"), "places")
-    discard(words, places, hot)  # texts are dealt next
+    discard(places, hot)  # texts are dealt next
     return every, stay
 
 
-def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
+def _later(lines: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
     """id of the later line of each pair (x, y) whose exact Jaccard similarity reaches t.
 
     Parity bits of two longs bound the overlap from above; then each later line meets its earliest candidate, and only
@@ -187,8 +195,10 @@ def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> D
         return pairs.select(F.col("x").alias("id"))
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     need = firsts.select("id", "doc_id", "rk", "pos").join(ids, "id").repartitionByRange("doc_id", "rk", "pos").sortWithinPartitions("doc_id", "rk", "pos")
-    need = staged(need.select("id", F.monotonically_increasing_id().alias("rank")), "needed")
-    test = bit_filter(F.col("id"), need, 1 << 22)
+    place, place2 = F.xxhash64("doc_id", "rk", "pos"), F.xxhash64(F.lit(1), "doc_id", "rk", "pos")
+    need = staged(need.select("id", F.monotonically_increasing_id().alias("rank"), place.alias("place"), place2.alias("place2"), "rk"), "needed")
+    # Texts without a line to check are not cut.
+    in_text, in_place = bit_filter(F.col("rk"), need, 1 << 22), bit_filter(F.col("place"), need, 1 << 22)
     one = F.lit(1).cast("bigint")
 
     def parity(j):
@@ -196,8 +206,11 @@ def _later(words: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> D
         return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
     parts = []
     for turn in range(SET_SHARES):
-        mine = F.pmod(F.col("id"), F.lit(SET_SHARES)) == turn
-        some = words.select(F.col("uid").alias("id"), "words").filter(mine & test(F.col("id"))).join(need.filter(mine), "id")
+        mine = F.pmod(F.col("place"), F.lit(SET_SHARES)) == turn
+        cut = lines.filter(in_text(F.col("rk"))).select(place.alias("place"), place2.alias("place2"), "line").filter(mine & in_place(F.col("place")))
+        # Rows that repeat id and text give a line several times.
+        met = cut.join(need.filter(mine).drop("rk"), ["place", "place2"]).dropDuplicates(["place", "place2", "id", "rank"])
+        some = met.select("id", "rank", _hashes(F.col("line")).alias("words"))
         parts.append(staged(some.select("id", "rank", "words", F.size("words").alias("n"), *[parity(j).alias(f"m{j}") for j in range(2)]), "sets"))
     sets = reduce(DataFrame.unionByName, parts)
     maps = ["rank", "n", "m0", "m1"]
@@ -226,9 +239,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, **options) -> Dat
 
     Documents that keep all their lines, told by counts, stay where they are; only the others are joined."""
     every, stay = kept_lines(docs, threshold, **options)
-    both = every.withColumn("stays", F.lit(False)).unionByName(stay.withColumn("stays", F.lit(True)))
-    by_doc = both.groupBy(F.col("doc_id").alias("of_id"), F.col("rk").alias("of_rk")).agg(
-        F.size(F.collect_set(F.when(~F.col("stays"), F.col("pos")))).alias("n"), F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("keep"))
+    both = every.unionByName(stay, allowMissingColumns=True)
+    by_doc = both.groupBy(F.col("doc_id").alias("of_id"), F.col("rk").alias("of_rk")).agg(F.max("n").alias("n"), F.collect_list("pos").alias("keep"))
     less = staged(by_doc.filter(F.col("n") > F.size("keep")).drop("n"), "less")
 
     lines = F.split(F.col("text"), "\n")

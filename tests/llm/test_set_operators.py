@@ -90,6 +90,22 @@ def test_line_dedup_holds_few_files_at_a_time(spark, monkeypatch):
     assert len(made["sets"]) == linededup.SET_SHARES * len(at_check)
 
 
+def test_line_dedup_stores_words_of_lines_in_pairs_only(spark, monkeypatch):
+    stored = []
+
+    def staged(df, name, *args):
+        out = common.staged(df, name, *args)
+        if any(kind == "array<bigint>" for _, kind in out.dtypes):
+            stored.append((name, out.count(), out.select("id").distinct().count()))
+        return out
+    monkeypatch.setattr(linededup, "staged", staged)
+    rows = [*line_docs(30), *line_docs(30), (200, "no line like this one"), (201, "nor any like that\n \n")]
+    got = {(r["doc_id"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA), light=0, buckets=1 << 10).collect()}
+    assert got == {(doc, kept) for (doc, _), kept in plain_dedup(rows).items()}
+    # Each line once, though all rows come twice.
+    assert stored and all(name == "sets" and n == ids for name, n, ids in stored)
+
+
 def shingle_set(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
