@@ -233,3 +233,44 @@ def test_few_signs_are_counted_in_place(spark, monkeypatch):
         rows = index.counts(terms, files).groupBy("term", "path", "line").agg(F.sum("n").alias("n"))
         assert {(r["term"], r["path"], r["line"]): r["n"] for r in rows.collect()} == want
         assert bool(used) == (limit == 1)
+
+
+def cut_by_walks(ids, pairs):
+    from .test_graph import _parts
+
+    near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in ids}
+    whole = _parts(ids, near)
+    return {v for v in ids if near[v] and _parts(ids, near, v) > whole}, {(min(p), max(p)) for p in pairs if _parts(ids, near, None, set(p)) > whole}
+
+
+def test_cut_points_of_shallow_graphs_take_a_round_a_level(spark, monkeypatch):
+    from arbora.operators import structure
+
+    tables, own = [], structure._stored
+    monkeypatch.setattr(structure, "_stored", lambda df, name: tables.append(name) or own(df, name))
+    rng = random.Random(11)
+    ids = [f"v{i:02d}" for i in range(60)]
+    hub = [("v00", x) for x in ids[1:12]] + [(rng.choice(ids[1:12]), x) for x in ids[12:40]] + [(rng.choice(ids[:40]), rng.choice(ids[:40])) for _ in range(9)]
+    apart = [tuple(rng.sample(ids[40:], 2)) for _ in range(16)]
+    for pairs in (hub, hub + apart, [(b, a) for a, b in hub + apart] + hub):
+        pairs = [p for p in pairs if p[0] != p[1]]
+        adj = spark.createDataFrame(pairs + [("v00", "v00")], "src string, dst string")
+        for most in (None, 1):
+            tables.clear()
+            cuts, bridges = structure.cut_points(adj, most=most)
+            assert ({r[0] for r in cuts.collect()}, {tuple(r) for r in bridges.collect()}) == cut_by_walks(ids, pairs)
+            assert ("tour" in tables) == (most == 1)
+
+
+def test_codes_are_apart(spark, monkeypatch):
+    from arbora.operators import structure
+
+    class Clashing:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, seed, c):  # under the first two seeds all ids clash
+            return F.when(seed < 2, F.lit(7).cast("long")).otherwise(F.xxhash64(seed, c))
+    monkeypatch.setattr(structure, "F", Clashing())
+    ids, code = structure.coded(spark.createDataFrame([(x,) for x in "abc"], "id string"))
+    assert ids.select("code").distinct().count() == 3 and ids.filter(ids["code"] == code("id")).count() == 3
