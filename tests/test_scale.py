@@ -235,6 +235,21 @@ def test_few_signs_are_counted_in_place(spark, monkeypatch):
         assert bool(used) == (limit == 1)
 
 
+@pytest.mark.parametrize("score", [centrality.pagerank, centrality.hits])
+def test_edges_are_made_once(spark, monkeypatch, score):
+    plans, own = [], centrality.staged
+    monkeypatch.setattr(centrality, "staged", lambda df, name, **o: plans.append((name, plan(df))) or own(df, name, **o))
+    nodes, _, adj = graph(spark, list("abcd"), [("a", "b"), ("b", "c"), ("a", "c")])
+    for local in (None, 0):
+        plans.clear()
+        made = adj.filter("src <> 'once'")
+        got = score(nodes, made, tolerance=0.01, iterations=5, local_edges=local)
+        assert [p.count("once") for name, p in plans if "once" in p] == [plan(made).count("once")] and "once" not in plan(got)
+        if local is None:  # the one task reads stored tables
+            below = plan(got).split("MapInPandas")[1]
+            assert "Relation" in below and not any(x in below for x in ("Join", "Aggregate", "Repartition"))
+
+
 def cut_by_walks(ids, pairs):
     from .test_graph import _parts
 
