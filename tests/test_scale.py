@@ -156,6 +156,27 @@ def test_nodes_of_equal_neighbours_share_a_search(spark, monkeypatch, rows):
             assert seen[0] == 8
 
 
+@pytest.mark.parametrize("hub", [3, 256])
+def test_seeds_of_many_blocks_are_not_joined_with_edges(spark, monkeypatch, hub):
+    monkeypatch.setattr(centrality, "WORDS", 1)
+    monkeypatch.setattr(centrality, "HUB", hub)
+    joined, own = [], centrality._reached
+    monkeypatch.setattr(centrality, "_reached", lambda *o: joined.append(1) or own(*o))
+    rng = random.Random(12)
+    ids = [f"v{i}" for i in range(230)]
+    pairs = [tuple(rng.sample(ids[:200], 2)) for _ in range(300)] + [("v0", x) for x in ids[1:60]] + [("v200", "v201"), ("v5", "v5")] + [(f"v{i}", "v7") for i in range(202, 220)]
+    nodes, _, adj = graph(spark, ids, pairs)
+    cost = {x: (i % 7) / 10 for i, x in enumerate(ids)}
+    costs = spark.createDataFrame(list(cost.items()), "id string, effective_token_cost double")
+    for some, hops, edges in ((None, 3, None), (None, 1, None), (ids[20:150], 3, None), (None, 3, 0)):
+        joined.clear()
+        monkeypatch.setattr(centrality, "SEARCH_EDGES", 20_000_000 if edges is None else edges)
+        seeds = None if some is None else nodes.filter(F.col("id").isin(some))
+        got = values(centrality.neighbourhood_cost(costs, adj, seeds, hops), *HOPS)
+        assert got == plain_hops(ids, pairs, cost, some or ids, hops)
+        assert bool(joined) == (edges == 0)
+
+
 def walked(ids, pairs):
     label = {x: x for x in ids}
     for _ in ids:
