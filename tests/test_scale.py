@@ -271,6 +271,24 @@ def test_edges_are_made_once(spark, monkeypatch, score):
             assert "Relation" in below and not any(x in below for x in ("Join", "Aggregate"))
 
 
+@pytest.mark.parametrize("tolerance", [None, 0.3])
+def test_hits_rounds_move_a_number_a_slot(spark, monkeypatch, tolerance):
+    kinds, own = {}, centrality.staged
+    monkeypatch.setattr(centrality, "staged", lambda df, name, **o: kinds.setdefault(name, set()).add(tuple(df.columns)) or own(df, name, **o))
+    monkeypatch.setattr(centrality, "GROUP_EDGES", 3)
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(40)]
+    for pairs in ([(rng.choice(ids[:30]), rng.choice(ids[:30])) for _ in range(70)], [("n0", x) for x in ids[1:]], []):
+        nodes, _, adj = graph(spark, ids, pairs)
+        kinds.clear()
+        got = values(centrality.hits(nodes, adj, tolerance, 7, local_edges=0), "hub_score", "authority_score")
+        assert kinds["a"] == kinds["h"] == {("part", "values", "square")}  # packed scores, no rows of edges
+        want = values(centrality.hits(nodes, adj, tolerance, 7), "hub_score", "authority_score")
+        assert got.keys() == want.keys() == set(ids) and all(got[x] == pytest.approx(want[x], abs=1e-12) for x in ids)
+    none = values(centrality.hits(nodes, adj, tolerance, 0, local_edges=0), "hub_score", "authority_score")
+    assert set(none.values()) == {(1.0, 1.0)}
+
+
 def cut_by_walks(ids, pairs):
     from .test_graph import _parts
 
